@@ -11,8 +11,9 @@ EPSILON = 1e-9
 
 
 def num(c) -> Column:
-    """Column as double with null read as 0."""
-    return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("double"), F.lit(0.0))
+    """Column as a finite double; null, NaN and infinities read as 0."""
+    c = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.when(F.abs(c) < float("inf"), c).otherwise(0.0)
 
 
 def flag(c) -> Column:
@@ -21,23 +22,29 @@ def flag(c) -> Column:
     return F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0)
 
 
+def bounded(c: Column) -> Column:
+    """Clamp a finite expression to 0..1; mentions ``c`` once so nesting stays small."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+
+
 def clip01(c: Column) -> Column:
-    bad = c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
-    return F.when(bad, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
+    """Clamp to 0..1; null, NaN and infinities give 0."""
+    return bounded(num(c))
 
 
 def scale_above(c, start: float, full: float) -> Column:
     """0 at or below ``start``, 1 at or above ``full``, linear between."""
     if full <= start:
         return F.lit(0.0)
-    return clip01((num(c) - float(start)) / float(full - start))
+    return bounded((num(c) - float(start)) / float(full - start))
 
 
 def weighted_mean(parts: list[tuple[Column, float]]) -> Column:
+    """Weighted mean of parts that are already within 0..1."""
     total = sum(w for _, w in parts)
     if total <= 0:
         return F.lit(0.0)
-    return clip01(reduce(lambda a, b: a + b, [clip01(c) * F.lit(float(w)) for c, w in parts]) / F.lit(float(total)))
+    return bounded(reduce(lambda a, b: a + b, [c * F.lit(float(w)) for c, w in parts]) / F.lit(float(total)))
 
 
 def robust_z(value: Column, med: Column, mad: Column, epsilon: float = EPSILON) -> Column:
@@ -62,3 +69,8 @@ def ip_prefix(ip: Column) -> Column:
 
 def money(c, scale: int = 2) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast(f"decimal(18,{scale})")
+
+
+def round_half_up(c: Column, digits: int) -> Column:
+    """Round a double by its decimal value, so ties do not hang on binary noise."""
+    return F.round(c.cast("decimal(22,12)"), digits).cast("double")
