@@ -4,7 +4,7 @@ import importlib
 
 from .registry import COVERS, ORACLE, QUERIES
 
-MODULES = ("risk", "scoring")
+MODULES = ("risk", "scoring", "reports")
 
 for _m in MODULES:
     importlib.import_module(f"{__package__}.q_{_m}")
