@@ -66,10 +66,10 @@ view("v_invoice", "", """SELECT o_orderkey AS id, o_custkey AS customer_id, CAST
   CAST(o_orderdate AS DATE) AS issue_date, CAST(o_orderdate AS DATE) + 30 AS due_date,
   CASE WHEN o_orderstatus = 'F' THEN CAST(last_ship AS DATE) END AS paid_at,
   CASE WHEN o_custkey % 5 = 0 THEN 'r' || (o_custkey % 100) END AS invoice_recurring_id,
-  'INV-' || lpad(CAST(o_orderkey AS VARCHAR), greatest(6, length(CAST(o_orderkey AS VARCHAR))), '0') AS invoice_number,
+  'INV-' || lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(6, length(CAST(o_orderkey AS VARCHAR))) AS INT), '0') AS invoice_number,
   o_orderpriority AS priority
   FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS last_ship FROM lineitem GROUP BY 1) s ON o_orderkey = l_orderkey""")
-view("v_line_item", "", """SELECT l_orderkey AS invoice_id, CAST(l_extendedprice / l_quantity AS DECIMAL(18,4)) AS price,
+view("v_line_item", "", """SELECT l_orderkey AS invoice_id, CAST(CAST(floor(l_extendedprice * 100 / l_quantity) AS DECIMAL(16,0)) * 0.01 AS DECIMAL(18,2)) AS price,
   CAST(l_quantity AS DECIMAL(18,2)) AS quantity, CAST(l_tax * 100 AS DECIMAL(18,2)) AS tax_rate,
   CAST(l_discount AS DECIMAL(18,2)) AS discount, l_partkey AS product_id FROM lineitem""")
 view("v_customer", "", """SELECT c_custkey AS id, c_name AS name, n_name AS country, n_regionkey AS team_id, c_mktsegment AS segment,

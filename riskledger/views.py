@@ -123,7 +123,7 @@ def invoice(spark, sf) -> DataFrame:
         F.date_add(F.to_date("o_orderdate"), 30).alias("due_date"),
         F.when(status == "paid", F.to_date("last_ship")).alias("paid_at"),
         F.when(F.col("o_custkey") % 5 == 0, F.concat(F.lit("r"), (F.col("o_custkey") % 100).cast("string"))).alias("invoice_recurring_id"),
-        F.concat(F.lit("INV-"), F.lpad(F.col("o_orderkey").cast("string"), 6, "0")).alias("invoice_number"),
+        F.concat(F.lit("INV-"), F.lpad(F.col("o_orderkey").cast("string"), F.greatest(F.lit(6), F.length(F.col("o_orderkey").cast("string"))), F.lit("0"))).alias("invoice_number"),
         F.col("o_orderpriority").alias("priority"),
     )
 
@@ -131,7 +131,7 @@ def invoice(spark, sf) -> DataFrame:
 def line_item(spark, sf) -> DataFrame:
     return table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("invoice_id"),
-        dec(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("price"),
+        (F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")).cast("decimal(16,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(18,2)").alias("price"),
         dec("l_quantity").alias("quantity"),
         dec(F.col("l_tax") * 100).alias("tax_rate"),
         dec("l_discount").alias("discount"),
