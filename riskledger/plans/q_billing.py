@@ -233,7 +233,7 @@ def invoice_list(spark, sf):
 
 
 _SERIES = """SELECT id, CASE WHEN id % 4 = 0 THEN 'paused' ELSE 'active' END AS status, CAST(issue_date AS TIMESTAMP) + to_hours(id % 24) AS next_scheduled_at,
-  CASE WHEN id % 3 = 0 THEN CAST(issue_date AS TIMESTAMP) - to_hours(20 + id % 12) END AS notified_at FROM v_invoice WHERE invoice_recurring_id IS NOT NULL"""
+  CASE WHEN id % 3 = 0 THEN CAST(issue_date AS TIMESTAMP) - to_hours(470 + id % 24) END AS notified_at FROM v_invoice WHERE invoice_recurring_id IS NOT NULL"""
 view("v_series", "v_invoice", _SERIES)
 
 
@@ -244,7 +244,7 @@ def _series(spark, sf):
         "id",
         F.when(F.col("id") % 4 == 0, "paused").otherwise("active").alias("status"),
         (ts + F.make_dt_interval(hours=(F.col("id") % 24).cast("int"))).alias("next_scheduled_at"),
-        F.when(F.col("id") % 3 == 0, ts - F.make_dt_interval(hours=(F.col("id") % 12 + 20).cast("int"))).alias("notified_at"),
+        F.when(F.col("id") % 3 == 0, ts - F.make_dt_interval(hours=(F.col("id") % 24 + 470).cast("int"))).alias("notified_at"),
     )
 
 
@@ -261,12 +261,12 @@ def invoice_series_due(spark, sf):
 @query(
     "invoice_series_upcoming",
     "FLT-14",
-    """SELECT id, next_scheduled_at FROM v_series WHERE status = 'active' AND next_scheduled_at > TIMESTAMP '1999-01-01' AND next_scheduled_at <= TIMESTAMP '1999-01-03'
-    AND (notified_at IS NULL OR notified_at <= next_scheduled_at - INTERVAL 49 HOUR)""",
+    """SELECT id, next_scheduled_at FROM v_series WHERE status = 'active' AND next_scheduled_at > TIMESTAMP '1999-01-01' AND next_scheduled_at <= TIMESTAMP '1999-01-21'
+    AND (notified_at IS NULL OR notified_at <= next_scheduled_at - INTERVAL 481 HOUR)""",
     "v_series",
 )
 def invoice_series_upcoming(spark, sf):
-    return inv.upcoming_series(_series(spark, sf), "1999-01-01 00:00:00", 48).select("id", "next_scheduled_at")
+    return inv.upcoming_series(_series(spark, sf), "1999-01-01 00:00:00", 480).select("id", "next_scheduled_at")
 
 
 # ---- customers
@@ -313,9 +313,9 @@ def customer_top_client(spark, sf):
     return cu.top_client(invoices(spark, sf), AS_OF)
 
 
-@query("customer_new", "AGG-33", f"SELECT team_id, count(*) AS new_customers FROM v_customer WHERE created_at >= DATE '{AS_OF}' - 30 GROUP BY 1", "v_customer")
+@query("customer_new", "AGG-33", f"SELECT team_id, count(*) AS new_customers FROM v_customer WHERE created_at >= DATE '1998-06-01' - 30 GROUP BY 1", "v_customer")
 def customer_new(spark, sf):
-    return cu.new_customers(v.customer(spark, sf), AS_OF)
+    return cu.new_customers(v.customer(spark, sf), "1998-06-01")
 
 
 view(
