@@ -85,7 +85,7 @@ _FC = ("f0", "f1", "f2", "f3", "f4", "f5", "f6", "f7", "f10", "f11", "f13")
 @query(
     "graph_entity_features",
     "AGG-47 SRC-08",
-    f"SELECT dst AS node, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _FC)} FROM v_gedges JOIN ({_FEAT}) ON src = node GROUP BY dst",
+    f"SELECT dst AS node, {', '.join(f'{rnd(f"avg({c})", 6)} AS {c}' for c in _FC)} FROM v_gedges JOIN ({_FEAT}) ON src = node GROUP BY dst",
     "v_gedges v_feat",
 )
 def graph_entity_features(spark, sf):
@@ -93,7 +93,7 @@ def graph_entity_features(spark, sf):
     feats = graph.feature_columns(labeled(spark, sf), PARAMS.high_risk)
     store = graph.entity_features(e, feats)
     got = graph.get_features(store, e.select(F.col("dst").alias("node")))
-    return got.select("node", *[F.round(c, 6).alias(c) for c in _FC])
+    return got.select("node", *[round_half_up(F.col(c), 6).alias(c) for c in _FC])
 
 
 def _roots(spark, sf):
