@@ -186,11 +186,11 @@ def list_attachment_delta(spark, sf):
 @query(
     "list_documents",
     "FLT-16",
-    """SELECT p_partkey FROM part WHERE len(list_filter(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+'), lambda w: starts_with(w, 'bra'))) > 0 AND p_size > 10 OR p_name ILIKE '%bra%' AND p_size > 10""",
+    """SELECT p_partkey FROM part WHERE len(list_filter(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+'), lambda w: starts_with(w, 'wid'))) > 0 AND p_size > 10 OR p_name ILIKE '%wid%' AND p_size > 10""",
 )
 def list_documents(spark, sf):
     p = v.table(spark, sf, "part").withColumn("title", F.col("p_name")).withColumn("doc_id", F.col("p_partkey"))
-    return lists.documents_list(p, "bra", p.filter("p_size > 10"), 0.99).select("p_partkey")
+    return lists.documents_list(p, "wid", p.filter("p_size > 10"), 0.99).select("p_partkey")
 
 
 @query(
@@ -362,11 +362,9 @@ def upsert_products(spark, sf):
 def fx_feed_flatten(spark, sf):
     r = v.table(spark, sf, "region").agg(F.collect_set("r_name").alias("_names"))
     n = v.table(spark, sf, "nation").join(F.broadcast(r))  # one row
-    rates = F.map_from_entries(
-        F.concat(
-            F.transform("_names", lambda x: F.struct(x, (F.col("n_nationkey") + F.length(x)).cast("double"))),
-            F.array(F.struct(F.lit("EXTRA"), F.lit(1.0)), F.struct(F.col("n_name"), F.lit(1.0))),
-        )
+    rates = F.map_concat(
+        F.map_from_entries(F.transform("_names", lambda x: F.struct(x, (F.col("n_nationkey") + F.length(x)).cast("double")))),
+        F.create_map(F.lit("EXTRA"), F.lit(1.0), F.col("n_name"), F.lit(1.0)),
     )
     return st.flatten_rates(n.select(F.col("n_name").alias("source"), F.lit("2024-01-01").alias("date"), rates.alias("rates"))).select("base", "target", "rate")
 

@@ -341,12 +341,11 @@ def profile(txns: DataFrame) -> DataFrame:
         F.lit("total").alias("metric"), "key", F.col("value").cast("decimal(28,2)").alias("value")
     )
     per = txns.groupBy("merchant_category", "channel").agg(F.count("*").alias("n"), F.sum("amount").alias("a"))
+    def line(metric, key, value):
+        return F.struct(F.lit(metric).alias("m"), F.col(key).alias("k"), F.col(value).cast("decimal(28,2)").alias("v"))
+
     kinds = F.explode(
-        F.array(
-            F.struct(F.lit("category_rows").alias("m"), F.col("merchant_category").alias("k"), F.col("n").cast("decimal(28,2)").alias("v")),
-            F.struct(F.lit("channel_rows"), F.col("channel"), F.col("n").cast("decimal(28,2)")),
-            F.struct(F.lit("category_amount"), F.col("merchant_category"), F.col("a").cast("decimal(28,2)")),
-        )
+        F.array(line("category_rows", "merchant_category", "n"), line("channel_rows", "channel", "n"), line("category_amount", "merchant_category", "a"))
     )
     rest = per.select(kinds.alias("e")).groupBy("e.m", "e.k").agg(F.sum("e.v").cast("decimal(28,2)").alias("value"))
     return head.unionByName(rest.select(F.col("m").alias("metric"), F.col("k").alias("key"), "value"))
