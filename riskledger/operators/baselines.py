@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cols import EPSILON, robust_z, smoothed_nll
-from .frames import running_totals
+from .frames import by_kind, from_kind, running_totals
 
 SURPRISAL_FIELDS = (
     "merchant_category",
@@ -55,16 +55,16 @@ def amount_features(txns: DataFrame, stats: DataFrame) -> DataFrame:
 
 def novelty_features(txns: DataFrame) -> DataFrame:
     """Flags from the card's earlier rows only, in (us, transaction_id) order."""
-    one = F.lit(1).cast("long")
     fields = ("merchant_category", "merchant_name", "device_id", "ip_address", "channel", "merchant_country")
-    keyed = [(["card_id"], "_n_card"), *[(["card_id", f], f"_n_{f}") for f in fields]]
-    out = txns
-    for keys, name in keyed:
-        out = out.join(running_totals(txns, keys, "us", "transaction_id", {name: one}), "transaction_id")
+    long = by_kind(txns, ["transaction_id", "us", "card_id"], {"card": F.lit("*"), **{f: F.col(f) for f in fields}})
+    keys = ["card_id", "kind", "key"]
+    runs = running_totals(long, keys, "us", "transaction_id", {"_n": F.lit(1).cast("long")}, keep=("kind",))
+    names = {"_n_card": ("card", "_n"), **{f"_n_{f}": (f, "_n") for f in fields}}
+    out = txns.join(from_kind(runs, "transaction_id", names), "transaction_id")
     prior = F.col("_n_card") - 1
 
     def new(f):
-        return (prior >= 3) & (F.col(f"_n_{f}") == 1) & (F.col(f) != "")
+        return (prior >= 3) & F.coalesce(F.col(f"_n_{f}") == 1, F.lit(False))
 
     def unusual(f):
         return (prior >= 8) & ((F.col(f"_n_{f}") - 1) * 10 <= prior)
@@ -101,10 +101,11 @@ def surprisal_features(txns: DataFrame, alpha: float = 1.0) -> DataFrame:
         F.sum(F.when(F.col("f") == "combo", F.col("n"))).alias("_total"),
         *[F.sum(F.when(F.col("f") == f, 1).otherwise(0)).alias(f"_card_{f}") for f in fields],
     )
-    out = rows.join(card, "card_id")
-    for f in fields:
-        own = counts.filter(F.col("f") == f).select("card_id", F.col("v").alias(f), F.col("n").alias(f"_n_{f}"))
-        out = out.join(own, ["card_id", f], "left")
+    own = by_kind(rows, ["transaction_id", "card_id"], {f: F.col(f) for f in fields}).join(
+        counts.select("card_id", F.col("f").alias("kind"), F.col("v").alias("key"), "n"), ["card_id", "kind", "key"]
+    )
+    found = from_kind(own, "transaction_id", {f"_n_{f}": (f, "n") for f in fields})
+    out = rows.join(found, "transaction_id").join(card, "card_id")
     nll = {
         f: F.when(F.col(f) == "", 0.0).otherwise(smoothed_nll(F.col(f"_n_{f}"), F.col("_total"), F.col(f"_card_{f}"), alpha))
         for f in fields

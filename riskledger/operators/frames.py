@@ -136,11 +136,12 @@ def arrival_frames(
     distinct: dict[str, int],
     count: dict[str, int] | None = None,
     span: int | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Per row: distinct members and rows among those that arrived in [us-w, us].
 
     Arrival order is (us, row_id); of rows with the same timestamp only those with a
-    smaller or equal id count. Returns ``row_id`` and the named columns.
+    smaller or equal id count. Returns ``row_id``, the ``keep`` keys and the named columns.
     """
     count = count or {}
     reach = max([*distinct.values(), *count.values()])
@@ -189,6 +190,7 @@ def arrival_frames(
     joined = rows.drop(member).join(starts, [*keys, us, row_id], "left").join(base, [*keys, us])
     return joined.select(
         row_id,
+        *keep,
         *[(F.col(f"_d_{n}") + F.coalesce(F.sum(f"_s_{n}").over(tie), zero)).alias(n) for n in distinct],
         *[(F.col(f"_c_{n}") + F.count(F.lit(1)).over(tie)).alias(n) for n in count],
     )
@@ -201,12 +203,13 @@ def running_totals(
     row_id: str,
     measures: dict[str, Column],
     span: int = 7 * DAY,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Running sums per key in (us, row_id) order, the row itself included.
 
     Two levels: a running sum inside each (key, time bucket) plus the total of the
-    key's earlier buckets, so no task holds a whole key. Returns ``row_id`` and the
-    measures, to be joined back; ``df`` is read twice, so pass the base rows.
+    key's earlier buckets, so no task holds a whole key. Returns ``row_id``, the
+    ``keep`` keys and the measures, to be joined back; ``df`` is read twice, so pass the base rows.
     """
     cut = df.select(
         *keys,
@@ -222,14 +225,32 @@ def running_totals(
     )
     local = _w(*keys, "_tb").orderBy(us, row_id).rowsBetween(Window.unboundedPreceding, 0)
     return cut.join(offsets, [*keys, "_tb"]).select(
-        row_id, *[(F.sum(f"_m_{n}").over(local) + F.col(f"_o_{n}")).alias(n) for n in measures]
+        row_id, *keep, *[(F.sum(f"_m_{n}").over(local) + F.col(f"_o_{n}")).alias(n) for n in measures]
     )
 
 
-def running_distinct(df: DataFrame, key: str, us: str, row_id: str, member: str, name: str) -> DataFrame:
+def running_distinct(
+    df: DataFrame, keys: list[str], us: str, row_id: str, member: str, name: str, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Per row: distinct members of the key seen up to the row; null keys are left out."""
-    rows = df.filter(F.col(key).isNotNull()).select(key, member, us, row_id)
-    first = rows.groupBy(key, member).agg(F.min(F.struct(us, row_id)).alias("_f"))
-    marks = first.select(key, F.col(f"_f.{row_id}").alias(row_id), F.lit(1).cast("long").alias("_new"))
-    marked = rows.join(marks, [key, row_id], "left")
-    return running_totals(marked, [key], us, row_id, {name: F.coalesce("_new", F.lit(0).cast("long"))})
+    rows = df.select(*keys, member, us, row_id).na.drop(subset=keys)
+    first = rows.groupBy(*keys, member).agg(F.min(F.struct(us, row_id)).alias("_f"))
+    marks = first.select(*keys, F.col(f"_f.{row_id}").alias(row_id), F.lit(1).cast("long").alias("_new"))
+    marked = rows.join(marks, [*keys, row_id], "left")
+    return running_totals(marked, keys, us, row_id, {name: F.coalesce("_new", F.lit(0).cast("long"))}, keep=keep)
+
+
+def by_kind(df: DataFrame, columns: list[str], keys: dict[str, Column]) -> DataFrame:
+    """Long form: one line per row and key kind, as (columns, kind, key); empty keys drop out.
+
+    Frames over several keys then share one shuffle chain over (kind, key).
+    """
+    each = [
+        F.when(k.isNotNull() & (k != ""), F.struct(F.lit(n).alias("kind"), k.alias("key"))) for n, k in keys.items()
+    ]
+    return df.select(*columns, F.explode(F.array_compact(F.array(*each))).alias("_k")).select(*columns, "_k.kind", "_k.key")
+
+
+def from_kind(long: DataFrame, row_id: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """Back to one line per row: ``columns[name] = (kind, value column)``."""
+    return long.groupBy(row_id).agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(n) for n, (k, c) in columns.items()])

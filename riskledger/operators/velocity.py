@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cols import ip_prefix
-from .frames import DAY, HOUR, MINUTE, arrival_frames, frame_distinct, frame_sums, running_distinct, running_totals
+from .frames import DAY, HOUR, MINUTE, arrival_frames, by_kind, frame_distinct, frame_sums, from_kind, running_distinct, running_totals
 
 FIRST_LOG_BUCKET = 50
 
@@ -28,63 +28,77 @@ def velocity_features(txns: DataFrame, p: RiskParams = RiskParams(), past_only:
     one = F.lit(1).cast("long")
     ahead = (lambda w: 0) if past_only else (lambda w: w)
 
-    def count_if(c, w):
-        return (F.when(c, 1).otherwise(0).cast("long"), w, ahead(w))
-
-    def frames(df, keys, measures):
-        return frame_sums(df, keys, "us", measures)
+    def frame(e, w):
+        return (e, w, ahead(w))
 
-    t = txns.withColumn("_device", F.nullif("device_id", F.lit(""))).withColumn("_ip", F.nullif("ip_address", F.lit("")))
-    card = frames(
-        t,
-        ["card_id"],
+    def count_if(c, w):
+        return frame(F.when(c, 1).otherwise(0).cast("long"), w)
+
+    device, ip = F.nullif("device_id", F.lit("")), F.nullif("ip_address", F.lit(""))
+    join = lambda *c: F.concat_ws("\x01", *c)
+    keys = {
+        "card": F.col("card_id"),
+        "pair": join("card_id", "merchant_name"),
+        "triple": join("card_id", "merchant_name", "merchant_category"),
+        "own_device": F.when(device.isNotNull(), join("card_id", "device_id")),
+    }
+    base = ["transaction_id", "us", "amount", "channel", "merchant_category"]
+    rows = by_kind(txns, base, keys)
+    sums = frame_sums(
+        rows,
+        ["kind", "key"],
+        "us",
         {
-            "card_tx_count_10m": (one, 10 * MINUTE, ahead(10 * MINUTE)),
-            "card_tx_count_60m": (one, HOUR, ahead(HOUR)),
-            "card_online_tx_count_60m": count_if(F.col("channel") == "online", HOUR),
-            "card_small_tx_count_60m": count_if(F.col("amount") <= p.small_amount, HOUR),
-            "card_high_risk_tx_count_24h": count_if(F.col("merchant_category").isin(*p.high_risk), DAY),
-            "card_high_amount_tx_count_24h": count_if(F.col("amount") >= p.high_amount, DAY),
+            "n10": frame(one, 10 * MINUTE),
+            "n60": frame(one, HOUR),
+            "n24": frame(one, DAY),
+            "sum60": frame(F.col("amount"), HOUR),
+            "online": count_if(F.col("channel") == "online", HOUR),
+            "small": count_if(F.col("amount") <= p.small_amount, HOUR),
+            "risky": count_if(F.col("merchant_category").isin(*p.high_risk), DAY),
+            "high": count_if(F.col("amount") >= p.high_amount, DAY),
         },
     )
-    pair = frames(
-        t,
-        ["card_id", "merchant_name"],
+    per_row = rows.select("transaction_id", "us", "kind", "key").join(sums, ["kind", "key", "us"])
+    own = from_kind(
+        per_row,
+        "transaction_id",
         {
-            "same_card_same_merchant_count_60m": (one, HOUR, ahead(HOUR)),
-            "same_card_same_merchant_sum_60m": (F.col("amount"), HOUR, ahead(HOUR)),
+            "card_tx_count_10m": ("card", "n10"),
+            "card_tx_count_60m": ("card", "n60"),
+            "card_online_tx_count_60m": ("card", "online"),
+            "card_small_tx_count_60m": ("card", "small"),
+            "card_high_risk_tx_count_24h": ("card", "risky"),
+            "card_high_amount_tx_count_24h": ("card", "high"),
+            "same_card_same_merchant_count_60m": ("pair", "n60"),
+            "same_card_same_merchant_sum_60m": ("pair", "sum60"),
+            "_split_n": ("triple", "n60"),
+            "_split_sum": ("triple", "sum60"),
+            "same_card_same_device_count_24h": ("own_device", "n24"),
         },
     )
-    triple = frames(
-        t,
-        ["card_id", "merchant_name", "merchant_category"],
-        {"_split_n": (one, HOUR, ahead(HOUR)), "_split_sum": (F.col("amount"), HOUR, ahead(HOUR))},
-    )
-    own_device = frames(t, ["card_id", "_device"], {"same_card_same_device_count_24h": (one, DAY, ahead(DAY))})
-    out = (
-        t.join(card, ["card_id", "us"])
-        .join(pair, ["card_id", "merchant_name", "us"])
-        .join(triple, ["card_id", "merchant_name", "merchant_category", "us"])
-        .join(own_device, ["card_id", "_device", "us"], "left")
-    )
+    crowd = by_kind(txns, ["transaction_id", "us", "card_id"], {"merchant": F.col("merchant_name"), "device": device, "ip": ip})
     if past_only:
-        for key, name, n in (("merchant_name", "merchant_unique_cards_60m", "merchant_tx_count_60m"), ("_device", "device_unique_cards_60m", None), ("_ip", "ip_unique_cards_60m", None)):
-            past = arrival_frames(t, [key], "us", "transaction_id", "card_id", {name: HOUR}, {n: HOUR} if n else None)
-            out = out.join(past, "transaction_id", "left")
+        seen = arrival_frames(crowd, ["kind", "key"], "us", "transaction_id", "card_id", {"d": HOUR}, {"n": HOUR}, keep=("kind",))
     else:
-        merchant = frame_distinct(t, ["merchant_name"], "us", "card_id", {"merchant_unique_cards_60m": HOUR}, {"merchant_tx_count_60m": HOUR})
-        device = frame_distinct(t, ["_device"], "us", "card_id", {"device_unique_cards_60m": HOUR})
-        ip = frame_distinct(t, ["_ip"], "us", "card_id", {"ip_unique_cards_60m": HOUR})
-        out = (
-            out.join(merchant, ["merchant_name", "us"])
-            .join(device, ["_device", "us"], "left")
-            .join(ip, ["_ip", "us"], "left")
-        )
+        near = frame_distinct(crowd, ["kind", "key"], "us", "card_id", {"d": HOUR}, {"n": HOUR})
+        seen = crowd.select("transaction_id", "us", "kind", "key").join(near, ["kind", "key", "us"])
+    shared = from_kind(
+        seen,
+        "transaction_id",
+        {
+            "merchant_unique_cards_60m": ("merchant", "d"),
+            "merchant_tx_count_60m": ("merchant", "n"),
+            "device_unique_cards_60m": ("device", "d"),
+            "ip_unique_cards_60m": ("ip", "d"),
+        },
+    )
+    out = txns.join(own, "transaction_id").join(shared, "transaction_id")
     split = (F.col("_split_n") >= 3) & ((F.col("_split_sum") >= p.split_sum) | (F.col("_split_n") >= 8))
     out = out.withColumn("split_purchase_suspect", split)
     for c in ("same_card_same_device_count_24h", "device_unique_cards_60m", "ip_unique_cards_60m"):
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0).cast("long")))
-    return out.drop("_device", "_ip", "_split_n", "_split_sum")
+    return out.drop("_split_n", "_split_sum")
 
 
 def near_duplicates(txns: DataFrame, name: str = "same_card_same_amount_near_duplicate_24h") -> DataFrame:
@@ -146,29 +160,30 @@ def near_duplicates(txns: DataFrame, name: str = "same_card_same_amount_near_dup
 
 def collective_features(txns: DataFrame) -> DataFrame:
     """Arrival-ordered cross-card features: each row sees only rows up to itself."""
-    t = (
-        txns.withColumn("_device", F.nullif("device_id", F.lit("")))
-        .withColumn("_ip", F.nullif("ip_address", F.lit("")))
-        .withColumn("ip_prefix", ip_prefix(F.col("ip_address")))
-        .withColumn("_prefix", F.nullif(ip_prefix(F.col("ip_address")), F.lit("")))
-    )
+    prefix = ip_prefix(F.col("ip_address"))
+    t = txns.withColumn("ip_prefix", prefix)
+    base, keys = ["transaction_id", "us", "card_id"], ["kind", "key"]
+    by_key = {"merchant": F.col("merchant_name"), "device": F.col("device_id"), "ip": F.col("ip_address")}
     args = ("us", "transaction_id", "card_id")
-    merchant = arrival_frames(
-        t, ["merchant_name"], *args, {"_m60": HOUR, "merchant_unique_cards_24h": DAY}, {"_mn60": HOUR}
+    crowd = by_kind(t, base, {**by_key, "prefix": prefix})
+    moving = arrival_frames(crowd, keys, *args, {"d60": HOUR, "d24": DAY}, {"n60": HOUR}, keep=("kind",))
+    moved = from_kind(
+        moving,
+        "transaction_id",
+        {
+            "_m60": ("merchant", "d60"),
+            "_mn60": ("merchant", "n60"),
+            "merchant_unique_cards_24h": ("merchant", "d24"),
+            "device_unique_cards_24h": ("device", "d24"),
+            "ip_unique_cards_24h": ("ip", "d24"),
+            "ip_prefix_unique_cards_60m": ("prefix", "d60"),
+            "ip_prefix_tx_count_60m": ("prefix", "n60"),
+        },
     )
-    device = arrival_frames(t, ["_device"], *args, {"device_unique_cards_24h": DAY})
-    ip = arrival_frames(t, ["_ip"], *args, {"ip_unique_cards_24h": DAY})
-    prefix = arrival_frames(t, ["_prefix"], *args, {"ip_prefix_unique_cards_60m": HOUR}, {"ip_prefix_tx_count_60m": HOUR})
-    totals = [
-        running_distinct(t, k, "us", "transaction_id", "card_id", n)
-        for k, n in (
-            ("merchant_name", "merchant_unique_cards_total"),
-            ("_device", "device_unique_cards_total"),
-            ("_ip", "ip_unique_cards_total"),
-        )
-    ]
+    totals = running_distinct(by_kind(t, base, by_key), keys, *args, "total", keep=("kind",))
+    ever = from_kind(totals, "transaction_id", {f"{k}_unique_cards_total": (k, "total") for k in by_key})
     out = t
-    for feats in (merchant, device, ip, prefix, *totals, cluster_counts(t)):
+    for feats in (moved, ever, cluster_counts(t)):
         out = out.join(feats, "transaction_id", "left")
     for c in (
         "device_unique_cards_24h",
@@ -179,7 +194,7 @@ def collective_features(txns: DataFrame) -> DataFrame:
         "ip_unique_cards_total",
     ):
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0).cast("long")))
-    return burst_flags(out).drop("_device", "_ip", "_prefix", "_m60", "_mn60")
+    return burst_flags(out).drop("_m60", "_mn60")
 
 
 def cluster_counts(txns: DataFrame, rare_at: int = 4) -> DataFrame:

@@ -56,7 +56,7 @@ def test_arrival_frames(df, rows):
 
 def test_running(df, rows):
     tot = {r.id: r.s for r in frames.running_totals(df, ["k"], "us", "id", {"s": F.col("x")}, span=2 * W).collect()}
-    dis = {r.id: r.d for r in frames.running_distinct(df, "k", "us", "id", "card", "d").collect()}
+    dis = {r.id: r.d for r in frames.running_distinct(df, ["k"], "us", "id", "card", "d").collect()}
     for k, us, ident, *_ in rows:
         seen = [r for r in rows if r[0] == k and (r[1], r[2]) <= (us, ident)]
         assert tot[ident] == sum(r[4] for r in seen)
