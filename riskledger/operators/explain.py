@@ -102,8 +102,8 @@ def hit_rate(weighted: DataFrame, ks=(5, 10, 15, 20, 25), draws: int = 100, seed
     k / m in each draw has that expected share, which the draws estimate.
     """
     spark = weighted.sparkSession
-    best = F.max("human_importance").over(Window.partitionBy(COMMUNITY))
-    e = canonical(weighted).withColumn("_top", F.col("human_importance") == best)
+    best = weighted.groupBy(COMMUNITY).agg(F.max("human_importance").alias("_best"))
+    e = canonical(weighted).join(best, COMMUNITY).withColumn("_top", F.col("human_importance") == F.col("_best")).drop("_best")
     m = e.filter("_top").select(COMMUNITY, *PAIR).distinct().groupBy(COMMUNITY).agg(F.count("*").alias("_m"))
     order = Window.partitionBy(COMMUNITY).orderBy(F.desc(weight), "source", "target")
     heavy = e.withColumn("_rk", F.row_number().over(order)).filter(F.col("_rk") <= max(ks)).join(m, COMMUNITY)

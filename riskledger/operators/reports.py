@@ -69,7 +69,7 @@ def monthly_totals(rows: DataFrame, start: str, end: str, is_revenue: Column | N
         _sum_if(amt > 0, amt, "income"),
         _sum_if(spent, -amt, "expenses"),
     )
-    grid = month_grid(rows.select("team_id").distinct(), start, end)
+    grid = month_grid(sums.select("team_id").distinct(), start, end)  # reads the grouped pass again, not the rows
     return grid.join(sums, ["team_id", "month"], "left").na.fill(0)
 
 

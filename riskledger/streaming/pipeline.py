@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -154,8 +156,6 @@ def track_batch(events: DataFrame, gap_seconds: int = 60, span: int = DAY) -> Da
     The previous row of a bucket's first row comes from the last line of the card's
     earlier buckets; counts are two-level running sums, so a card is never one task.
     """
-    from pyspark.sql import Window
-
     us = F.unix_micros("event_time")
     e = events.withColumn("us", us).withColumn("_tb", F.floor(us / F.lit(span)).cast("long"))
     place = F.struct("us", "transaction_id", "latitude", "longitude")
@@ -205,12 +205,17 @@ class CollectiveProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         last = {k[0]: val[0] for k, val in self.last.iterator()} if self.last.exists() else {}
+        times = sorted(last.values())
         touched = set()
         for r in sorted(rows, key=lambda x: (x["us"], x["transaction_id"])):
-            last[r["card_id"]] = r["us"]
-            touched.add(r["card_id"])
-            hour = sum(1 for t in last.values() if t >= r["us"] - HOUR)
-            day = sum(1 for t in last.values() if t >= r["us"] - DAY)
+            card, us = r["card_id"], r["us"]
+            if card in last:
+                times.pop(bisect_left(times, last[card]))
+            insort(times, us)
+            last[card] = us
+            touched.add(card)
+            hour = len(times) - bisect_left(times, us - HOUR)
+            day = len(times) - bisect_left(times, us - DAY)
             yield Row(transaction_id=r["transaction_id"], unique_60m=hour, unique_24h=day, unique_total=len(last))
         for card in touched:
             self.last.updateValue((card,), (last[card],))
@@ -272,7 +277,7 @@ def progress(query) -> DataFrame:
     """Input rows, rate and trigger time of the query's recent progress reports."""
     rows = [
         (p["batchId"], int(p["numInputRows"]), float(p.get("processedRowsPerSecond") or 0.0), int(p["durationMs"].get("triggerExecution", 0)))
-        for p in (r if isinstance(r, dict) else __import__("json").loads(r.json) for r in query.recentProgress)
+        for p in (r if isinstance(r, dict) else json.loads(r.json) for r in query.recentProgress)
     ]
     schema = "batch_id long, input_rows long, rows_per_second double, trigger_ms long"
     return SparkSession.getActiveSession().createDataFrame(rows, schema)
