@@ -52,7 +52,7 @@ def velocity_features(txns: DataFrame, p: RiskParams = RiskParams(), past_only:
             "n10": frame(one, 10 * MINUTE),
             "n60": frame(one, HOUR),
             "n24": frame(one, DAY),
-            "sum60": frame(F.col("amount"), HOUR),
+            "cents60": frame((F.col("amount") * 100).cast("long"), HOUR),  # whole cents: long sums in the frames
             "online": count_if(F.col("channel") == "online", HOUR),
             "small": count_if(F.col("amount") <= p.small_amount, HOUR),
             "risky": count_if(F.col("merchant_category").isin(*p.high_risk), DAY),
@@ -71,9 +71,9 @@ def velocity_features(txns: DataFrame, p: RiskParams = RiskParams(), past_only:
             "card_high_risk_tx_count_24h": ("card", "risky"),
             "card_high_amount_tx_count_24h": ("card", "high"),
             "same_card_same_merchant_count_60m": ("pair", "n60"),
-            "same_card_same_merchant_sum_60m": ("pair", "sum60"),
+            "same_card_same_merchant_sum_60m": ("pair", "cents60"),
             "_split_n": ("triple", "n60"),
-            "_split_sum": ("triple", "sum60"),
+            "_split_sum": ("triple", "cents60"),
             "same_card_same_device_count_24h": ("own_device", "n24"),
         },
     )
@@ -94,8 +94,9 @@ def velocity_features(txns: DataFrame, p: RiskParams = RiskParams(), past_only:
         },
     )
     out = txns.join(own, "transaction_id").join(shared, "transaction_id")
-    split = (F.col("_split_n") >= 3) & ((F.col("_split_sum") >= p.split_sum) | (F.col("_split_n") >= 8))
-    out = out.withColumn("split_purchase_suspect", split)
+    split = (F.col("_split_n") >= 3) & ((F.col("_split_sum") >= p.split_sum * 100) | (F.col("_split_n") >= 8))
+    total = (F.col("same_card_same_merchant_sum_60m").cast("decimal(26,0)") / 100).cast("decimal(28,2)")
+    out = out.withColumn("split_purchase_suspect", split).withColumn("same_card_same_merchant_sum_60m", total)
     for c in ("same_card_same_device_count_24h", "device_unique_cards_60m", "ip_unique_cards_60m"):
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0).cast("long")))
     return out.drop("_split_n", "_split_sum")

@@ -17,6 +17,9 @@ def get_session(app: str = "riskledger", master: str | None = None, partitions:
     )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # small data, heavy windows: few bytes must not mean one task
+            builder = builder.config("spark.sql.adaptive.coalescePartitions.enabled", "false")
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
