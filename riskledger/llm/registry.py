@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskledger.llm import html, leaks, packing, quality, repeats, sharding, simhash, warc
+from riskledger.llm import html, leaks, lines, packing, quality, repeats, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -77,3 +77,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "first", "last", "edits")
+
+
+@query("op7_lines")
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.remove_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed_lines", F.sha2("text", 256).alias("kept_sha256"))
