@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskledger.llm import html, leaks, lines, packing, quality, repeats, sharding, simhash, warc
+from riskledger.llm import html, leaks, lines, packing, quality, quotes, repeats, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,3 +83,9 @@ def op3_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.remove_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed_lines", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op6_quotes")
+def op6_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quotes.conversations(table(spark, sf_dir, "conversations"))
+    return found.withColumnRenamed("conv", "conv_id")
