@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskledger.session import checkpointed
+from riskledger.session import checkpoint_dir, checkpointed
 
-__all__ = ["checkpointed", "connected", "text_bytes"]
+__all__ = ["checkpointed", "connected", "scratch"]
 
 
-def text_bytes(docs: DataFrame, column: str) -> int:
-    """Bytes of all texts; sizes the groups of an operator so that each fits a task."""
-    return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -152,9 +152,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return aligned.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
 
 
-def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, least: int = LEAST) -> DataFrame:
+def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, least: int = LEAST, counts: bool = True) -> DataFrame:
     """``docs`` with the repeated lines deleted, and n_lines, n_removed_lines (an input column so named is replaced).
 
+    Without ``counts`` the columns of ``docs`` only.
+
     Earlier is the smaller id, a null id before all. Rows alike in id and text are one document and are not
     compared with each other; rows of one id with different texts are two documents. A null text stays null and
     has no lines; an empty text has one blank line; blank lines go only inside a block. Texts are compared as
@@ -165,7 +167,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__places", i)), "\n")
-    counts = {"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed_lines": F.coalesce(F.size("__places"), F.lit(0))}
-    names = [c for c in docs.columns if c not in counts]
-    out = joined.select(*[F.col(f"`{c}`") for c in names], *[v.alias(k) for k, v in counts.items()], "__places")
+    extra = {"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed_lines": F.coalesce(F.size("__places"), F.lit(0))} if counts else {}
+    names = [c for c in docs.columns if c not in extra]
+    out = joined.select(*[F.col(f"`{c}`") for c in names], *[v.alias(k) for k, v in extra.items()], "__places")
     return out.withColumn(text_col, F.when(F.col("__places").isNull(), F.col(text_col)).otherwise(kept)).drop("__places")

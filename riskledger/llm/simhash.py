@@ -162,3 +162,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = member.join(least, "class").select("fp", F.col("least"))
     known = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component"))
     return prints.join(known, "fp").select("id", "fp", "component")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component, columns unchanged.
+
+    A null id counts as the smallest; of rows alike in the id the smaller hash of the text decides,
+    and of rows alike in both one stays.
+    """
+    found = near_duplicates(docs.withColumn("__key", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))), "__key", text_col, words, distance)
+    first = found.groupBy("component").agg(F.lit(1).alias("one")).select(F.col("component.id").alias("__id"), F.col("component.h").alias("__h"))
+    kept = docs.withColumn("__hash", F.xxhash64(text_col)).join(first, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_semi")
+    return kept.dropDuplicates([id_col, "__hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -24,8 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskledger.llm.frames import checkpointed
-from riskledger.session import checkpoint_dir
+from riskledger.llm.frames import checkpointed, scratch
 
 #: The skippable frame that holds the dictionary, the frame and dictionary magics.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -298,11 +297,6 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = False)
     return archives.select("path", "records").repartition(min(tasks, 100_000)).mapInArrow(run, schema)
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder in the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def archive_and_read(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, folder: str | None = None) -> DataFrame:
     """Write a record per page to ``folder`` and read the archives back.
 
