@@ -263,7 +263,8 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
             if label and (not found[i].inside or all_inside[max(i, at)] - all_inside[min(i, at)] == abs(i - at)):
                 out[i] = (abs(i - at), label)
             if labels[i] in ("good", "bad"):
-                last[True] = (i, labels[i]) if found[i].inside else last[True]
+                if found[i].inside and not found[i].side:  # an advert in the article says nothing of its neighbours
+                    last[True] = (i, labels[i])
                 last[False] = (i, labels[i])
         return out
 
