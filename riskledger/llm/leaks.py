@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from riskledger.llm.words import window_hashes
 
@@ -260,7 +261,7 @@ def blocks(items: DataFrame, id_col: str, text_col: str, size: int = BLOCK) -> I
         yield block
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **limits) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK, **limits) -> DataFrame:
     """One row per document and item found in it: id, item, first, last, edits of the best region.
 
     A null text holds nothing; items shorter than ``least`` characters are not looked for; repeated
@@ -269,9 +270,10 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     schema = f"id {kind}, item {item_kind}, first bigint, last bigint, edits int"
+    item_arrow = to_arrow_type(items.schema[item_col].dataType)
     out = spark.createDataFrame([], schema)
-    for block in blocks(items, item_col, item_text):
-        held = spark.sparkContext.broadcast(build(block, **limits))
+    for some in blocks(items, item_col, item_text, block):
+        held = spark.sparkContext.broadcast(build(some, **limits))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -279,18 +281,18 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                 found = search(texts, held.value)
                 if found:
                     row, item, first, end, edits = zip(*found, strict=True)
-                    columns = [batch.column(0).take(pa.array(row)), pa.array(item), pa.array(first, pa.int64()), pa.array([e - 1 for e in end], pa.int64()), pa.array(edits, pa.int32())]
+                    columns = [batch.column(0).take(pa.array(row)), pa.array(item, item_arrow), pa.array(first, pa.int64()), pa.array([e - 1 for e in end], pa.int64()), pa.array(edits, pa.int32())]
                     yield pa.record_batch(columns, ["id", "item", "first", "last", "edits"])
 
         out = out.union(docs.select(id_col, text_col).mapInArrow(run, schema))
     return out
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **limits) -> DataFrame:
+def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK, **limits) -> DataFrame:
     """The rows of ``docs`` in which no item is found, columns unchanged. Narrow: no shuffle."""
     spark, place = docs.sparkSession, docs.columns.index(text_col)
-    for block in blocks(items, item_col, item_text):
-        held = spark.sparkContext.broadcast(build(block, **limits))
+    for some in blocks(items, item_col, item_text, block):
+        held = spark.sparkContext.broadcast(build(some, **limits))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
