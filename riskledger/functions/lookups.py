@@ -24,17 +24,28 @@ CATEGORY_TREE = {
 }
 EXCLUDED_SLUGS = ("internal-transfer",)
 
-# Country, tax type, default rate, rate of meals (None: the default).
+# Country, tax type, default rate.
 COUNTRY_TAX = (
-    ("SE", "vat", 25.0, 12.0), ("FI", "vat", 25.5, 14.0), ("NO", "vat", 25.0, 15.0), ("DK", "vat", 25.0, None), ("DE", "vat", 19.0, 7.0),
-    ("FR", "vat", 20.0, 10.0), ("NL", "vat", 21.0, 9.0), ("BE", "vat", 21.0, 12.0), ("AT", "vat", 20.0, 10.0), ("IT", "vat", 22.0, 10.0),
-    ("ES", "vat", 21.0, 10.0), ("GB", "vat", 20.0, 5.0), ("AU", "gst", 10.0, None), ("NZ", "gst", 15.0, None), ("CH", "vat", 7.7, 7.7),
-    ("IE", "vat", 23.0, 13.5), ("PL", "vat", 23.0, 8.0), ("CZ", "vat", 21.0, 12.0), ("PT", "vat", 23.0, 13.0), ("LU", "vat", 17.0, 8.0),
-    ("EE", "vat", 20.0, 9.0), ("LV", "vat", 21.0, 12.0), ("LT", "vat", 21.0, 9.0), ("SK", "vat", 23.0, 10.0), ("SI", "vat", 22.0, 9.5),
-    ("RO", "vat", 19.0, 9.0), ("HU", "vat", 27.0, 18.0), ("TR", "vat", 18.0, 8.0), ("US", "sales_tax", 0.0, None), ("CA", "gst", 5.0, None),
+    ("SE", "vat", 25.0), ("FI", "vat", 25.5), ("NO", "vat", 25.0), ("DK", "vat", 25.0), ("DE", "vat", 19.0), ("FR", "vat", 20.0), ("NL", "vat", 21.0), ("BE", "vat", 21.0),
+    ("AT", "vat", 20.0), ("IT", "vat", 22.0), ("ES", "vat", 21.0), ("US", "sales_tax", 0.0), ("GB", "vat", 20.0), ("CA", "gst", 5.0), ("AU", "gst", 10.0), ("NZ", "gst", 15.0),
+    ("CH", "vat", 7.7), ("IE", "vat", 23.0), ("PL", "vat", 23.0), ("CZ", "vat", 21.0), ("PT", "vat", 23.0), ("LU", "vat", 17.0), ("EE", "vat", 20.0), ("LV", "vat", 21.0),
+    ("LT", "vat", 21.0), ("SK", "vat", 23.0), ("SI", "vat", 22.0), ("RO", "vat", 19.0), ("HU", "vat", 27.0), ("TR", "vat", 18.0),
 )
-UTILITIES_RATE = {"GB": 5.0, "CH": 7.7}
-# Categories without tax in every country.
+# Rates of single categories that are neither the default nor zero.
+CATEGORY_RATES = {
+    "SE": {"meals": 12.0}, "FI": {"meals": 14.0}, "NO": {"meals": 15.0}, "DE": {"meals": 7.0}, "FR": {"meals": 10.0}, "NL": {"meals": 9.0}, "BE": {"meals": 12.0},
+    "AT": {"meals": 10.0}, "IT": {"meals": 10.0}, "ES": {"meals": 10.0},
+    "US": {
+        "office-supplies": 5.0, "equipment": 5.0, "software": 4.0, "meals": 6.0, "non-software-subscriptions": 4.0, "promotional-materials": 5.0, "facilities-expenses": 4.0,
+        "internet-and-telephone": 3.0, "fixed-assets": 5.0,
+    },
+    "GB": {"meals": 5.0, "utilities": 5.0}, "CH": {"meals": 7.7, "utilities": 7.7}, "IE": {"meals": 13.5}, "PL": {"meals": 8.0}, "CZ": {"meals": 12.0}, "PT": {"meals": 13.0},
+    "LU": {"meals": 8.0}, "EE": {"meals": 9.0}, "LV": {"meals": 12.0}, "LT": {"meals": 9.0}, "SK": {"meals": 10.0}, "SI": {"meals": 9.5}, "RO": {"meals": 9.0},
+    "HU": {"meals": 18.0}, "TR": {"meals": 8.0},
+}
+# Countries that do not list these two categories as exempt.
+NOT_EXEMPT = {"US": ("revenue", "salary"), "CA": ("revenue", "salary"), "AU": ("revenue", "salary"), "NZ": ("revenue", "salary")}
+# Categories without tax.
 EXEMPT = (
     "revenue", "income", "product-sales", "service-revenue", "consulting-revenue", "subscription-revenue", "interest-income", "other-income",
     "customer-refunds", "chargebacks-disputes", "insurance", "benefits", "salary", "employer-taxes", "taxes", "vat-gst-pst-qst-payments",
@@ -54,19 +65,22 @@ def categories(spark: SparkSession) -> DataFrame:
 
 
 def tax_rates(spark: SparkSession) -> DataFrame:
-    """Country rates; about thirty rows."""
-    rows = [(c, t, d, m if m is not None else d, UTILITIES_RATE.get(c, d)) for c, t, d, m in COUNTRY_TAX]
-    return spark.createDataFrame(rows, "country_code string, country_tax_type string, default_rate double, meals_rate double, utilities_rate double")
+    """country_code, slug, rate of every category whose rate is not the country's default: at most countries x categories rows."""
+    rows = []
+    for country, _, _ in COUNTRY_TAX:
+        own = {slug: 0.0 for slug in EXEMPT if slug not in NOT_EXEMPT.get(country, ())} | CATEGORY_RATES.get(country, {})
+        rows += [(country, slug, rate) for slug, rate in own.items()]
+    return spark.createDataFrame(rows, "country_code string, rate_slug string, slug_rate double")
 
 
 def with_tax_rate(rows: DataFrame, country: str, slug: str) -> DataFrame:
-    """Add tax_rate and tax_type by country and category; unknown countries have none."""
-    rates = tax_rates(rows.sparkSession)
-    s = F.col(slug)
-    rate = F.when(s.isin(*EXEMPT), 0.0).when(s == "meals", F.col("meals_rate")).when(s == "utilities", F.col("utilities_rate")).otherwise(F.col("default_rate"))
-    joined = rows.join(F.broadcast(rates), F.col(country) == F.col("country_code"), "left")  # about thirty rows
-    out = joined.withColumn("tax_rate", F.coalesce(rate, F.lit(0.0))).withColumn("tax_type", F.col("country_tax_type"))
-    return out.drop("country_code", "country_tax_type", "default_rate", "meals_rate", "utilities_rate")
+    """Add tax_rate and tax_type by country and category; unknown countries have rate 0 and no type."""
+    spark = rows.sparkSession
+    defaults = spark.createDataFrame(list(COUNTRY_TAX), "default_country string, country_tax_type string, default_rate double")
+    joined = rows.join(F.broadcast(defaults), F.col(country) == F.col("default_country"), "left")  # thirty rows
+    joined = joined.join(F.broadcast(tax_rates(spark)), (F.col(country) == F.col("country_code")) & (F.col(slug) == F.col("rate_slug")), "left")  # fixed table
+    out = joined.withColumn("tax_rate", F.coalesce("slug_rate", "default_rate", F.lit(0.0))).withColumn("tax_type", F.col("country_tax_type"))
+    return out.select(*rows.columns, "tax_rate", "tax_type")
 
 
 def fiscal_start_month(country: Column) -> Column:

@@ -16,7 +16,7 @@ COMPANY_SUFFIXES = (
     "plc", "pbc", "sarl", "oü", "ou", "ug", "kg", "mbh", "lda", "limited", "incorporated", "corporation",
 )
 # Fixed value list: second-level labels that make a two-part public suffix.
-TWO_PART_TLDS = ("co.uk", "com.au", "co.nz", "co.jp", "co.za", "com.br", "com.mx", "co.in", "com.sg", "org.uk", "net.au", "gov.uk", "ac.uk")
+TWO_PART_TLDS = ("co.uk", "com.au", "co.nz", "co.za", "com.br", "com.mx", "co.jp", "com.cn")
 
 
 def _accent_table() -> tuple[str, str]:
@@ -145,9 +145,9 @@ def search_match(text: Column, query: str) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """Control characters out, runs of blanks to one, line breaks kept single."""
-    no_ctrl = F.regexp_replace(c, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(no_ctrl, "[ \\t]+", " "), "\\n{2,}", "\n"))
+    """Control characters out, line breaks and tabs among them; runs of other white space to one blank."""
+    no_ctrl = F.regexp_replace(c, "[\\x00-\\x1F\\x7F-\\x9F]", "")
+    return F.trim(F.regexp_replace(no_ctrl, "[ \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]+", " "))
 
 
 def limit_words(c: Column, n: int) -> Column:

@@ -110,7 +110,7 @@ def _periodic(slug: Column) -> Column:
     return out
 
 
-def spend_anomalies(current: DataFrame, previous: DataFrame, major=1000, minor=500, large=(100, 500), moderate=(50, 200), top: int = 3) -> DataFrame:
+def spend_anomalies(current: DataFrame, previous: DataFrame, major=500, minor=50, large=(50, 100), moderate=(30, 50), top: int = 3) -> DataFrame:
     """Largest category changes per team (``team_id, slug, amount``); periodic ones are skipped."""
     p = previous.select("team_id", "slug", F.col("amount").alias("_p"))
     df = current.filter(~_periodic(F.col("slug"))).join(p, ["team_id", "slug"], "left")
@@ -129,16 +129,58 @@ def spend_anomalies(current: DataFrame, previous: DataFrame, major=1000, minor=5
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("team_id", "slug", "anomaly", "severity", "change", "rank")
 
 
+# Metric, category, priority, in order.
+METRICS = (
+    ("revenue", "financial", 1), ("expenses", "financial", 1), ("cash_flow", "financial", 2), ("net_profit", "profitability", 1), ("profit_margin", "profitability", 2), ("runway_months", "runway", 1),
+    ("cash_balance", "financial", 2), ("overdue_amount", "receivables", 2), ("invoices_overdue", "invoicing", 5), ("outstanding_ar", "invoicing", 1), ("invoices_sent", "invoicing", 3), ("invoices_paid", "invoicing", 3),
+    ("active_customers", "customers", 2), ("new_customers", "customers", 2), ("hours_tracked", "time", 2), ("receipts_matched", "operations", 5), ("transactions_categorized", "operations", 5),
+)
+# Metrics of a point in time, in the order in which they fill free places.
+STATE_METRICS = ("cash_balance", "overdue_amount", "runway_months")
+
+
+def _by_metric(column: Column, values: dict, default) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), column), F.lit(default))
+
+
+def metric_score(m: Column, value: Column, previous: Column, change: Column) -> Column:
+    """Priority, data, size of the change, alarm and core points of a metric."""
+    priority = _by_metric(m, {k: p for k, _, p in METRICS}, 3)
+    size = F.abs(change)
+    alarm = ((m == "runway_months") & (value < 6)) | ((m == "net_profit") & (value < 0)) | ((m == "cash_flow") & (value < 0))
+    return (
+        F.greatest(F.lit(10), F.lit(25) - priority * 5)
+        + F.when((value != 0) | (previous != 0), 25).otherwise(0)
+        + F.when(size > 20, 20).when(size > 10, 12).when(size > 5, 6).otherwise(0)
+        + F.when(alarm, 15).otherwise(0)
+        + F.when(m.isin(*CORE_METRICS), 10).otherwise(0)
+    ).cast("double")
+
+
 def top_metrics(metrics: DataFrame, per_category: int = 2, n: int = 4) -> DataFrame:
-    """Most telling metrics per team: by score, at most two per category, core ones first on ties."""
-    cat = F.when(F.col("metric").isin("revenue", "net_profit", "profit_margin"), "financial").otherwise("operations")
-    core = F.when(F.col("metric").isin(*CORE_METRICS), 1).otherwise(0)
-    score = F.least(F.abs("change"), F.lit(100.0)) + core * 20 + F.when(F.col("value") != 0, 10).otherwise(0)
-    w = Window.partitionBy("team_id", "category").orderBy(F.desc("score"), "metric")
-    df = metrics.withColumn("category", cat).withColumn("score", score).withColumn("_rc", F.row_number().over(w))
-    w2 = Window.partitionBy("team_id").orderBy(F.desc("score"), "metric")
-    kept = df.filter(F.col("_rc") <= per_category).withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= n)
-    return kept.drop("_rc")
+    """The ``n`` most telling metrics per team, at most two of a category.
+
+    Bookkeeping metrics, overdue counts and metrics without data stay out (point-in-time ones may be
+    zero). Without a core metric among them the first core one takes the last one's place, at the front;
+    free places are filled with point-in-time metrics. A team has some twenty metrics at most.
+    """
+    m, v = F.col("metric"), F.col("value")
+    place = _by_metric(m, {k: i for i, (k, _, _) in enumerate(METRICS)}, len(METRICS))
+    df = metrics.withColumns({"category": _by_metric(m, {k: c for k, c, _ in METRICS}, "other"), "_place": place, "_core": m.isin(*CORE_METRICS).cast("int"), "_fill": _by_metric(m, {k: i for i, k in enumerate(STATE_METRICS)}, 99)})
+    df = df.withColumn("score", metric_score(m, v, F.col("previous"), F.col("change")))
+    state = F.col("_fill") < 99
+    df = df.withColumn("_in", (m != "invoices_overdue") & (F.col("category") != "operations") & ((v != 0) | (F.coalesce("previous", F.lit(0.0)) != 0) | state))
+    in_category = F.row_number().over(Window.partitionBy("team_id", "category").orderBy(F.desc("_in"), F.desc("score"), "_place"))
+    df = df.withColumn("_ok", F.col("_in") & (in_category <= per_category))
+    team = Window.partitionBy("team_id")
+    df = df.withColumn("_pos", F.when(F.col("_ok"), F.row_number().over(team.orderBy(F.desc("_ok"), F.desc("score"), "_place"))))
+    df = df.withColumn("_sel", F.coalesce(F.col("_pos") <= n, F.lit(False)))
+    df = df.withColumns({"_has": F.max(F.when(F.col("_sel"), F.col("_core"))).over(team), "_n": F.sum(F.col("_sel").cast("int")).over(team), "_first": F.min(F.when(F.col("_in") & (F.col("_core") == 1), F.col("_place"))).over(team)})
+    swap = (F.coalesce("_has", F.lit(0)) == 0) & F.col("_first").isNotNull() & (F.col("_n") > 0)
+    df = df.withColumn("_pos", F.when(swap & (F.col("_place") == F.col("_first")), 0).when(swap & (F.col("_pos") == F.col("_n")), None).when(F.col("_sel"), F.col("_pos")))
+    filler = F.when(F.col("_pos").isNull() & state, F.lit(100) + F.col("_fill"))
+    df = df.withColumn("_pos", F.coalesce("_pos", filler)).filter(F.col("_pos").isNotNull())
+    return df.withColumn("rank", F.row_number().over(team.orderBy("_pos"))).filter(F.col("rank") <= n).select(*metrics.columns, "category", "score", "rank")
 
 
 # ---- history (team_id, period (week start), revenue, profit)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,13 +82,19 @@ def search(text_cols: list[str], q: str, amount: str = "amount") -> Column:
         return tx.search_match(hay, q) | hay.ilike(f"%{q}%")
 
 
-def search_near(text_cols: list[str], q: str, amount: str = "amount") -> Column:
-    """As ``search`` but amounts match within max(1, 10 %)."""
+def search_near(text_cols: list[str], q: str, amount: str = "amount", base: str = "base_amount") -> Column:
+    """Words or parts of the text; a numeric query also matches either amount within max(1, 10 %)."""
+    hay = F.concat_ws(" ", *text_cols)
+    hit = tx.search_match(hay, q) | hay.ilike(f"%{q}%")
     try:
-        x = abs(float(q))
+        x = float(re.sub(r"[^\d.-]", "", q))
     except ValueError:
-        return F.concat_ws(" ", *text_cols).ilike(f"%{q}%")
-    return F.abs(F.abs(F.col(amount)) - F.lit(str(x)).cast("decimal(18,2)")) <= F.lit(str(max(1.0, 0.1 * x))).cast("decimal(18,4)")
+        return hit
+    near = F.lit(str(max(1.0, 0.1 * abs(x)))).cast("decimal(18,4)")
+    at = F.lit(str(x)).cast("decimal(18,2)")
+    for c in (F.coalesce(amount, F.lit(0)), F.coalesce(base, F.lit(0))):
+        hit = hit | (F.abs(F.abs(c) - at) <= near)
+    return hit
 
 
 def list_transactions(
@@ -133,14 +141,19 @@ def list_transactions(
 def page(rows: DataFrame, column: str, key: str, size: int, descending: bool = True, after: tuple | None = None) -> DataFrame:
     """One page in (column, key) order after the cursor; ties resolved by the key.
 
-    The cursor is a filter, so Spark prunes and keeps only the page (TakeOrdered).
+    Nulls come last in a descending list and first in an ascending one; a cursor may stand on a null. The
+    cursor is a filter, so Spark prunes and keeps only the page (TakeOrdered).
     """
     c, k = F.col(column), F.col(key)
+    out = rows
     if after is not None:
-        val, last = F.lit(after[0]).cast(rows.schema[column].dataType), F.lit(after[1])
-        out = rows.filter((c < val) | ((c == val) & (k > last))) if descending else rows.filter((c > val) | ((c == val) & (k > last)))
-    else:
-        out = rows
+        last = F.lit(after[1])
+        if after[0] is None:
+            beyond = (c.isNull() & (k > last)) | (F.lit(not descending) & c.isNotNull())
+        else:
+            val = F.lit(after[0]).cast(rows.schema[column].dataType)
+            beyond = (c == val) & (k > last) | ((c < val) | c.isNull() if descending else c > val)
+        out = rows.filter(beyond)
     order = c.desc_nulls_last() if descending else c.asc_nulls_first()
     return out.orderBy(order, k.asc()).limit(size)
 

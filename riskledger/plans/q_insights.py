@@ -123,12 +123,31 @@ def insight_anomalies(spark, sf):
     return insights.anomalies(_metrics(spark, sf)).select("team_id", "metric", "anomaly", "severity")
 
 
-@query("insight_top_metrics", "SRT-09")
+_SCORED = """SELECT *, row_number() OVER (PARTITION BY team_id, category ORDER BY score DESC, place) AS rc FROM (SELECT *, greatest(10, 25 - 5 * priority) + CASE WHEN value <> 0 OR previous <> 0 THEN 25 ELSE 0 END
+  + CASE WHEN abs(change) > 20 THEN 20 WHEN abs(change) > 10 THEN 12 WHEN abs(change) > 5 THEN 6 ELSE 0 END + CASE WHEN metric IN ('net_profit', 'cash_flow') AND value < 0 THEN 15 ELSE 0 END + CASE WHEN metric <> 'profit_margin' THEN 10 ELSE 0 END AS score
+  FROM v_change JOIN (VALUES ('revenue', 'financial', 1, 1), ('expenses', 'financial', 1, 2), ('cash_flow', 'financial', 2, 3), ('net_profit', 'profitability', 1, 4), ('profit_margin', 'profitability', 2, 5)) d(m, category, priority, place) ON metric = m
+  WHERE value <> 0 OR previous <> 0)"""
+
+
+@query("insight_top_metrics", "SRT-09", f"SELECT team_id, metric, score::DOUBLE AS score, row_number() OVER (PARTITION BY team_id ORDER BY score DESC, place) AS rank FROM ({_SCORED}) WHERE rc <= 2 QUALIFY rank <= 4", "v_change")
 def insight_top_metrics(spark, sf):
     return insights.top_metrics(_metrics(spark, sf)).select("team_id", "metric", "score", "rank")
 
 
-@query("insight_spend_anomalies", "FN-25")
+def _spent(lo, hi):
+    return f"(SELECT team_id, CASE WHEN known THEN category_slug ELSE 'uncategorized' END AS slug, CAST(round(sum(-amt), 2) AS DECIMAL(28,2)) AS amount FROM v_posted WHERE amt < 0 AND date BETWEEN DATE '{lo}' AND DATE '{hi}' GROUP BY 1, 2)"
+
+
+@query(
+    "insight_spend_anomalies",
+    "FN-25",
+    f"""SELECT team_id, slug, anomaly, severity, change, rank FROM (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY severity <> 'warning', d DESC, slug) AS rank FROM (SELECT team_id, slug, abs(diff) AS d, {rnd('pct', 0)} AS change,
+      CASE WHEN p IS NULL THEN CASE WHEN amount >= 50 THEN 'new_category' END WHEN pct >= 30 AND diff >= 50 THEN 'category_spike' WHEN pct <= -50 AND abs(diff) >= 100 THEN 'category_decrease' END AS anomaly,
+      CASE WHEN p IS NULL AND amount >= 500 OR p IS NOT NULL AND pct >= 50 AND diff >= 100 THEN 'warning' ELSE 'info' END AS severity
+      FROM (SELECT a.team_id, a.slug, a.amount, b.amount AS p, a.amount - coalesce(b.amount, 0) AS diff, CASE WHEN b.amount IS NULL THEN 100 WHEN b.amount > 0 THEN CAST((a.amount - b.amount) / b.amount * 100 AS DOUBLE) WHEN a.amount > 0 THEN 100 ELSE 0 END AS pct
+        FROM {_spent('1999-05-01', '1999-05-31')} a LEFT JOIN {_spent('1999-04-01', '1999-04-30')} b ON a.team_id = b.team_id AND a.slug = b.slug WHERE a.slug <> 'uncategorized')) WHERE anomaly IS NOT NULL) WHERE rank <= 3""",
+    "v_posted",
+)
 def insight_spend_anomalies(spark, sf):
     now = reports.spending(_posted(spark, sf, "1999-05-01", "1999-05-31"))
     old = reports.spending(_posted(spark, sf, "1999-04-01", "1999-04-30"))
@@ -280,39 +299,84 @@ def forecast_recurring_invoices(spark, sf):
 
 # ---- extracted documents: invoices with their lines
 
+TODAY = "2000-01-01"
+
 
 def _docs(spark, sf):
-    items = v.line_item(spark, sf).groupBy("invoice_id").agg(F.collect_list(F.struct("price", "quantity")).alias("items"), F.sum(F.col("price") * F.col("quantity")).cast("decimal(18,2)").alias("subtotal"))
+    """Invoices as an extraction may have read them: some totals, rates, dates and names are off or missing."""
+    sums = v.line_item(spark, sf).groupBy("invoice_id").agg(F.collect_list(F.struct(F.round(F.col("price") * F.col("quantity"), 2).cast("decimal(18,2)").alias("total_price"))).alias("items"), F.sum(F.round(F.col("price") * F.col("quantity"), 2).cast("decimal(18,2)")).cast("decimal(18,2)").alias("s"))
     k = F.col("id")
-    i = v.invoice(spark, sf).join(items, F.col("id") == F.col("invoice_id"))
-    tax = F.round(F.col("subtotal") * F.lit("0.2").cast("decimal(2,1)"), 2).cast("decimal(18,2)")
-    return i.select(
-        "id", "items", F.when(k % 11 == 0, F.col("subtotal") + 5).otherwise(F.col("subtotal")).cast("decimal(18,2)").alias("subtotal"), tax.alias("tax"), (F.col("subtotal") + tax + F.when(k % 7 == 0, 3).otherwise(0)).cast("decimal(18,2)").alias("total"),
-        F.when(k % 5 == 0, 10).otherwise(20).cast("decimal(10,2)").alias("tax_rate"), "issue_date", F.when(k % 13 == 0, F.date_sub("issue_date", 1)).otherwise(F.col("due_date")).alias("due_date"), "currency", F.when(k % 4 != 0, F.col("priority")).alias("vendor"), F.when(k % 6 != 0, F.col("invoice_number")).alias("invoice_number"),
+    tax = F.round(F.col("s") * F.lit("0.2").cast("decimal(2,1)"), 2).cast("decimal(18,2)")
+    wrong = F.when(k % 7 == 0, 3).when(k % 11 == 0, F.col("s")).otherwise(0).cast("decimal(18,2)")
+    return v.invoice(spark, sf).join(sums, F.col("id") == F.col("invoice_id")).select(
+        "id", "items", F.when(k % 17 != 0, F.col("s") + tax + wrong).cast("decimal(18,2)").alias("total_amount"), F.when(k % 3 != 0, tax).alias("tax_amount"), F.when(k % 5 == 0, 10).when(k % 19 == 0, 120).otherwise(20).cast("decimal(10,2)").alias("tax_rate"),
+        F.when(k % 23 == 0, "eur").when(k % 29 != 0, F.col("currency")).alias("currency"), F.when(k % 4 != 0, F.col("priority")).alias("vendor_name"), F.when(k % 6 != 0, F.col("invoice_number")).alias("invoice_number"),
+        F.when(k % 31 == 0, "1988-13-01").when(k % 37 != 0, F.col("issue_date").cast("string")).alias("invoice_date"), F.when(k % 13 == 0, F.date_sub("issue_date", 1).cast("string")).when(k % 37 != 0, F.col("due_date").cast("string")).alias("due_date"),
     )
 
 
-_ISS = "(id % 7 = 0 OR id % 11 = 0)::INT + (id % 13 = 0)::INT + (id % 5 = 0)::INT + (id % 11 = 0)::INT"
+view(
+    "v_extract",
+    "v_invoice v_line_item",
+    """SELECT id, s, CAST(CASE WHEN id % 17 <> 0 THEN s + t + CASE WHEN id % 7 = 0 THEN 3 WHEN id % 11 = 0 THEN s ELSE 0 END END AS DECIMAL(18,2)) AS total, CASE WHEN id % 3 <> 0 THEN t END AS tax, CASE WHEN id % 5 = 0 THEN 10 WHEN id % 19 = 0 THEN 120 ELSE 20 END AS rate,
+  CASE WHEN id % 23 = 0 THEN 'eur' WHEN id % 29 <> 0 THEN currency END AS currency, CASE WHEN id % 4 <> 0 THEN priority END AS vendor, id % 6 <> 0 AS has_number, id % 31 = 0 AS odd_date, CASE WHEN id % 31 <> 0 AND id % 37 <> 0 THEN issue_date END AS issued,
+  CASE WHEN id % 13 = 0 THEN issue_date - 1 WHEN id % 37 <> 0 THEN due_date END AS due
+  FROM (SELECT i.*, s, CAST(round(s * 0.2, 2) AS DECIMAL(18,2)) AS t FROM v_invoice i JOIN (SELECT invoice_id, CAST(sum(CAST(round(price * quantity, 2) AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS s FROM v_line_item GROUP BY 1) l ON i.id = l.invoice_id)""",
+)
+view(
+    "v_points",
+    "v_extract",
+    """SELECT *, CASE WHEN total IS NULL THEN 30 ELSE 0 END + CASE WHEN currency IS NULL THEN 25 WHEN currency = 'eur' THEN 10 ELSE 0 END + CASE WHEN vendor IS NULL THEN 20 ELSE 0 END
+  + CASE WHEN issued IS NULL AND due IS NULL AND NOT odd_date THEN 15 ELSE CASE WHEN odd_date OR issued NOT BETWEEN DATE '1990-01-01' AND DATE '2002-01-01' THEN 5 ELSE 0 END + CASE WHEN due NOT BETWEEN DATE '1990-01-01' AND DATE '2002-01-01' THEN 5 ELSE 0 END END
+  + CASE WHEN rate > 100 THEN 5 ELSE 0 END + CASE WHEN total IS NOT NULL AND tax IS NOT NULL AND s > 0 AND abs(total - s - tax) > 0.01 THEN 10 ELSE 0 END + CASE WHEN has_number THEN 0 ELSE 5 END AS lost,
+  (total IS NULL)::INT + (currency IS NULL)::INT + (vendor IS NULL)::INT + (issued IS NULL AND due IS NULL AND NOT odd_date)::INT AS missing FROM v_extract""",
+)
+
+
+@query(
+    "extract_consistency",
+    "FN-26",
+    """SELECT id, a::INT + b::INT + c::INT AS n_issues, NOT (a OR b) AS is_valid, CASE WHEN a AND abs(s + tax - total) < total * 0.05 THEN CAST(s + tax AS DECIMAL(18,2)) END AS fixed_total,
+    CASE WHEN total IS NOT NULL AND tax IS NULL AND s > 0 AND rate <= 100 AND (abs(s + s * rate / 100 - total) < 0.01 OR abs(s + s * rate / 100 - total) < total * 0.01) THEN CAST(round(s * rate / 100.0, 2) AS DECIMAL(18,2)) END AS fixed_tax,
+    CASE WHEN c THEN CAST(round(tax::DOUBLE / s::DOUBLE * 100, 2) AS DECIMAL(18,2)) END AS fixed_rate
+    FROM (SELECT *, coalesce(total IS NOT NULL AND s > 0 AND abs(s + tax - total) > 0.01, FALSE) AS a, coalesce(due < issued, FALSE) AS b, coalesce(s > 0 AND abs(tax::DOUBLE / s::DOUBLE * 100 - rate) > 0.1, FALSE) AS c FROM v_extract)""",
+    "v_extract",
+)
+def extract_consistency(spark, sf):
+    out = extraction.consistency(_docs(spark, sf))
+    fixed = lambda name: F.element_at(F.map_from_entries("fixes"), name)
+    return out.select("id", F.size("issues").alias("n_issues"), "is_valid", fixed("total_amount").alias("fixed_total"), fixed("tax_amount").alias("fixed_tax"), fixed("tax_rate").alias("fixed_rate"))
+
+
+_SURE = "greatest(0, least(1, CASE WHEN has_number THEN least(1, y + 0.05::DOUBLE) ELSE y END))"
 
 
 @query(
     "extract_quality",
-    "FN-26 FN-27",
-    f"SELECT id, {_ISS} AS issues, greatest(0, 100 - CASE WHEN id % 4 = 0 THEN 20 ELSE 0 END - CASE WHEN id % 6 = 0 THEN 10 ELSE 0 END - 5 * ({_ISS})) AS quality FROM v_invoice WHERE id IN (SELECT l_orderkey FROM lineitem)",
-    "v_invoice",
+    "FN-27",
+    f"""SELECT id, quality, missing, quality < 70 OR missing > 0 AS is_poor, round({_SURE}, 4) AS confidence FROM (SELECT *, CASE WHEN length(vendor) > 5 THEN least(1, x + 0.05::DOUBLE) ELSE x END AS y
+    FROM (SELECT *, CASE WHEN missing = 0 THEN least(1, quality / 100::DOUBLE + 0.1::DOUBLE) ELSE quality / 100::DOUBLE END - missing * 0.05::DOUBLE AS x FROM (SELECT *, greatest(0, 100 - lost) AS quality FROM v_points)))""",
+    "v_points",
 )
 def extract_quality(spark, sf):
-    return extraction.quality(extraction.consistency(_docs(spark, sf))).select("id", F.size("issues").alias("issues"), "quality")
+    return extraction.quality(_docs(spark, sf), TODAY).select("id", "quality", "missing", "is_poor", "confidence")
 
 
 @query(
     "extract_merge",
     "FN-28",
-    "SELECT id, CASE WHEN id % 4 = 0 THEN currency WHEN id % 3 = 0 THEN priority ELSE CASE WHEN length(currency) > length(priority) THEN currency ELSE priority END END AS vendor FROM v_invoice",
+    """SELECT id, CASE WHEN va IS NULL THEN 'Somebody' WHEN sure THEN va WHEN length(va) >= 8 THEN va ELSE 'Somebody' END AS vendor_name, CASE WHEN sure THEN currency WHEN currency <> 'USD' THEN currency ELSE 'SEK' END AS currency,
+    CASE WHEN sure OR issue_date >= DATE '1996-01-01' THEN CAST(issue_date AS VARCHAR) ELSE '1996-01-01' END AS invoice_date, CASE WHEN sure THEN 'info' ELSE 'a@b.c' END AS email, CASE WHEN sure OR id % 2 = 0 THEN w ELSE 'shop.example' END AS website, amount AS total_amount
+    FROM (SELECT *, id % 3 = 0 AS sure, CASE WHEN id % 4 <> 0 THEN priority END AS va, CASE WHEN id % 2 = 0 THEN 'www.a.example' ELSE 'long.shop.example' END AS w FROM v_invoice)""",
     "v_invoice",
 )
 def extract_merge(spark, sf):
+    k = F.col("id")
     i = v.invoice(spark, sf)
-    a = i.select("id", F.when(F.col("id") % 4 != 0, F.col("priority")).alias("vendor"), F.when(F.col("id") % 3 == 0, 0.9).otherwise(0.5).alias("confidence"))
-    b = i.select("id", F.col("currency").alias("vendor"), F.lit(0.5).alias("confidence"))
-    return extraction.merge(a, b, "id", ["vendor"], []).select("id", "vendor")
+    a = i.select(
+        "id", F.when(k % 4 != 0, F.col("priority")).alias("vendor_name"), "currency", F.col("issue_date").cast("string").alias("invoice_date"), F.lit("info").alias("email"),
+        F.when(k % 2 == 0, "www.a.example").otherwise("long.shop.example").alias("website"), F.col("amount").alias("total_amount"), F.when(k % 3 == 0, 0.9).otherwise(0.55).alias("confidence"),
+    )
+    b = i.select("id", F.lit("Somebody").alias("vendor_name"), F.lit("SEK").alias("currency"), F.lit("1996-01-01").alias("invoice_date"), F.lit("a@b.c").alias("email"), F.lit("shop.example").alias("website"), F.lit(0).cast("decimal(18,2)").alias("total_amount"), F.lit(0.5).alias("confidence"))
+    fields = ["vendor_name", "currency", "invoice_date", "email", "website", "total_amount"]
+    return extraction.merge(a, b, "id", fields).select("id", *fields)

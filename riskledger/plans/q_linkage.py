@@ -94,8 +94,8 @@ def text_search(spark, sf):
 @query(
     "text_clean",
     "FN-29",
-    """SELECT doc_id, md5(t) AS clean_md5, array_to_string(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')[1:50], ' ') AS sample FROM (SELECT doc_id,
-    trim(regexp_replace(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{2,}', chr(10), 'g'), ' ') AS t FROM documents)""",
+    r"""SELECT doc_id, md5(t) AS clean_md5, array_to_string(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '')[1:50], ' ') AS sample FROM (SELECT doc_id,
+    trim(regexp_replace(regexp_replace(text, '[\x00-\x1F\x7F-\x{9F}]', '', 'g'), '[ \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g'), ' ') AS t FROM documents)""",
 )
 def text_clean(spark, sf):
     d = v.table(spark, sf, "documents").withColumn("t", tx.clean_text(F.col("text")))
@@ -106,7 +106,7 @@ def text_clean(spark, sf):
     "text_root_domain",
     "FN-29",
     """SELECT page_id, CASE WHEN n >= 3 THEN CASE WHEN p[n-1] || '.' || p[n] IN ("""
-    + ", ".join(f"'{t}'" for t in tx.TWO_PART_TLDS)
+    + "'co.uk', 'com.au', 'co.nz', 'co.za', 'com.br', 'com.mx', 'co.jp', 'com.cn'"
     + """) THEN p[n-2] || '.' || p[n-1] || '.' || p[n] ELSE p[n-1] || '.' || p[n] END ELSE array_to_string(p, '.') END AS domain
     FROM (SELECT page_id, p, len(p) AS n FROM (SELECT page_id, string_split(regexp_replace(lower(regexp_replace(regexp_replace(trim(url), '^[a-zA-Z]+://', ''), '[/?#:].*$', '')), '^www\\.', ''), '.') AS p FROM pages))""",
 )

@@ -70,9 +70,14 @@ def list_search_text(spark, sf):
     return v.ledger(spark, sf).filter(lists.search(["name", "merchant_name"], "v-1")).select("id")
 
 
-@query("list_search_near", "FLT-06", "SELECT id, amount FROM v_ledger WHERE abs(abs(amount) - 20000) <= 2000", "v_ledger")
+@query(
+    "list_search_near",
+    "FLT-06",
+    """SELECT id, amount FROM v_ledger WHERE abs(abs(amount) - 20000) <= 2000 OR abs(abs(coalesce(base_amount, 0)) - 20000) <= 2000 OR concat_ws(' ', name, merchant_name) ILIKE '%20000%'""",
+    "v_ledger",
+)
 def list_search_near(spark, sf):
-    return v.ledger(spark, sf).filter(lists.search_near(["name"], "20000")).select("id", "amount")
+    return v.ledger(spark, sf).filter(lists.search_near(["name", "merchant_name"], "20000")).select("id", "amount")
 
 
 @query("list_page_first", "SRT-04", "SELECT id, amount FROM v_ledger ORDER BY amount DESC NULLS LAST, id LIMIT 25", "v_ledger")
@@ -85,6 +90,17 @@ def list_page_next(spark, sf):
     return lists.page(v.ledger(spark, sf), "date", "id", 25, False, ("1996-05-01", "3")).select("id", "date")
 
 
+@query("list_page_nulls", "SRT-04", "SELECT id, base_amount FROM v_ledger WHERE base_amount < -150000 OR base_amount IS NULL OR (base_amount = -150000 AND id > '3') ORDER BY base_amount DESC NULLS LAST, id LIMIT 5000", "v_ledger")
+def list_page_nulls(spark, sf):
+    """A page that runs on into the rows without a value."""
+    return lists.page(v.ledger(spark, sf), "base_amount", "id", 5000, True, ("-150000", "3")).select("id", "base_amount")
+
+
+@query("list_page_null_cursor", "SRT-04", "SELECT id, base_amount FROM v_ledger WHERE (base_amount IS NULL AND id > '5') OR base_amount IS NOT NULL ORDER BY base_amount NULLS FIRST, id LIMIT 25", "v_ledger")
+def list_page_null_cursor(spark, sf):
+    return lists.page(v.ledger(spark, sf), "base_amount", "id", 25, False, (None, "5")).select("id", "base_amount")
+
+
 @query("list_latest_per_merchant", "SRT-08", "SELECT merchant_name, id FROM (SELECT *, row_number() OVER (PARTITION BY merchant_name ORDER BY date DESC, id) AS rn FROM v_ledger) WHERE rn = 1", "v_ledger")
 def list_latest_per_merchant(spark, sf):
     return lists.latest_per(v.ledger(spark, sf), "merchant_name", "date", "id").select("merchant_name", "id")
