@@ -80,26 +80,43 @@ def with_change(metrics: DataFrame) -> DataFrame:
     return df.withColumn("direction", direction).withColumn("description", text).drop("_raw")
 
 
+# Labels of the metrics in messages.
+LABELS = {
+    "revenue": "Revenue", "expenses": "Expenses", "cash_flow": "Cash Flow", "net_profit": "Profit", "profit_margin": "Profit Margin", "runway_months": "Runway", "cash_balance": "Cash Balance",
+    "overdue_amount": "Overdue", "invoices_overdue": "Overdue Invoices", "outstanding_ar": "Outstanding", "invoices_sent": "Invoices Sent", "invoices_paid": "Invoices Paid",
+    "active_customers": "Active Customers", "new_customers": "New Customers", "hours_tracked": "Hours Tracked", "receipts_matched": "Receipts Matched", "transactions_categorized": "Categorized",
+}
+
+
 def anomalies(metrics: DataFrame) -> DataFrame:
-    """Large moves, short runway, losses, negative cash flow and overdue invoices."""
+    """Large moves, short runway (three levels), losses, negative cash flow and overdue invoices, with a message."""
     m, v, c = F.col("metric"), F.col("value"), F.col("change")
     cost = m.isin("expenses", "burn_rate")
+    label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), m), m)
+    size = round_half_up(F.abs(c), 0).cast("long").cast("string")
+    months = v.cast("decimal(18,1)").cast("string")
 
-    def hit(cond, kind, severity):
-        return F.when(cond, F.struct(kind.alias("anomaly"), severity.alias("severity")))
+    def hit(cond, kind, severity, message):
+        return F.when(cond, F.struct(kind.alias("anomaly"), severity.alias("severity"), message.alias("message")))
 
     lit = F.lit
+    runway = (
+        F.when(v < 2, F.concat(lit("URGENT: Only "), months, lit(" months of runway remaining — prioritize collecting receivables and securing new revenue")))
+        .when(v < 3, F.concat(lit("Runway is "), months, lit(" months — focus on cash collection and revenue")))
+        .otherwise(F.concat(lit("Runway is "), months, lit(" months")))
+    )
+    overdue = F.concat(v.cast("long").cast("string"), lit(" overdue invoice"), F.when(v > 1, "s").otherwise(""), lit(" need attention"))
     found = F.array_compact(
         F.array(
-            hit(c > 20, F.when(cost, "significant_expense_increase").otherwise("significant_increase"), F.when(cost, "warning").otherwise("info")),
-            hit(c < -20, F.when(cost, "significant_expense_decrease").otherwise("significant_decrease"), F.when(cost, "info").otherwise("warning")),
-            hit((m == "runway_months") & (v < 6), lit("low_runway"), F.when(v < 3, "alert").otherwise("warning")),
-            hit((m == "net_profit") & (v < 0), lit("negative_profit"), lit("warning")),
-            hit((m == "cash_flow") & (v < 0), lit("negative_cash_flow"), lit("warning")),
-            hit((m == "invoices_overdue") & (v > 0), lit("overdue_invoices"), F.when(v > 5, "alert").otherwise("warning")),
+            hit(c > 20, F.when(cost, "significant_expense_increase").otherwise("significant_increase"), F.when(cost, "warning").otherwise("info"), F.concat(label, lit(" increased by "), size, lit("%"))),
+            hit(c < -20, F.when(cost, "significant_expense_decrease").otherwise("significant_decrease"), F.when(cost, "info").otherwise("warning"), F.concat(label, lit(" decreased by "), size, lit("%"))),
+            hit((m == "runway_months") & (v < 6), lit("low_runway"), F.when(v < 3, "alert").otherwise("warning"), runway),
+            hit((m == "net_profit") & (v < 0), lit("negative_profit"), lit("warning"), lit("Business is currently unprofitable")),
+            hit((m == "cash_flow") & (v < 0), lit("negative_cash_flow"), lit("warning"), lit("Negative cash flow this period")),
+            hit((m == "invoices_overdue") & (v > 0), lit("overdue_invoices"), F.when(v > 5, "alert").otherwise("warning"), overdue),
         )
     )
-    return metrics.withColumn("_a", F.explode(found)).select(*[x for x in metrics.columns], "_a.anomaly", "_a.severity")
+    return metrics.withColumn("_a", F.explode(found)).select(*metrics.columns, "_a.anomaly", "_a.severity", "_a.message")
 
 
 def _periodic(slug: Column) -> Column:

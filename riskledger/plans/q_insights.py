@@ -111,16 +111,34 @@ def insight_metrics(spark, sf):
     return _metrics(spark, sf).select("team_id", "metric", F.round("value", 4).alias("value"), F.round("previous", 4).alias("previous"), "change", "description")
 
 
+view(
+    "v_alarm",
+    "v_change v_cash v_monthly v_inv",
+    """SELECT team_id, metric, value, change FROM v_change UNION ALL SELECT c.team_id, 'runway_months', (coalesce(floor(cash::DOUBLE / med + 0.5), 0) - c.team_id * 7)::DOUBLE, 0
+  FROM (SELECT team_id, sum(cash) AS cash FROM v_cash WHERE type IN ('depository','other_asset') GROUP BY 1) c LEFT JOIN (SELECT team_id, median(expenses::DOUBLE) AS med FROM v_monthly WHERE month BETWEEN DATE '1999-03-01' AND DATE '1999-05-31' AND expenses > 0 GROUP BY 1) b USING (team_id)
+  UNION ALL SELECT team_id, 'invoices_overdue', count(*)::DOUBLE, 0 FROM v_inv WHERE status = 'overdue' GROUP BY 1""",
+)
+
+
 @query(
     "insight_anomalies",
     "FN-24",
-    """SELECT team_id, metric, CASE WHEN metric = 'expenses' THEN 'significant_expense_increase' ELSE 'significant_increase' END AS anomaly, CASE WHEN metric = 'expenses' THEN 'warning' ELSE 'info' END AS severity FROM v_change WHERE change > 20
-    UNION ALL SELECT team_id, metric, CASE WHEN metric = 'expenses' THEN 'significant_expense_decrease' ELSE 'significant_decrease' END, CASE WHEN metric = 'expenses' THEN 'info' ELSE 'warning' END FROM v_change WHERE change < -20
-    UNION ALL SELECT team_id, metric, 'negative_profit', 'warning' FROM v_change WHERE metric = 'net_profit' AND value < 0 UNION ALL SELECT team_id, metric, 'negative_cash_flow', 'warning' FROM v_change WHERE metric = 'cash_flow' AND value < 0""",
-    "v_change",
+    """WITH n AS (SELECT *, CASE metric WHEN 'revenue' THEN 'Revenue' WHEN 'expenses' THEN 'Expenses' WHEN 'cash_flow' THEN 'Cash Flow' WHEN 'net_profit' THEN 'Profit' ELSE 'Profit Margin' END AS label, CAST(CAST(floor(abs(change) + 0.5) AS BIGINT) AS VARCHAR) AS size, CAST(CAST(value AS DECIMAL(18,1)) AS VARCHAR) AS x FROM v_alarm)
+    SELECT team_id, metric, CASE WHEN metric = 'expenses' THEN 'significant_expense_increase' ELSE 'significant_increase' END AS anomaly, CASE WHEN metric = 'expenses' THEN 'warning' ELSE 'info' END AS severity, label || ' increased by ' || size || '%' AS message FROM n WHERE change > 20
+    UNION ALL SELECT team_id, metric, CASE WHEN metric = 'expenses' THEN 'significant_expense_decrease' ELSE 'significant_decrease' END, CASE WHEN metric = 'expenses' THEN 'info' ELSE 'warning' END, label || ' decreased by ' || size || '%' FROM n WHERE change < -20
+    UNION ALL SELECT team_id, metric, 'low_runway', CASE WHEN value < 3 THEN 'alert' ELSE 'warning' END, CASE WHEN value < 2 THEN 'URGENT: Only ' || x || ' months of runway remaining — prioritize collecting receivables and securing new revenue' WHEN value < 3 THEN 'Runway is ' || x || ' months — focus on cash collection and revenue' ELSE 'Runway is ' || x || ' months' END FROM n WHERE metric = 'runway_months' AND value < 6
+    UNION ALL SELECT team_id, metric, 'negative_profit', 'warning', 'Business is currently unprofitable' FROM n WHERE metric = 'net_profit' AND value < 0 UNION ALL SELECT team_id, metric, 'negative_cash_flow', 'warning', 'Negative cash flow this period' FROM n WHERE metric = 'cash_flow' AND value < 0
+    UNION ALL SELECT team_id, metric, 'overdue_invoices', CASE WHEN value > 5 THEN 'alert' ELSE 'warning' END, CAST(CAST(value AS BIGINT) AS VARCHAR) || ' overdue invoice' || CASE WHEN value > 1 THEN 's' ELSE '' END || ' need attention' FROM n WHERE metric = 'invoices_overdue' AND value > 0""",
+    "v_alarm",
 )
 def insight_anomalies(spark, sf):
-    return insights.anomalies(_metrics(spark, sf)).select("team_id", "metric", "anomaly", "severity")
+    cash = reports.cash_balance(v.account(spark, sf), "USD", v.fx(spark))
+    months = reports.runway(reports.burn_rate(_totals(spark, sf)), cash, AS_OF)
+    # teams lie seven months apart, so that every level of the runway is met
+    runway = months.select("team_id", F.lit("runway_months").alias("metric"), (F.col("months") - F.col("team_id") * 7).cast("double").alias("value"), F.lit(0.0).alias("change"))
+    overdue = billed(spark, sf).filter("status = 'overdue'").groupBy("team_id").agg(F.count("*").cast("double").alias("value")).select("team_id", F.lit("invoices_overdue").alias("metric"), "value", F.lit(0.0).alias("change"))
+    rows = _metrics(spark, sf).select("team_id", "metric", "value", "change").unionByName(runway).unionByName(overdue)
+    return insights.anomalies(rows).select("team_id", "metric", "anomaly", "severity", "message")
 
 
 _SCORED = """SELECT *, row_number() OVER (PARTITION BY team_id, category ORDER BY score DESC, place) AS rc FROM (SELECT *, greatest(10, 25 - 5 * priority) + CASE WHEN value <> 0 OR previous <> 0 THEN 25 ELSE 0 END

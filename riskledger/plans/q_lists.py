@@ -361,12 +361,12 @@ def insert_absent(spark, sf):
     "upsert_products",
     "SRC-20",
     """SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NOT NULL AND b.id IS NOT NULL THEN a.n + 1 ELSE coalesce(a.n, b.n) END AS usage_count, CASE WHEN b.id IS NOT NULL AND a.id IS NOT NULL THEN b.price ELSE coalesce(a.price, b.price) END AS price
-    FROM (SELECT l_partkey AS id, count(*) AS n, max(l_extendedprice) AS price FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) a FULL JOIN (SELECT l_partkey AS id, 1 AS n, max(l_extendedprice) AS price FROM lineitem WHERE l_linenumber = 2 GROUP BY 1) b ON a.id = b.id""",
+    FROM (SELECT l_partkey AS id, count(*) AS n, max(l_extendedprice) AS price FROM lineitem WHERE l_linenumber < 4 GROUP BY 1) a FULL JOIN (SELECT l_partkey AS id, 1 AS n, max(l_extendedprice) AS price FROM lineitem WHERE l_linenumber >= 4 GROUP BY 1) b ON a.id = b.id""",
 )
 def upsert_products(spark, sf):
     li = v.table(spark, sf, "lineitem")
-    old = li.filter("l_linenumber = 1").groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("usage_count"), F.max("l_extendedprice").alias("price"))
-    new = li.filter("l_linenumber = 2").groupBy(F.col("l_partkey").alias("id")).agg(F.lit(1).cast("long").alias("usage_count"), F.max("l_extendedprice").alias("price"))
+    old = li.filter("l_linenumber < 4").groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("usage_count"), F.max("l_extendedprice").alias("price"))
+    new = li.filter("l_linenumber >= 4").groupBy(F.col("l_partkey").alias("id")).agg(F.lit(1).cast("long").alias("usage_count"), F.max("l_extendedprice").alias("price"))
     return st.upsert(old, new, ["id"], {"usage_count": F.col("t_usage_count") + 1, "price": F.col("n_price")})
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import views as v
 from ..operators import review
+from ..session import scratch
 from ..streaming import pipeline as p
 from .q_reports import rnd
 from .registry import query
@@ -52,7 +53,7 @@ def _batch(spark, sf):
 def _merchants(spark, sf):
     s = v.table(spark, sf, "supplier")
     k = F.col("s_suppkey")
-    return s.filter(k < 18).select(
+    return s.select(
         F.concat(F.lit("m"), k.cast("string")).alias("merchant_id"),
         F.col("s_name").alias("merchant_name"),
         F.element_at(F.array(*[F.lit(t) for t in ("LOW", "MEDIUM", "HIGH", "VERY_HIGH")]), (k % 4 + 1).cast("int")).alias("risk_tier"),
@@ -107,7 +108,7 @@ view(
    CASE tier WHEN 'VERY_HIGH' THEN 80 WHEN 'HIGH' THEN 50 WHEN 'MEDIUM' THEN 20 ELSE 0 END AS category_score,
    CASE WHEN ip_country <> home AND ip_country IN ('RO','NG','CN','RU','UA') THEN 70 WHEN ip_country <> home THEN 30 WHEN mc IN ('RO','NG','CN','RU','UA') THEN 40 ELSE 0 END AS country_score, merchant_name
    FROM (SELECT t.*, coalesce(m.s_name, 'UNKNOWN') AS merchant_name, coalesce(tier, 'MEDIUM') AS tier, coalesce(mc, 'US') AS mc, coalesce(home, 'US') AS home, coalesce(av, 100) AS av FROM v_tracked t
-    LEFT JOIN (SELECT 'm' || s_suppkey AS mid, s_name, CASE s_suppkey % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'VERY_HIGH' END AS tier, CASE WHEN s_suppkey % 3 = 0 THEN 'RU' ELSE 'US' END AS mc FROM supplier WHERE s_suppkey < 18) m ON merchant_id = mid
+    LEFT JOIN (SELECT 'm' || s_suppkey AS mid, s_name, CASE s_suppkey % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'VERY_HIGH' END AS tier, CASE WHEN s_suppkey % 3 = 0 THEN 'RU' ELSE 'US' END AS mc FROM supplier) m ON merchant_id = mid
     LEFT JOIN (SELECT CAST(c_custkey AS VARCHAR) AS cid, CASE WHEN c_custkey % 2 = 0 THEN 'US' ELSE 'GB' END AS home, c_custkey % 50 + 5.0::DOUBLE AS av FROM customer) c ON card_id = cid) t))""",
 )
 _SCORED = "transaction_id, merchant_name, velocity_score, geo_score, amount_score, category_score, country_score, fraud_score, decision"
@@ -137,11 +138,7 @@ def stream_json_parsed(spark, sf):
 
 @query("stream_routed", "SRC-22 STR-03", "SELECT decision, count(*) AS n FROM v_stream_scored GROUP BY 1", "v_stream_scored")
 def stream_routed(spark, sf):
-    import uuid
-
-    from ..session import checkpoint_dir
-
-    base = f"{checkpoint_dir(spark)}/routes-{uuid.uuid4().hex}"
+    base = scratch(spark, "routes")
     for q in p.route(_scored_stream(spark, sf), base, {"availableNow": True}):
         q.awaitTermination()
     out = None
@@ -205,12 +202,12 @@ def stream_monitoring(spark, sf):
 @query("stream_review_state", "STR-10", "SELECT transaction_id, status FROM v_state", "v_state")
 def stream_review_state(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet").filter(F.col("event_id") % 50 == 0)
+    raw = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
 
     def snapshot(df, batch):
-        n = (F.col("event_id") / 50).cast("long")
-        action = F.element_at(F.array(*[F.lit(a) for a in ("approve", "dismiss", "escalate", "decline", "block")]), (n % 5 + 1).cast("int"))
-        d = df.select(F.col("event_id").cast("string").alias("transaction_id"), action.alias("action"), n.alias("seq"))
+        n = F.col("event_id")
+        action = F.element_at(F.array(*[F.lit(a) for a in ("approve", "dismiss", "escalate", "decline", "block", None)]), (n % 6 + 1).cast("int"))
+        d = df.select(F.col("event_id").cast("string").alias("transaction_id"), action.alias("action"), n.alias("seq")).filter(F.col("action").isNotNull())
         events = review.decisions_to_events(d)
         empty = events.limit(0).select("transaction_id", F.col("to_status").alias("status"), "seq")
         return p.merge_review_state(empty, events).select("transaction_id", "status")

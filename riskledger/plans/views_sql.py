@@ -81,7 +81,7 @@ view("v_account", "", """SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name
   CASE WHEN s_suppkey % 10 = 0 THEN CAST(s_acctbal * 2 AS DECIMAL(18,2)) END AS base_balance, s_suppkey % 7 <> 0 AS enabled
   FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 view("v_time_entry", "v_ev", """SELECT event_id AS id, user_id AS assigned_id, k AS project_id, CAST(ts AS DATE) AS date,
-  CAST(floor(value * 60) AS BIGINT) AS duration, k % 3 = 0 AS billed FROM v_ev WHERE event_type = 'click'""")
+  CAST(floor(value * 60) AS BIGINT) AS duration, k % 3 = 0 AS billed FROM v_ev""")
 view("v_project", "v_time_entry", """SELECT DISTINCT project_id AS id, 'Project ' || project_id AS name,
   CAST((project_id % 9 + 1) * 10 AS DECIMAL(10,2)) AS rate, CASE WHEN project_id % 2 = 0 THEN 'USD' ELSE 'EUR' END AS currency,
   project_id % 4 <> 0 AS billable, CAST(project_id * 7 + 1 AS BIGINT) AS customer_id,
@@ -90,13 +90,13 @@ view("v_inbox", "", """SELECT CAST(o_orderkey AS VARCHAR) AS inbox_id, c_nationk
   CAST(o_totalprice AS DECIMAL(18,2)) AS amount, CASE WHEN c_nationkey % 3 = 0 THEN 'EUR' ELSE 'USD' END AS currency,
   CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderkey % 2 = 0 THEN 'invoice' ELSE 'expense' END AS type,
   CAST(o_totalprice AS DECIMAL(18,2)) AS base_amount, 'USD' AS base_currency
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 = 0""")
+  FROM orders JOIN customer ON o_custkey = c_custkey""")
 view("v_payment", "", """SELECT 'p' || o_orderkey AS transaction_id, team_id, name, -a AS amount, currency, date, -a AS base_amount, 'USD' AS base_currency
   FROM (SELECT o_orderkey, c_nationkey % 5 AS team_id, upper(c_name) AS name,
     CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(100 + o_orderkey % 5 AS DECIMAL(5,0)) * 0.01, 2) AS DECIMAL(18,2)) AS a,
     CASE WHEN c_nationkey % 3 = 0 THEN 'EUR' ELSE 'USD' END AS currency,
     CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 AS INT) AS date
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 = 0)""")
+  FROM orders JOIN customer ON o_custkey = c_custkey)""")
 view("v_review", "v_ev", """SELECT CAST(event_id AS VARCHAR) AS transaction_id,
-  CASE (event_id // 50) % 5 WHEN 0 THEN 'approve' WHEN 1 THEN 'dismiss' WHEN 2 THEN 'escalate' WHEN 3 THEN 'decline' ELSE 'block' END AS action,
-  us AS created_us, event_id // 50 AS seq FROM v_ev WHERE event_id % 50 = 0""")
+  CASE event_id % 6 WHEN 0 THEN 'approve' WHEN 1 THEN 'dismiss' WHEN 2 THEN 'escalate' WHEN 3 THEN 'decline' ELSE 'block' END AS action,
+  us AS created_us, event_id AS seq FROM v_ev WHERE event_id % 6 < 5""")

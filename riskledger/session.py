@@ -1,46 +1,61 @@
-"""Session defaults and lineage cuts."""
+"""Session defaults, the shared scratch folder and lineage cuts."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "riskledger", master: str | None = None, partitions: int | None = None) -> SparkSession:
+    """A session with the same settings in every mode."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # few bytes may still be much work, so small partitions are not all joined into one
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
     if master:
         builder = builder.master(master)
-        if master.startswith("local"):
-            # small data, heavy windows: few bytes must not mean one task
-            builder = builder.config("spark.sql.adaptive.coalescePartitions.enabled", "false")
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
 
 
+def _drop_at_end(spark: SparkSession, path: str) -> None:
+    """Have the file system delete ``path`` when the driver ends."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a scratch one only in local mode."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or one of the application in the warehouse.
+
+    The warehouse is shared wherever tables work; the application's folder in it goes when the driver ends.
+    """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
-        return named
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="riskledger-ckpt-")
+        return named.rstrip("/")
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_runs/{sc.applicationId}"
+    _drop_at_end(spark, path)
+    return path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder; it goes when the driver ends."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _drop_at_end(spark, path)
+    return path
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder; survives the loss of executors."""
+    """Materialise ``df`` in the shared folder; survives the loss of executors."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))

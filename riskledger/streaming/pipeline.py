@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
@@ -14,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import stream_scores as sc
 from ..operators.frames import DAY, HOUR, SECOND, running_totals
-from ..session import checkpoint_dir
+from ..session import scratch
 
 EVENT = T.StructType(
     [
@@ -290,7 +289,7 @@ def run_to_files(stream: DataFrame, mode: str = "append", transform: Callable |
     in complete mode the last batch is the result.
     """
     spark = stream.sparkSession
-    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
 
     def write(df: DataFrame, batch: int) -> None:
         out = transform(df, batch) if transform else df

@@ -176,7 +176,7 @@ def account(spark, sf) -> DataFrame:
 
 
 def time_entry(spark, sf) -> DataFrame:
-    return _events(spark, sf).filter(F.col("event_type") == "click").select(
+    return _events(spark, sf).select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("assigned_id"),
         F.col("k").alias("project_id"),
@@ -201,7 +201,7 @@ def project(spark, sf) -> DataFrame:
 
 
 def inbox(spark, sf) -> DataFrame:
-    o = table(spark, sf, "orders").filter(F.col("o_orderkey") % 7 == 0)
+    o = table(spark, sf, "orders")
     c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
     return o.join(c, o.o_custkey == c.c_custkey).select(
         F.col("o_orderkey").cast("string").alias("inbox_id"),
@@ -217,7 +217,7 @@ def inbox(spark, sf) -> DataFrame:
 
 
 def payment(spark, sf) -> DataFrame:
-    o = table(spark, sf, "orders").filter(F.col("o_orderkey") % 7 == 0)
+    o = table(spark, sf, "orders")
     c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
     off = F.col("o_orderkey") % 5
     amount = dec(dec("o_totalprice") * (100 + off) / 100)
@@ -234,15 +234,9 @@ def payment(spark, sf) -> DataFrame:
 
 
 def review(spark, sf) -> DataFrame:
-    """Reviewer decisions on every fiftieth transaction, some taken back."""
-    e = _events(spark, sf).filter(F.col("event_id") % 50 == 0)
-    n = F.col("event_id") / 50
-    action = F.element_at(
-        F.array(*[F.lit(a) for a in ("approve", "dismiss", "escalate", "decline", "block")]), (n.cast("long") % 5 + 1).cast("int")
-    )
-    return e.select(
-        F.col("event_id").cast("string").alias("transaction_id"),
-        action.alias("action"),
-        F.col("us").alias("created_us"),
-        n.cast("long").alias("seq"),
-    )
+    """Reviewer decisions on all transactions but those still waiting, some taken back."""
+    e = _events(spark, sf)
+    n = F.col("event_id")
+    action = F.element_at(F.array(*[F.lit(a) for a in ("approve", "dismiss", "escalate", "decline", "block", None)]), (n % 6 + 1).cast("int"))
+    decisions = e.select(n.cast("string").alias("transaction_id"), action.alias("action"), F.col("us").alias("created_us"), n.alias("seq"))
+    return decisions.filter(F.col("action").isNotNull())
