@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from riskledger.llm import tokens
 from riskledger.llm.frames import checkpointed
-from riskledger.llm.words import IS_WORD, owner, text_slices, window_hashes, word_hashes, word_spans
+from riskledger.llm.words import IS_WORD, mix, owner, text_slices, window_hashes, word_hashes, word_spans
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -64,9 +64,10 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     whole = np.flatnonzero(row[: len(rolled)] == row[2:]) if len(rolled) else np.empty(0, np.int64)
     covered = np.zeros(len(starts), bool)
     if len(whole):
-        order = np.lexsort((rolled[whole], row[whole]))
-        at = whole[order]
-        same = (rolled[at[1:]] == rolled[at[:-1]]) & (row[at[1:]] == row[at[:-1]])
+        own = rolled[whole] + mix(row[whole].astype(np.uint64) + np.uint64(1))  # a window counts in its text only
+        order = np.argsort(own)
+        at, own = whole[order], own[order]
+        same = own[1:] == own[:-1]
         twice = np.zeros(len(at), bool)
         twice[1:] |= same
         twice[:-1] |= same
@@ -89,12 +90,10 @@ def fertility(words: list[bytes], n_chars: int) -> tuple[float, float, float, fl
     """
     if not words:
         return 0.0, 0.0, 0.0, 0.0
-    bytewise = tokens.shared(tokens.ByteBpe, tokens.BYTE_BPE)
-    pieces = tokens.shared(tokens.Pieces, tokens.PIECES)
-    n_bytewise = sum(map(len, map(bytewise.__getitem__, b" ".join(words).decode().split(" ")))) // 4
-    ids = pieces.encode(words)
+    model = tokens.shared(tokens.Words, tokens.PIECES)
+    n_bytewise, ids = model.encode(words)
     most = np.log2(min(len(ids), ENTROPY_TOKENS)) if len(ids) > 1 else 1.0
-    return n_chars / n_bytewise, n_chars / len(ids), float(pieces.is_byte[ids].mean()), tokens.entropy(ids) / float(most)
+    return n_chars / n_bytewise, n_chars / len(ids), float(model.is_byte[ids].mean()), tokens.entropy(ids) / float(most)
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:

@@ -1,8 +1,8 @@
 """Public tokenizers over chunks of a text, with a bounded cache per Python worker.
 
 Byte-level BPE never merges across the border before a space that a non-space follows, so a text is
-cut there and each distinct chunk is encoded once. The cache only saves time: when it is full it
-starts again, and the ids are the same.
+cut there and each distinct chunk is encoded once. The caches only save time: a full one is kept
+aside and a new one begun, so what is in use moves over, and the ids are the same.
 """
 
 from __future__ import annotations
@@ -15,30 +15,45 @@ import public_tokenizers
 import sentencepiece
 import tiktoken
 
-#: Chunks kept by one cache, some 60 MB.
+#: Chunks in one generation of a cache, some 80 MB; two generations are held.
 CACHE = 400_000
+#: Longer chunks are not kept.
+LONGEST = 64
 
 BYTE_BPE = "byte_bpe_50k"
 PIECES = "piece_bpe_32k"
 
 
-class ByteBpe(dict):
-    """chunk without its leading space -> ids as little-endian bytes."""
+class Cache(dict):
+    """key -> encoded value, worked out when missing."""
 
-    def __init__(self, name: str = BYTE_BPE, most: int = CACHE):
+    def __init__(self, most: int):
         super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.encoded(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class ByteBpe(Cache):
+    """chunk without its leading space -> ids as little-endian 32-bit numbers."""
+
+    def __init__(self, name: str = BYTE_BPE, most: int = CACHE):
+        super().__init__(most)
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.model = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.most = most
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.model.encode_ordinary(f" {chunk}"), "<u4").tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+    def encoded(self, chunk: str) -> bytes:
+        return np.array(self.model.encode_ordinary(f" {chunk}"), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit numbers. Special strings are plain text."""
@@ -60,35 +75,45 @@ def _glued(parts: list[str]) -> list[str]:
     return out
 
 
-class Pieces(dict):
-    """word -> its ids in a vocabulary with byte fallback, as little-endian 16-bit numbers."""
+class Words(Cache):
+    """word -> how many byte-level ids it has, and its ids in a vocabulary with byte fallback.
 
-    def __init__(self, name: str = PIECES, most: int = CACHE):
-        super().__init__()
-        self.model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(f"{name}.model"))
-        self.most = most
-        n = self.model.get_piece_size()
-        if n > 1 << 16:
-            raise ValueError("ids must fit 16 bits")
-        self.is_byte = np.array([self.model.is_byte(i) or self.model.is_unknown(i) for i in range(n)])
+    Both as little-endian 16-bit numbers; the count comes first and has MARK added, which no id
+    reaches.
+    """
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.model.encode(word.decode()), "<u2").tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+    MARK = 1 << 15
 
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u2")
+    def __init__(self, name: str = PIECES, most: int = CACHE):
+        super().__init__(most)
+        self.bytewise = shared(ByteBpe, BYTE_BPE)
+        self.pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(f"{name}.model"))
+        n = self.pieces.get_piece_size()
+        if n > self.MARK:
+            raise ValueError("ids must be below the mark")
+        self.is_byte = np.array([self.pieces.is_byte(i) or self.pieces.is_unknown(i) for i in range(n)])
+
+    def encoded(self, word: bytes) -> bytes:
+        text = word.decode()
+        counts, n = [], len(self.bytewise.model.encode_ordinary(f" {text}"))
+        while n >= 0:  # very long words need several marks
+            counts.append(self.MARK + min(n, self.MARK - 1))
+            n -= self.MARK - 1
+        return np.array([*counts, *self.pieces.encode(text)], "<u2").tobytes()
+
+    def encode(self, words: list[bytes]) -> tuple[int, np.ndarray]:
+        """Number of byte-level ids, and the ids with byte fallback, of all words."""
+        both = np.frombuffer(b"".join(map(self.__getitem__, words)), "<u2")
+        marks = both >= self.MARK
+        return int((both[marks] & (self.MARK - 1)).sum(dtype=np.int64)), both[~marks]
 
 
 def entropy(ids: np.ndarray) -> float:
     """Bits per token of the distribution of ids; 0 for none."""
     if not len(ids):
         return 0.0
-    counts = np.unique(ids, return_counts=True)[1].astype(float)
+    counts = np.bincount(ids) if len(ids) > 2000 else np.unique(ids, return_counts=True)[1]
+    counts = counts[counts > 0].astype(float)
     return float(math.log2(len(ids)) - (counts * np.log2(counts)).sum() / len(ids))
 
 
