@@ -53,7 +53,7 @@ def line_graph_degree(e: DataFrame) -> DataFrame:
     return out.withColumn("line_degree", (F.col("_a") + F.col("_b") - 2) / F.col("_m")).drop("_a", "_b", "_m")
 
 
-def edge_betweenness(e: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def edge_betweenness(e: DataFrame) -> DataFrame:
     """Normalised edge betweenness, all (community, source) searches side by side.
 
     Breadth-first levels are joins of the frontier (community, source, node, paths)
@@ -66,7 +66,7 @@ def edge_betweenness(e: DataFrame, max_depth: int = 10_000) -> DataFrame:
     start = adj.select(COMMUNITY, F.col("node").alias("s"), "node").distinct().withColumn("sigma", F.lit(1.0))
     levels = [checkpointed(start)]
     seen = levels[0].select(*key)
-    for _ in range(max_depth):
+    while True:  # a level is at most one step from the last, so it ends with the longest shortest path
         reached = levels[-1].join(adj, [COMMUNITY, "node"]).select(COMMUNITY, "s", F.col("nbr").alias("node"), "sigma")
         nxt = checkpointed(reached.join(seen, key, "left_anti").groupBy(*key).agg(F.sum("sigma").alias("sigma")))
         if nxt.isEmpty():
@@ -94,57 +94,46 @@ def edge_betweenness(e: DataFrame, max_depth: int = 10_000) -> DataFrame:
     return per.join(n, COMMUNITY).select(COMMUNITY, *PAIR, round_half_up(value, 9).alias("betweenness"))
 
 
-def hit_rate(weighted: DataFrame, ks=(5, 10, 15, 20, 25), draws: int = 100, seed: int = 0, weight: str = "edge_weight") -> DataFrame:
-    """Share of each community's k heaviest edges that are among the most important ones.
+def _rates(weighted: DataFrame, runs: list[str], ks: tuple[int, ...], weight: str) -> DataFrame:
+    """(runs, community, k, rate): share of the k heaviest edges that are among the most important ones.
 
-    When more than k edges tie at the top importance, k of them are drawn ``draws``
-    times by hash; otherwise every edge counts as important. An edge drawn with chance
-    k / m in each draw has that expected share, which the draws estimate.
+    If more than k edges tie at the top importance, each counts k / m, its chance to be among k drawn
+    from the m of them, which is the mean over all draws. All runs (weightings) go through one plan.
     """
-    spark = weighted.sparkSession
-    best = weighted.groupBy(COMMUNITY).agg(F.max("human_importance").alias("_best"))
-    e = canonical(weighted).join(best, COMMUNITY).withColumn("_top", F.col("human_importance") == F.col("_best")).drop("_best")
-    m = e.filter("_top").select(COMMUNITY, *PAIR).distinct().groupBy(COMMUNITY).agg(F.count("*").alias("_m"))
-    order = Window.partitionBy(COMMUNITY).orderBy(F.desc(weight), "source", "target")
-    heavy = e.withColumn("_rk", F.row_number().over(order)).filter(F.col("_rk") <= max(ks)).join(m, COMMUNITY)
-    grid = spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
-    at_k = heavy.join(F.broadcast(grid)).filter(F.col("_rk") <= F.col("k"))  # a handful of k
-    sure = at_k.filter(F.col("_m") <= F.col("k")).groupBy(COMMUNITY, "k").agg((F.count("*") / F.first("k")).alias("rate"))
-    tied = e.filter("_top").select(COMMUNITY, *PAIR).distinct().join(m, COMMUNITY)
-    trials = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
-    shuffled = tied.select("*", trials).withColumn(
-        "_pos", F.row_number().over(Window.partitionBy(COMMUNITY, "draw").orderBy(F.xxhash64(F.lit(seed), "draw", *PAIR), *PAIR))
-    ).filter(F.col("_pos") <= max(ks))
-    drawn = (
-        at_k.filter(F.col("_m") > F.col("k"))
-        .join(shuffled.select(COMMUNITY, *PAIR, "_pos"), [COMMUNITY, *PAIR], "left")
-        .groupBy(COMMUNITY, "k")
-        .agg((F.count(F.when(F.col("_pos") <= F.col("k"), 1)) / (F.first("k") * draws)).alias("rate"))
-    )
-    both = sure.unionByName(drawn)
-    return both.groupBy("k").agg(round_half_up(F.avg(F.col("rate").cast("decimal(28,14)")).cast("double"), 6).alias("hit_rate"), F.count("*").alias("communities"))
+    best = weighted.groupBy(*runs, COMMUNITY).agg(F.max("human_importance").alias("_best"))
+    e = canonical(weighted).join(best, [*runs, COMMUNITY]).withColumn("_top", F.col("human_importance") == F.col("_best")).drop("_best")
+    m = e.filter("_top").groupBy(*runs, COMMUNITY).agg(F.countDistinct(*PAIR).alias("_m"))
+    top_pairs = e.filter("_top").select(*runs, COMMUNITY, *PAIR).distinct().withColumn("_is", F.lit(1))
+    order = Window.partitionBy(*runs, COMMUNITY).orderBy(F.desc(weight), "source", "target")
+    heavy = e.withColumn("_rk", F.row_number().over(order)).filter(F.col("_rk") <= max(ks)).join(m, [*runs, COMMUNITY]).join(top_pairs, [*runs, COMMUNITY, *PAIR], "left")
+    at_k = heavy.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter(F.col("_rk") <= F.col("k"))
+    share = F.when(F.col("_m") <= F.col("k"), F.lit(1.0)).otherwise(F.when(F.col("_is") == 1, F.col("k") / F.col("_m")).otherwise(0.0))
+    return at_k.groupBy(*runs, COMMUNITY, "k").agg((F.sum(share.cast("decimal(28,14)")).cast("double") / F.first("k")).alias("rate"))
+
+
+def _mean_rate(rates: DataFrame, runs: list[str]) -> DataFrame:
+    return rates.groupBy(*runs, "k").agg(round_half_up(F.avg(F.col("rate").cast("decimal(28,14)")).cast("double"), 6).alias("hit_rate"), F.count("*").alias("communities"))
+
+
+def hit_rate(weighted: DataFrame, ks=(5, 10, 15, 20, 25), weight: str = "edge_weight") -> DataFrame:
+    """k, hit_rate, communities: mean over the communities of the expected share of hits."""
+    return _mean_rate(_rates(weighted, [], tuple(ks), weight), [])
 
 
-def random_baseline(weighted: DataFrame, runs: int = 10, **kw) -> DataFrame:
-    """Hit rate of hash-random weights over ``runs`` seeds and its gap to the given weights."""
-    ours = hit_rate(weighted, **kw)
-    total = None
-    for r in range(runs):
-        w = F.pmod(F.xxhash64(F.lit(r), COMMUNITY, "source", "target"), F.lit(1 << 52)) / float(1 << 52)
-        one = hit_rate(weighted.withColumn("edge_weight", w), **kw).select("k", "hit_rate")
-        total = one if total is None else total.unionByName(one)
-    base = total.groupBy("k").agg(round_half_up(F.avg("hit_rate"), 6).alias("random_rate"))
-    return ours.join(base, "k").withColumn("gain", round_half_up(F.col("hit_rate") - F.col("random_rate"), 6))
+def random_baseline(weighted: DataFrame, runs: int = 10, ks=(5, 10, 15, 20, 25)) -> DataFrame:
+    """Hit rate of hash-random weights over ``runs`` seeds, all in one plan, and its gap to the given weights."""
+    random = weighted.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    digest = F.md5(F.concat_ws("|", "run", COMMUNITY, "source", "target"))
+    random = random.withColumn("edge_weight", F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52)))
+    base = _mean_rate(_rates(random, ["run"], tuple(ks), "edge_weight"), ["run"]).groupBy("k").agg(round_half_up(F.avg(F.col("hit_rate").cast("decimal(18,6)")).cast("double"), 6).alias("random_rate"))
+    return hit_rate(weighted, ks).join(base, "k").withColumn("gain", round_half_up(F.col("hit_rate") - F.col("random_rate"), 6))
 
 
 def hybrid_search(train: DataFrame, grid=tuple(i / 10 for i in range(11)), k: int = 5) -> DataFrame:
-    """Hit rate at ``k`` for every blend weight of explainer and centrality, best first."""
-    out = None
-    for w in grid:
-        blended = train.withColumn("edge_weight", combine_weight(F.col("explainer"), F.col("centrality"), w))
-        one = hit_rate(blended, (k,)).select(F.lit(float(w)).alias("w"), "hit_rate")
-        out = one if out is None else out.unionByName(one)
-    return out.orderBy(F.desc("hit_rate"), "w")
+    """Hit rate at ``k`` for every blend weight of explainer and centrality, all in one plan, best first."""
+    blended = train.withColumn("w", F.explode(F.array(*[F.lit(float(w)) for w in grid])))
+    blended = blended.withColumn("edge_weight", combine_weight(F.col("explainer"), F.col("centrality"), F.col("w")))
+    return _mean_rate(_rates(blended, ["w"], (k,), "edge_weight"), ["w"]).select("w", "hit_rate").orderBy(F.desc("hit_rate"), "w")
 
 
 def ridge_weights(train: DataFrame, reg: float = 1.0) -> DataFrame:
@@ -182,8 +171,13 @@ def ks_and_correlation(df: DataFrame, a: str, b: str, digits: int = 6) -> DataFr
     """Largest gap of the two empirical distributions, and Pearson correlation; one row."""
     long = df.select(F.round(a, digits).alias("x"), F.lit(1).alias("na"), F.lit(0).alias("nb")).union(df.select(F.round(b, digits), F.lit(0), F.lit(1)))
     per = long.groupBy("x").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy()
-    gap = F.abs(F.sum("na").over(w) / F.sum("na").over(tot) - F.sum("nb").over(w) / F.sum("nb").over(tot))
-    ks = per.select(gap.alias("_g")).agg(round_half_up(F.max("_g"), 6).alias("ks"))
+    # running counts inside ranges of x, and over the ranges before: no task sees all values
+    ranged = checkpointed(per.repartitionByRange("x").withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.sum("na").alias("_a"), F.sum("nb").alias("_b"))
+    before, tot = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    sizes = sizes.select("_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_a", "_b")], *[F.sum(c).over(tot).alias(f"{c}n") for c in ("_a", "_b")])
+    w = Window.partitionBy("_range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranged.select("_range", F.sum("na").over(w).alias("_ia"), F.sum("nb").over(w).alias("_ib"))
+    gap = F.abs((F.col("_ia") + F.col("_a0")) / F.col("_an") - (F.col("_ib") + F.col("_b0")) / F.col("_bn"))
+    ks = inside.join(F.broadcast(sizes), "_range").agg(round_half_up(F.max(gap), 6).alias("ks"))  # one row per range
     return ks.join(F.broadcast(df.agg(round_half_up(F.corr(a, b), 6).alias("pearson"))))  # one row each

@@ -19,7 +19,8 @@ RELATION = {
     "ip": "used_ip",
 }
 FEATURES = 14
-SPLIT = 64
+#: Independent samples kept of each node's neighbours.
+STREAMS = 16
 
 
 def edges(labeled: DataFrame, prediction: bool = False) -> DataFrame:
@@ -111,75 +112,45 @@ def seeds_at(e: DataFrame, timestamps: DataFrame) -> DataFrame:
 
 
 def _uniform(*key) -> Column:
-    """Deterministic number in (0, 1) from a hash of the key columns."""
-    return (F.pmod(F.xxhash64(*key), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """Deterministic number in (0, 1): 52 bits of the MD5 of the key columns."""
+    digest = F.md5(F.concat_ws("|", *[k if isinstance(k, Column) else F.col(k) for k in key]))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def neighbors(e: DataFrame, method: str = "uniform") -> DataFrame:
-    """Distinct undirected neighbours with sampling weight and place on the node's weight line.
-
-    A node's neighbours lie end to end on [0, total); the running sum is taken per
-    (node, hash part) and shifted by the parts before, so a node with most of the
-    edges is spread over ``SPLIT`` tasks.
-    """
+    """node, nbr, w, degree: distinct undirected neighbours with their sampling weight."""
     und = e.select(F.col("src").alias("node"), F.col("dst").alias("nbr"), F.col("dst_type").alias("t")).union(
         e.select("dst", "src", "src_type")
     ).distinct()
+    degree = und.groupBy("node").agg(F.count("*").alias("degree"))
     if method.startswith("dw"):
-        deg = und.groupBy(F.col("node").alias("nbr")).agg(F.count("*").cast("double").alias("_deg"))
-        und = und.join(deg, "nbr")
+        und = und.join(degree.select(F.col("node").alias("nbr"), F.col("degree").cast("double").alias("_deg")), "nbr")
         tw = nodes(e).groupBy(F.col("type").alias("t")).agg((1.0 / F.count("*")).alias("_tw"))
         und = und.join(F.broadcast(tw), "t")  # one row per node type
         w = {"dw1-ntw0": F.col("_deg"), "dw0-ntw1": F.col("_tw")}.get(method, F.col("_deg") * F.col("_tw"))
-        und = und.withColumn("w", w).drop("_deg", "_tw")
+        und = und.withColumn("w", w)
     else:
         und = und.withColumn("w", F.lit(1.0))
-    und = und.withColumn("_p", F.pmod(F.xxhash64("nbr"), F.lit(SPLIT)).cast("int"))
-    parts = und.groupBy("node", "_p").agg(F.sum("w").alias("_pw"), F.count("*").alias("_pn"))
-    before = Window.partitionBy("node").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("node")
-    parts = parts.select(
-        "node", "_p", F.coalesce(F.sum("_pw").over(before), F.lit(0.0)).alias("_at"), F.sum("_pw").over(whole).alias("total"), F.sum("_pn").over(whole).alias("degree")
-    )
-    inside = Window.partitionBy("node", "_p").orderBy("nbr").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        und.join(parts, ["node", "_p"])
-        .withColumn("hi", F.col("_at") + F.sum("w").over(inside))
-        .select("node", "nbr", "w", "degree", "total", (F.col("hi") - F.col("w")).alias("lo"), "hi")
-    )
+    return und.join(degree, "node").select("node", "nbr", "w", "degree")
 
 
-def draw(frontier: DataFrame, nbrs: DataFrame, width: int, seed: int, hop: int) -> DataFrame:
-    """Up to ``width`` distinct neighbours for each (root, node) of the frontier.
+def _stream(root: Column | str, streams: int) -> Column:
+    return F.conv(F.substring(F.md5(F.col(root) if isinstance(root, str) else root), 1, 6), 16, 10).cast("long") % streams
 
-    Small nodes list all their neighbours and keep those with the smallest
-    exponential keys. Large ones are not listed: numbers drawn on the node's weight
-    line meet the neighbour that covers them through an equi join on (node, bin), and
-    the first ``width`` distinct hits stay, which is the same weighted sampling
-    without replacement. Work is proportional to the draws, not to the degree.
+
+def draw(frontier: DataFrame, nbrs: DataFrame, width: int, seed: int, hop: int, streams: int = STREAMS) -> DataFrame:
+    """``width`` distinct neighbours, or all if there are fewer, for each (root, node) of the frontier.
+
+    Every node has ``streams`` independent samples, weighted and without replacement: the neighbours with
+    the smallest exponential keys. A root reads the samples of the stream its hash names. One rule holds
+    for all degrees and weights; a node's neighbours are never listed per root, and Spark cuts each task's
+    part of a hot node to ``width`` rows before the shuffle.
     """
-    small_at, draws = 4 * width, 16 * width
-    small = nbrs.filter(F.col("degree") <= small_at)
-    key = -F.log(_uniform(F.lit(seed), F.lit(hop), "root", "node", "nbr")) / F.col("w")
-    rank = F.row_number().over(Window.partitionBy("root", "node").orderBy(key, "nbr"))
-    few = frontier.join(small, "node").withColumn("_rk", rank).filter(F.col("_rk") <= width).select("root", "node", "nbr")
-    large = nbrs.filter(F.col("degree") > small_at).withColumn("_bw", F.col("total") / F.col("degree"))
-    bins = large.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("lo") / F.col("_bw")), F.floor(F.col("hi") / F.col("_bw")))))
-    size = large.groupBy("node").agg(F.first("total").alias("total"), F.first("_bw").alias("_bw"))
-    hits = (
-        frontier.join(size, "node")
-        .withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-        .withColumn("_u", _uniform(F.lit(seed), F.lit(hop), "root", "node", "_k") * F.col("total"))
-        .withColumn("_bin", F.floor(F.col("_u") / F.col("_bw")))
-        .drop("total", "_bw")
-        .join(bins.select("node", "nbr", "lo", "hi", "_bin"), ["node", "_bin"])
-        .filter((F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi")))
-        .groupBy("root", "node", "nbr")
-        .agg(F.min("_k").alias("_k"))
-    )
-    first = F.row_number().over(Window.partitionBy("root", "node").orderBy("_k"))
-    many = hits.withColumn("_rk", first).filter(F.col("_rk") <= width).select("root", "node", "nbr")
-    return few.unionByName(many)
+    key = -F.log(_uniform(F.lit(seed), F.lit(hop), "stream", "node", "nbr")) / F.col("w")
+    rank = F.row_number().over(Window.partitionBy("node", "stream").orderBy("key", "nbr"))
+    keyed = nbrs.withColumn("stream", F.explode(F.sequence(F.lit(0), F.lit(streams - 1)))).withColumn("key", key)
+    sample = keyed.withColumn("_rk", rank).filter(F.col("_rk") <= width).select("node", F.col("stream").cast("long").alias("stream"), "nbr")
+    return frontier.withColumn("stream", _stream("root", streams)).join(sample, ["node", "stream"]).select("root", "node", "nbr")
 
 
 def sample_context(roots: DataFrame, e: DataFrame, width: int = 6, depth: int = 2, method: str = "uniform", seed: int = 2020) -> DataFrame:

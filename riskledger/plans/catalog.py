@@ -4,7 +4,7 @@ import importlib
 
 from .registry import COVERS, ORACLE, QUERIES
 
-MODULES = ("risk", "scoring", "reports", "billing", "linkage", "graph", "streaming", "lists", "insights", "extra")
+MODULES = ("risk", "scoring", "reports", "billing", "linkage", "graph", "streaming", "lists", "insights", "extra", "overview")
 
 for _m in MODULES:
     importlib.import_module(f"{__package__}.q_{_m}")

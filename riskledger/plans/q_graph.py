@@ -100,9 +100,32 @@ def _roots(spark, sf):
     return labeled(spark, sf).filter(F.col("pseudo_label") >= 0).select(F.concat(F.lit("tx:"), "transaction_id").alias("node"))
 
 
+view("v_und", "v_gedges", "SELECT src AS node, dst AS nbr, dst_type AS t FROM v_gedges UNION SELECT dst, src, src_type FROM v_gedges")
+view("v_degree", "v_und", "SELECT node, count(*) AS degree FROM v_und GROUP BY 1")
+view("v_groot", "v_labeled", "SELECT 'tx:' || transaction_id AS root FROM v_labeled WHERE pseudo_label >= 0")
+_HEX = "(('0x' || substr(md5({key}), 1, {n}))::BIGINT)"
+_WEIGHT = {"uniform": "1.0", "dw": "e.degree / y.n", "dw0-ntw1": "1.0 / y.n", "dw1-ntw0": "e.degree"}
+
+
+def _samples(method, hop, width, und="v_und", seed=2020):
+    """SQL of the samples of every node: node, stream, nbr."""
+    u = "(" + _HEX.format(key=f"concat_ws('|', {seed}, {hop}, stream, u.node, u.nbr)", n=13) + " + 0.5::DOUBLE) / 4503599627370496::DOUBLE"
+    extra = "" if method == "uniform" else " JOIN v_degree e ON e.node = u.nbr JOIN (SELECT type, count(*)::DOUBLE AS n FROM (SELECT src AS node, src_type AS type FROM v_gedges UNION SELECT dst, dst_type FROM v_gedges) GROUP BY 1) y ON y.type = u.t"
+    return f"(SELECT node, stream, nbr FROM (SELECT u.node, stream, u.nbr, row_number() OVER (PARTITION BY u.node, stream ORDER BY -ln({u}) / ({_WEIGHT[method]})::DOUBLE, u.nbr) AS rk FROM {und} u{extra}, range(16) s(stream)) WHERE rk <= {width})"
+
+
+_ROOT_STREAM = _HEX.format(key="root", n=6) + " % 16"
+
 for _m in ("uniform", "dw", "dw0-ntw1", "dw1-ntw0"):
 
-    @query(f"graph_sample_{_m.replace('-', '_')}", "GRF-05" if _m == "uniform" else "GRF-06")
+    @query(
+        f"graph_sample_{_m.replace('-', '_')}",
+        "GRF-05" if _m == "uniform" else "GRF-06",
+        f"""WITH h1 AS (SELECT DISTINCT root, nbr AS node FROM (SELECT root, {_ROOT_STREAM} AS stream FROM v_groot) r JOIN {_samples(_m, 1, 6)} s ON s.node = r.root AND s.stream = r.stream WHERE nbr <> root),
+        h2 AS (SELECT DISTINCT h.root, s.nbr AS node FROM (SELECT root, node, {_ROOT_STREAM} AS stream FROM h1) h JOIN {_samples(_m, 2, 6)} s ON s.node = h.node AND s.stream = h.stream)
+        SELECT root, node, 1 AS hop FROM h1 UNION ALL SELECT root, node, 2 FROM h2 WHERE node <> root AND NOT EXISTS (SELECT 1 FROM h1 WHERE h1.root = h2.root AND h1.node = h2.node)""",
+        "v_groot v_und v_degree v_gedges",
+    )
     def graph_sample(spark, sf, _m=_m):
         return graph.sample_context(_roots(spark, sf), _edges(spark, sf, True), 6, 2, _m)
 
@@ -130,10 +153,22 @@ def _model(spark, sf):
     lab = labeled(spark, sf)
     vectors = checkpointed(_vectors(spark, sf))
     labels = lab.filter(F.col("pseudo_label") >= 0).select(F.concat(F.lit("tx:"), "transaction_id").alias("node"), "us", F.col("pseudo_label").alias("label"))
+    if not models.enough_labels(labels):
+        return lab, vectors, None, lambda _: None
     scored, predict = models.train_graph_model(vectors, labels)
     return lab, vectors, scored, predict
 
 
+@query("graph_score_fallback", "GRF-10", "SELECT transaction_id, graph_score FROM v_comp", "v_comp")
+def graph_score_fallback(spark, sf):
+    """With negative labels only there is nothing to train on, and the prior stands."""
+    lab = labeled(spark, sf)
+    labels = lab.filter(F.col("pseudo_label") == 0).select(F.concat(F.lit("tx:"), "transaction_id").alias("node"), "us", F.col("pseudo_label").alias("label"))
+    if models.enough_labels(labels):
+        raise ValueError("one class must not be enough")
+    return models.graph_score(lab, None).select("transaction_id", "graph_score")
+
+
 @query("graph_model_scores", "GRF-09 GRF-10")
 def graph_model_scores(spark, sf):
     lab, vectors, _, predict = _model(spark, sf)
@@ -143,6 +178,8 @@ def graph_model_scores(spark, sf):
 @query("graph_model_metrics", "GRF-09 AGG-50")
 def graph_model_metrics(spark, sf):
     _, _, scored, _ = _model(spark, sf)
+    if scored is None:
+        return spark.createDataFrame([], "n long, loss double, accuracy double, auc double, average_precision double, split string")
     scored = checkpointed(scored)
     out = None
     for part in ("train", "valid", "test"):
@@ -262,14 +299,38 @@ def explain_betweenness(spark, sf):
     return explain.edge_betweenness(_community(spark, sf))
 
 
-@query("explain_hit_rate", "GRF-15")
+def _rates_sql(frame, runs, ks):
+    """SQL of (runs, community, k, rate) of a frame with runs, source, target, community_id, edge_weight, human_importance."""
+    g = "".join(f"{r}, " for r in runs)
+    pair = "least(source, target) AS u, greatest(source, target) AS v"
+    return f"""(SELECT {g}community_id, k, sum(CASE WHEN m <= k THEN 1 WHEN top THEN CAST(k::DOUBLE / m AS DECIMAL(28,14)) ELSE 0 END)::DOUBLE / k AS rate
+      FROM (SELECT *, row_number() OVER (PARTITION BY {g}community_id ORDER BY edge_weight DESC, source, target) AS rk FROM (SELECT *, {pair} FROM {frame}))
+      JOIN (SELECT {g}community_id, count(DISTINCT (u, v)) AS m FROM (SELECT *, {pair}, max(human_importance) OVER (PARTITION BY {g}community_id) AS best FROM {frame}) WHERE human_importance = best GROUP BY ALL) USING ({g}community_id)
+      JOIN (SELECT {g}community_id, u, v, bool_or(human_importance = best) AS top FROM (SELECT *, {pair}, max(human_importance) OVER (PARTITION BY {g}community_id) AS best FROM {frame}) GROUP BY ALL) USING ({g}community_id, u, v)
+      JOIN (VALUES {', '.join(f'({k})' for k in ks)}) t(k) ON rk <= k GROUP BY {g}community_id, k)"""
+
+
+_MEAN = rnd("avg(rate::DECIMAL(28,14))", 6)
+
+
+@query("explain_hit_rate", "GRF-15", f"SELECT k, {_MEAN} AS hit_rate, count(*) AS communities FROM {_rates_sql('v_comm', [], (5, 10, 15, 20, 25))} GROUP BY k", "v_comm")
 def explain_hit_rate(spark, sf):
     return explain.hit_rate(_community(spark, sf))
 
 
-@query("explain_random_baseline", "GRF-16")
+_RUN_WEIGHT = _HEX.format(key="concat_ws('|', run, community_id, source, target)", n=13) + " / 4503599627370496::DOUBLE"
+view("v_runs", "v_comm", f"SELECT run, source, target, community_id, human_importance, {_RUN_WEIGHT} AS edge_weight FROM v_comm, range(10) t(run)")
+
+
+@query(
+    "explain_random_baseline",
+    "GRF-16",
+    f"""SELECT k, hit_rate, communities, random_rate, {rnd('hit_rate - random_rate', 6)} AS gain FROM (SELECT k, {_MEAN} AS hit_rate, count(*) AS communities FROM {_rates_sql('v_comm', [], (5, 10, 15, 20, 25))} GROUP BY k)
+    JOIN (SELECT k, {rnd('avg(hit_rate::DECIMAL(18,6))', 6)} AS random_rate FROM (SELECT run, k, {_MEAN} AS hit_rate FROM {_rates_sql('v_runs', ['run'], (5, 10, 15, 20, 25))} GROUP BY run, k) GROUP BY k) USING (k)""",
+    "v_comm v_runs",
+)
 def explain_random_baseline(spark, sf):
-    return explain.random_baseline(checkpointed(_community(spark, sf)), runs=3, ks=(5, 10), draws=20)
+    return explain.random_baseline(checkpointed(_community(spark, sf)))
 
 
 def _hybrid(spark, sf):
@@ -277,10 +338,19 @@ def _hybrid(spark, sf):
     return d.withColumn("explainer", F.col("edge_weight") * 10).withColumn("centrality", F.col("line_degree"))
 
 
-@query("explain_hybrid_search", "GRF-17 FN-36")
+view("v_ends", "v_comm", "SELECT community_id, x, count(*) AS d FROM (SELECT community_id, source AS x FROM v_comm UNION ALL SELECT community_id, target FROM v_comm) GROUP BY 1, 2")
+view(
+    "v_hybrid",
+    "v_comm v_ends",
+    """SELECT source, target, c.community_id, human_importance, edge_weight * 10 AS explainer, (a.d + b.d - 2) / greatest(1, n - 1) AS centrality FROM v_comm c JOIN v_ends a ON a.community_id = c.community_id AND a.x = source
+  JOIN v_ends b ON b.community_id = c.community_id AND b.x = target JOIN (SELECT community_id, count(*) AS n FROM v_comm GROUP BY 1) t ON t.community_id = c.community_id""",
+)
+view("v_blend", "v_hybrid", "SELECT i * 0.1::DOUBLE AS w0, i, source, target, community_id, human_importance, (1 - i / 10.0::DOUBLE) * explainer + i / 10.0::DOUBLE * centrality AS edge_weight FROM v_hybrid, range(11) t(i)")
+
+
+@query("explain_hybrid_search", "GRF-17 FN-36", f"SELECT i / 10.0::DOUBLE AS w, {_MEAN} AS hit_rate FROM {_rates_sql('v_blend', ['i'], (5,))} GROUP BY i", "v_blend")
 def explain_hybrid_search(spark, sf):
-    train = checkpointed(_hybrid(spark, sf).filter(F.col("community_id") % 2 == 0))
-    return explain.hybrid_search(train, (0.0, 0.25, 0.5, 0.75, 1.0))
+    return explain.hybrid_search(checkpointed(_hybrid(spark, sf)))
 
 
 @query("explain_ridge", "GRF-17")
