@@ -190,7 +190,19 @@ def cands(spark, sf):
     return _CANDS[key]
 
 
-@query("link_candidates", "JON-08 JON-09 FN-10")
+def _waiting(spark, sf):
+    """Inbox items with a status; some are matched already."""
+    k = F.col("inbox_id").cast("long")
+    status = F.element_at(F.array(*[F.lit(x) for x in ("pending", "no_match", "done", "pending")]), (k % 4 + 1).cast("int"))
+    return v.inbox(spark, sf).withColumns({"status": status, "attached_to": F.when(k % 9 == 0, F.concat(F.lit("p"), "inbox_id"))})
+
+
+@query("link_candidates_reverse", "JON-09")
+def link_candidates_reverse(spark, sf):
+    return linkage.reverse_candidates(v.payment(spark, sf), _waiting(spark, sf)).select("transaction_id", "inbox_id", "rank", "name_similarity")
+
+
+@query("link_candidates", "JON-08 FN-10")
 def link_candidates(spark, sf):
     return cands(spark, sf).select("inbox_id", "transaction_id", "rank", "name_similarity")
 

@@ -26,6 +26,34 @@ def test_candidates_equal_brute_force(spark, sf):
     assert got == want and want
 
 
+def test_reverse_candidates_equal_brute_force(spark, sf):
+    from riskledger.plans.q_linkage import _waiting
+
+    inbox = _waiting(spark, sf).orderBy("inbox_id").limit(80)
+    pay = v.payment(spark, sf).orderBy("transaction_id").limit(50)
+    got = {(r.transaction_id, r.inbox_id) for r in linkage.reverse_candidates(pay, inbox, limit=1000).collect()}
+    want = set()
+    for i, p in product(inbox.collect(), pay.collect()):
+        days = (i.date - p.date).days
+        if i.team_id != p.team_id or i.status == "done" or i.attached_to or not -(123 if i.type == "invoice" else 90) <= days <= 30:
+            continue
+        a, b = abs(float(i.amount)), abs(float(p.amount))
+        close = i.currency == p.currency and abs(a - b) < max(1, b * 0.25)
+        base = abs(abs(float(i.base_amount)) - abs(float(p.base_amount))) < max(50, abs(float(p.base_amount)) * 0.15)
+        if close or base or tx._best_run(i.display_name, p.name) > 0.3:
+            want.add((p.transaction_id, i.inbox_id))
+    assert got == want and want
+
+
+def test_reverse_candidates_rank_by_name_amount_and_date(spark, sf):
+    from riskledger.plans.q_linkage import _waiting
+
+    rows = linkage.reverse_candidates(v.payment(spark, sf).limit(40), _waiting(spark, sf), limit=3).collect()
+    assert rows and max(r.rank for r in rows) <= 3
+    by = {(r.transaction_id, r["rank"]): r.name_similarity for r in rows}
+    assert all(by[t, k] <= by[t, k - 1] for t, k in by if k > 1)
+
+
 def test_similar_names_lose_nothing(spark):
     words = ["alpha beta", "alfa betta gmbh", "gamma", "delta alpha", "beta", "omega corp", "alphabet", "co-op market"]
     df = spark.createDataFrame([(1, w) for w in words], "team_id int, name string")
