@@ -78,7 +78,8 @@ def _latest_earlier(wanted: DataFrame, offered: DataFrame) -> DataFrame:
     own, so a passage that a long conversation repeats is not one task's.
     """
     keys = ["conv", "hash"]
-    offered = offered.join(wanted.select(*keys).distinct(), keys, "left_semi").distinct()
+    # only what is asked for; read twice below, so it is stored
+    offered = checkpointed(offered.join(wanted.select(*keys).distinct(), keys, "left_semi").distinct())
     both = offered.select(*keys, "turn", F.col("turn").alias("has")).union(wanted.select(*keys, "turn", F.lit(None).cast("long")).distinct())
     both = both.withColumn("cell", F.floor(F.col("turn") / CELL))
     inside = Window.partitionBy(*keys, "cell").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
@@ -97,7 +98,7 @@ def link(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     pieces = checkpointed(pieces.withColumn("hash", F.xxhash64("piece")).withColumn("size", F.length("piece")).drop("piece"))
     offered = messages.select("conv", "turn", F.explode(F.transform(_offers(F.col("own")), lambda x: F.xxhash64(x))).alias("hash"))
     sources = _latest_earlier(pieces.select("conv", "hash", "turn"), offered)
-    found = pieces.join(sources, ["conv", "hash", "turn"])
+    found = checkpointed(pieces.join(sources, ["conv", "hash", "turn"]))
     votes = found.groupBy("conv", "turn", "level", "source").agg(F.sum("size").alias("size"))
     order = F.struct(-F.col("level"), "size", "source")
     links = votes.groupBy("conv", "turn").agg(F.max_by("source", order).alias("parent"))
