@@ -160,7 +160,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = distinct.join(classes, distinct["fp"] == classes["node"]).select("fp", "first", F.col("component").alias("class"))
     least = member.groupBy("class").agg(F.min("first").alias("least"))
     linked = member.join(least, "class").select("fp", F.col("least"))
-    known = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component"))
+    # stored, so that the last join reads two plain shuffles and a fingerprint of very many copies can be split
+    known = checkpointed(distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component")))
     return prints.join(known, "fp").select("id", "fp", "component")
 
 
