@@ -13,6 +13,8 @@ from .registry import query
 from .views_sql import view
 
 GAP = 21_600
+#: Idle cards leave the state store after a day by its clock.
+TTL_MS = 86_400_000
 
 view(
     "v_stream",
@@ -95,7 +97,7 @@ def stream_gap_sessions_batch(spark, sf):
 
 @query("stream_velocity_state", "STR-01 FN-32", _TRACK_SQL, "v_tracked")
 def stream_velocity_state(spark, sf):
-    return _tracked(p.run_to_files(p.track(_stream(spark, sf), GAP)))
+    return _tracked(p.run_to_files(p.track(_stream(spark, sf), GAP, TTL_MS)))
 
 
 view(
@@ -115,7 +117,7 @@ _SCORED = "transaction_id, merchant_name, velocity_score, geo_score, amount_scor
 
 
 def _scored_stream(spark, sf):
-    return p.score(p.enrich(p.track(_stream(spark, sf), GAP), _merchants(spark, sf), _cards(spark, sf)))
+    return p.score(p.enrich(p.track(_stream(spark, sf), GAP, TTL_MS), _merchants(spark, sf), _cards(spark, sf)))
 
 
 @query("stream_scored", "STR-02 JON-21 FN-33", f"SELECT {_SCORED} FROM v_stream_scored", "v_stream_scored")
@@ -148,19 +150,48 @@ def stream_routed(spark, sf):
     return out.groupBy("decision").agg(F.count("*").alias("n"))
 
 
-view("v_seen", "v_stream", "SELECT * FROM v_stream")
+def _txn_stream(spark, sf):
+    """The transactions as a stream, with device and address."""
+    raw = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/events*.parquet")
+    k, online = F.col("k"), F.col("event_type").isin("click", "view", "purchase")
+    e = raw.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return e.select(
+        F.col("event_id").cast("string").alias("transaction_id"), F.col("user_id").cast("string").alias("card_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.concat(F.lit("m"), (k % 20).cast("string")).alias("merchant_name"),
+        F.col("event_type").alias("merchant_category"), (k % 5).cast("string").alias("merchant_country"), F.when(online, F.concat(F.lit("d"), k.cast("string"))).otherwise("").alias("device_id"),
+        F.when(online, F.concat(F.lit("10."), (k % 8).cast("string"), F.lit("."), k.cast("string"), F.lit(".1"))).otherwise("").alias("ip_address"),
+    )
+
+
+view(
+    "v_kind",
+    "v_txn",
+    """SELECT transaction_id, card_id, us, 'merchant' AS kind, merchant_name AS key FROM v_txn UNION ALL SELECT transaction_id, card_id, us, 'device', device_id FROM v_txn WHERE device_id <> '' UNION ALL SELECT transaction_id, card_id, us, 'ip', ip_address FROM v_txn WHERE ip_address <> ''
+  UNION ALL SELECT transaction_id, card_id, us, 'prefix', regexp_extract(ip_address, '^[0-9]+[.][0-9]+[.][0-9]+') FROM v_txn WHERE ip_address <> '' UNION ALL SELECT transaction_id, card_id, us, 'cluster', merchant_name || '|' || merchant_category || '|' || merchant_country FROM v_txn""",
+)
+view(
+    "v_collective_stream",
+    "v_kind",
+    """SELECT a.transaction_id, a.kind, count(DISTINCT CASE WHEN b.us >= a.us - 3600000000 THEN b.card_id END) AS unique_60m, count(DISTINCT CASE WHEN b.us >= a.us - 86400000000 THEN b.card_id END) AS unique_24h, count(DISTINCT b.card_id) AS unique_total, count(CASE WHEN b.us >= a.us - 3600000000 THEN 1 END) AS count_60m,
+  count(*) AS count_total FROM v_kind a JOIN v_kind b ON a.kind = b.kind AND a.key = b.key AND (b.us < a.us OR (b.us = a.us AND b.transaction_id <= a.transaction_id)) GROUP BY 1, 2""",
+)
+
+
+@query("stream_collective", "STR-04", "SELECT * FROM v_collective_stream", "v_collective_stream")
+def stream_collective(spark, sf):
+    return p.run_to_files(p.collective(_txn_stream(spark, sf)))
 
 
 @query(
     "stream_collective_merchant",
     "STR-04",
-    """SELECT a.transaction_id, count(DISTINCT CASE WHEN b.us >= a.us - 3600000000 THEN b.card_id END) AS unique_60m, count(DISTINCT CASE WHEN b.us >= a.us - 86400000000 THEN b.card_id END) AS unique_24h, count(DISTINCT b.card_id) AS unique_total
-    FROM v_stream a JOIN v_stream b ON a.merchant_id = b.merchant_id AND (b.us < a.us OR (b.us = a.us AND b.transaction_id <= a.transaction_id)) GROUP BY 1""",
-    "v_stream",
+    f"""SELECT transaction_id, unique_60m, unique_24h, unique_total, {rnd('greatest(0, least(1, (unique_60m - 2.0::DOUBLE) / 6 + (count_60m - 3.0::DOUBLE) / 18))', 4)} AS merchant_burst_score, unique_60m >= 5 AND count_60m >= 5 AS hit_by_many_cards FROM v_collective_stream WHERE kind = 'merchant'""",
+    "v_collective_stream",
 )
 def stream_collective_merchant(spark, sf):
-    s = _stream(spark, sf).withColumn("us", F.unix_micros("event_time"))
-    return p.run_to_files(p.collective(s, "merchant_id"))
+    out = p.run_to_files(p.collective(_txn_stream(spark, sf))).filter("kind = 'merchant'")
+    return out.select(
+        "transaction_id", "unique_60m", "unique_24h", "unique_total", p.burst_score(F.col("unique_60m"), F.col("count_60m")).alias("merchant_burst_score"), ((F.col("unique_60m") >= 5) & (F.col("count_60m") >= 5)).alias("hit_by_many_cards")
+    )
 
 
 @query(

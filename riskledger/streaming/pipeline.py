@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-from bisect import bisect_left, insort
+from bisect import insort
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -181,52 +182,102 @@ def track_batch(events: DataFrame, gap_seconds: int = 60, span: int = DAY) -> Da
 # ---- collective features as keyed state
 
 COLLECTIVE = T.StructType(
-    [
-        T.StructField("transaction_id", T.StringType()),
-        T.StructField("unique_60m", T.LongType()),
-        T.StructField("unique_24h", T.LongType()),
-        T.StructField("unique_total", T.LongType()),
-    ]
+    [T.StructField("transaction_id", T.StringType()), T.StructField("kind", T.StringType())]
+    + [T.StructField(c, T.LongType()) for c in ("unique_60m", "unique_24h", "unique_total", "count_60m", "count_total")]
 )
 
 
 class CollectiveProcessor(StatefulProcessor):
-    """Per key (merchant, device or address): cards seen in the last hour, day and ever.
+    """Per (kind, key): cards and rows of the last hour, cards of the last day and ever, rows ever.
 
-    A map from card to the time it was last seen answers both windows; the counts
-    are those of rows that arrived so far.
+    Kept are the rows of the last day, from which older rows go as newer ones come, the cards ever seen
+    and the number of rows; each is read once per batch. The counts are those of rows that arrived so far.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        card = T.StructType([T.StructField("card_id", T.StringType())])
-        seen = T.StructType([T.StructField("us", T.LongType())])
-        self.last = handle.getMapState("last", card, seen)
+        self.recent = handle.getListState("recent", T.StructType([T.StructField("us", T.LongType()), T.StructField("card_id", T.StringType())]))
+        self.ever = handle.getListState("ever", T.StructType([T.StructField("card_id", T.StringType())]))
+        self.total = handle.getValueState("total", T.StructType([T.StructField("rows", T.LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        last = {k[0]: val[0] for k, val in self.last.iterator()} if self.last.exists() else {}
-        times = sorted(last.values())
-        touched = set()
+        held = sorted((r[0], r[1]) for r in self.recent.get()) if self.recent.exists() else []
+        newest = held[-1][0] if held else None
+        ever = {x[0] for x in self.ever.get()} if self.ever.exists() else set()
+        total = self.total.get()[0] if self.total.exists() else 0
+        fresh, day, hour = [], None, None
         for r in sorted(rows, key=lambda x: (x["us"], x["transaction_id"])):
             card, us = r["card_id"], r["us"]
-            if card in last:
-                times.pop(bisect_left(times, last[card]))
-            insort(times, us)
-            last[card] = us
-            touched.add(card)
-            hour = len(times) - bisect_left(times, us - HOUR)
-            day = len(times) - bisect_left(times, us - DAY)
-            yield Row(transaction_id=r["transaction_id"], unique_60m=hour, unique_24h=day, unique_total=len(last))
-        for card in touched:
-            self.last.updateValue((card,), (last[card],))
+            total += 1
+            if card not in ever:
+                ever.add(card)
+                fresh.append((card,))
+            if newest is not None and us < newest:  # late: counted among the rows up to its own time
+                insort(held, (us, card))
+                own = [x for x in held if us - DAY <= x[0] <= us]
+                last = [c for u, c in own if u >= us - HOUR]
+                counts = len(set(last)), len({c for _, c in own}), len(last)
+            else:
+                if day is None:
+                    day, hour = _Seen(held, us - DAY), _Seen(held, us - HOUR)
+                day.add(us, card, DAY)
+                hour.add(us, card, HOUR)
+                counts = len(hour.cards), len(day.cards), len(hour.rows)
+            yield Row(transaction_id=r["transaction_id"], kind=key[0], unique_60m=counts[0], unique_24h=counts[1], unique_total=len(ever), count_60m=counts[2], count_total=total)
+        self.recent.put(list(day.rows) if day else held)
+        if fresh:
+            self.ever.appendList(fresh)
+        self.total.update((total,))
 
     def close(self) -> None:
         pass
 
 
-def collective(events: DataFrame, key: str) -> DataFrame:
+class _Seen:
+    """Rows of a moving window in order of time, and how often each card is among them."""
+
+    def __init__(self, rows: list, since: int):
+        self.rows = deque(x for x in rows if x[0] >= since)
+        self.cards = Counter(c for _, c in self.rows)
+
+    def add(self, us: int, card: str, span: int) -> None:
+        while self.rows and self.rows[0][0] < us - span:
+            gone = self.rows.popleft()[1]
+            self.cards[gone] -= 1
+            if not self.cards[gone]:
+                del self.cards[gone]
+        self.rows.append((us, card))
+        self.cards[card] += 1
+
+
+def collective(events: DataFrame) -> DataFrame:
+    """Collective counts of every row for its merchant, device, address, address prefix and cluster.
+
+    ``events``: transaction_id, card_id, us, merchant_name, merchant_category, merchant_country, device_id,
+    ip_address. One row per row and kind; absent devices and addresses have none.
+    """
     use_rocksdb(events.sparkSession)
-    rows = events.select(key, "transaction_id", "card_id", "us")
-    return rows.groupBy(key).transformWithState(CollectiveProcessor(), COLLECTIVE, "Append", "None")
+    c = F.col
+
+    def one(kind, key):
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+
+    kinds = F.array_compact(
+        F.array(
+            one("merchant", c("merchant_name")),
+            F.when(c("device_id") != "", one("device", c("device_id"))),
+            F.when(c("ip_address") != "", one("ip", c("ip_address"))),
+            F.when(c("ip_address") != "", one("prefix", F.substring_index("ip_address", ".", 3))),
+            one("cluster", F.concat_ws("|", "merchant_name", "merchant_category", "merchant_country")),
+        )
+    )
+    rows = events.select(F.explode(kinds).alias("k"), "transaction_id", "card_id", "us").select("k.kind", "k.key", "transaction_id", "card_id", "us")
+    return rows.groupBy("kind", "key").transformWithState(CollectiveProcessor(), COLLECTIVE, "Append", "None")
+
+
+def burst_score(unique_60m: Column, count_60m: Column) -> Column:
+    """How much a merchant's last hour looks like a burst of cards, 0 to 1."""
+    raw = (unique_60m - 2.0) / 6.0 + (count_60m - 3.0) / 18.0
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 4)
 
 
 # ---- windows, late data, duplicates
