@@ -110,9 +110,29 @@ def list_transactions(
     kind: str | None = None,
     q: str | None = None,
     recurring: bool | None = None,
+    tags: list[str] | None = None,
+    tagged: DataFrame | None = None,
+    assignees: list[str] | None = None,
+    manual: str | None = None,
+    exported: bool | None = None,
+    fulfilled: bool | None = None,
 ) -> DataFrame:
-    """The transaction list filters; ``uncategorized`` among ``slugs`` keeps null slugs."""
+    """The transaction list filters; ``uncategorized`` among ``slugs`` keeps null slugs.
+
+    ``tagged``: id, tag_id. ``manual``: include or exclude. Not exported leaves out excluded and archived rows too.
+    """
     out = txns
+    if tags:
+        out = out.join(tagged.filter(F.col("tag_id").isin(*tags)).select("id"), "id", "left_semi")
+    if assignees:
+        out = out.filter(F.col("assigned_id").isin(*assignees))
+    if manual:
+        out = out.filter(F.coalesce("manual", F.lit(False)) == (manual == "include"))
+    if exported is not None:
+        done = (F.col("status") == "exported") | F.col("is_synced")
+        out = out.filter(done if exported else ~done & ~F.col("status").isin("excluded", "archived"))
+    if fulfilled is not None:
+        out = out.filter(F.col("is_fulfilled") == fulfilled)
     if start:
         out = out.filter(F.col("date") >= F.lit(start).cast("date"))
     if end:

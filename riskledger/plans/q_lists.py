@@ -65,6 +65,19 @@ def list_transactions(spark, sf):
     return out.select("id", "amount", "category_slug")
 
 
+@query(
+    "list_transactions_flags",
+    "FLT-01",
+    f"""SELECT id FROM v_flagged WHERE ({M} % 4 = 0 OR {M} % 9 = 0) AND {M} % 8 IN (0, 1, 2) AND NOT coalesce({M} % 10 = 0, FALSE) AND NOT is_synced AND status NOT IN ('exported', 'excluded', 'archived') AND NOT is_fulfilled""",
+    "v_flagged",
+)
+def list_transactions_flags(spark, sf):
+    """Tagged, assigned, not manual, not exported and not fulfilled."""
+    rows = _flagged(spark, sf).withColumns({"assigned_id": F.concat(F.lit("u"), (_m() % 8).cast("string")), "manual": F.when(_m() % 10 == 0, True)})
+    tagged = _side(spark, sf, 4).withColumn("tag_id", F.lit("t1")).unionByName(_side(spark, sf, 9).withColumn("tag_id", F.lit("t2"))).unionByName(_side(spark, sf, 2).withColumn("tag_id", F.lit("t3")))
+    return lists.list_transactions(rows, tags=["t1", "t2"], tagged=tagged, assignees=["u0", "u1", "u2"], manual="exclude", exported=False, fulfilled=False).select("id")
+
+
 @query("list_search_text", "FLT-05", "SELECT id FROM v_ledger WHERE concat_ws(' ', name, merchant_name) ILIKE '%v-1%'", "v_ledger")
 def list_search_text(spark, sf):
     return v.ledger(spark, sf).filter(lists.search(["name", "merchant_name"], "v-1")).select("id")
