@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import views as v
 from ..operators import customers as cu
-from ..operators import insights, lists, overview, reports
+from ..operators import forecast, insights, lists, overview, reports
 from ..operators import invoices as inv
 from ..sources import tables
 from .q_billing import invoices as billed
@@ -136,3 +136,40 @@ def period_labels(spark, sf):
 )
 def balance_normalized(spark, sf):
     return v.account(spark, sf).select("id", tables.normalize_balance(F.col("type"), F.col("balance"), F.col("base_balance")).alias("shown"))
+
+
+_FREQUENCIES = ("weekly", "biweekly", "monthly_date", "monthly_weekday", "monthly_last_day", "quarterly", "semi_annual", "annual", "custom")
+
+
+def _clamp(n):
+    """SQL of the month ``n`` months on, on the day of the date or the month's last."""
+    m = f"date_trunc('month', issue_date + INTERVAL {n} MONTH)::DATE"
+    return f"{m} + CAST(least(day(issue_date), day(last_day({m}))) - 1 AS INT)"
+
+
+_NEXT = "date_trunc('month', issue_date + INTERVAL 1 MONTH)::DATE"
+
+
+@query(
+    "forecast_next_dates",
+    "FN-18",
+    f"""SELECT id, frequency, next AS date, CASE id % 4 WHEN 0 THEN next > issue_date + 40 WHEN 1 THEN id % 3 >= 2 ELSE FALSE END AS completed FROM (SELECT *, CAST(CASE frequency
+      WHEN 'weekly' THEN issue_date + CAST(CASE WHEN (id % 7 - dayofweek(issue_date) + 7) % 7 = 0 THEN 7 ELSE (id % 7 - dayofweek(issue_date) + 7) % 7 END AS INT) WHEN 'biweekly' THEN issue_date + 14
+      WHEN 'monthly_date' THEN {_NEXT} + CAST(least(id % 31 + 1, day(last_day({_NEXT}))) - 1 AS INT) WHEN 'monthly_weekday' THEN {_NEXT} + CAST((id % 7 - dayofweek({_NEXT}) + 7) % 7 + (id % 5) * 7 AS INT)
+      WHEN 'monthly_last_day' THEN last_day({_NEXT}) WHEN 'quarterly' THEN {_clamp(3)} WHEN 'semi_annual' THEN {_clamp(6)} WHEN 'annual' THEN {_clamp(12)} ELSE issue_date + CAST(greatest(1, id % 20) AS INT) END AS DATE) AS next
+      FROM (SELECT *, CASE id % 9 {' '.join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(_FREQUENCIES))} END AS frequency FROM v_invoice))
+    WHERE CASE id % 4 WHEN 0 THEN next <= issue_date + 40 WHEN 1 THEN id % 3 + 2 <= 2 ELSE TRUE END""",
+    "v_invoice",
+)
+def forecast_next_dates(spark, sf):
+    """The date after the first of each series, for all nine frequencies and the three end rules."""
+    k = F.col("id")
+    kind = F.element_at(F.array(*[F.lit(f) for f in _FREQUENCIES]), (k % 9 + 1).cast("int"))
+    day = F.when(F.col("frequency").isin("weekly", "monthly_weekday"), k % 7).when(F.col("frequency") == "monthly_date", k % 31 + 1)
+    series = v.invoice(spark, sf).withColumn("frequency", kind).select(
+        "id", "frequency", F.col("issue_date").alias("start"), day.cast("int").alias("frequency_day"), (k % 5 + 1).cast("int").alias("frequency_week"), (k % 20).cast("int").alias("frequency_interval"),
+        F.when(k % 4 == 0, "on_date").when(k % 4 == 1, "after_count").otherwise("never").alias("end_type"), F.date_add("issue_date", 40).alias("end_date"), F.lit(2).alias("end_count"), (k % 3).cast("int").alias("generated"),
+    )
+    out = forecast.upcoming(series, 2).filter("k = 1")
+    done = forecast.series_completed(F.col("end_type"), F.col("end_date"), F.col("end_count"), F.col("generated"), F.col("date"))
+    return out.select("id", "frequency", "date", done.alias("completed"))
