@@ -10,7 +10,7 @@ from ..operators import forecast, insights, lists, overview, reports
 from ..operators import invoices as inv
 from ..sources import tables
 from .q_billing import invoices as billed
-from .q_insights import _weeks
+from .q_insights import _baseline, _weeks
 from .q_lists import _flagged, _items
 from .q_reports import AS_OF, _totals, rnd
 from .registry import query
@@ -173,3 +173,36 @@ def forecast_next_dates(spark, sf):
     out = forecast.upcoming(series, 2).filter("k = 1")
     done = forecast.series_completed(F.col("end_type"), F.col("end_date"), F.col("end_count"), F.col("generated"), F.col("date"))
     return out.select("id", "frequency", "date", done.alias("completed"))
+
+
+# ---- forecast from all six sources: invoices of 1997, moved on, by kind
+
+_KINDS = {"recurring_invoices": 0, "recurring_transactions": 1, "scheduled": 2, "collections": 3, "billable_hours": 4}
+_MOVED = "date_trunc('month', issue_date + INTERVAL 36 MONTH)::DATE"
+view(
+    "v_sources",
+    "v_baseline v_inv",
+    f"""SELECT b.team_id, g.i, (DATE '2000-09-01' + to_months(CAST(g.i AS INT)))::DATE AS month, {', '.join(f"CAST(coalesce(s.{name}, 0) AS DECIMAL(28,4)) AS {name}" for name in _KINDS)}, CAST(round(baseline * (greatest(50, 90 - g.i * 10) * 0.01), 4) AS DECIMAL(28,4)) AS new_business
+  FROM v_baseline b CROSS JOIN range(1, 5) g(i) LEFT JOIN (SELECT team_id, {_MOVED} AS m, {', '.join(f"sum(CASE WHEN id % 5 = {i} THEN CAST(amount * 0.01 AS DECIMAL(18,2)) END) AS {name}" for name, i in _KINDS.items())} FROM v_inv GROUP BY 1, 2) s
+  ON s.team_id = b.team_id AND s.m = (DATE '2000-09-01' + to_months(CAST(g.i AS INT)))::DATE""",
+)
+
+
+@query(
+    "forecast_revenue_sources",
+    "AGG-23",
+    f"""SELECT team_id, month, CAST(round(v, 2) AS DECIMAL(28,2)) AS value, CAST(round(recurring_invoices * 1.05 + recurring_transactions * 1.10 + scheduled * 1.05 + collections * 1.20 + billable_hours * 1.15 + new_business * 1.50, 2) AS DECIMAL(28,2)) AS optimistic,
+    CAST(round(recurring_invoices * 0.95 + recurring_transactions * 0.85 + scheduled * 0.90 + collections * 0.60 + billable_hours * 0.70 + new_business * 0.40, 2) AS DECIMAL(28,2)) AS pessimistic,
+    CAST(CASE WHEN v > 0 THEN {rnd('(recurring_invoices::DOUBLE * 95 + recurring_transactions::DOUBLE * 85 + scheduled::DOUBLE * 90 + collections::DOUBLE * 70 + billable_hours::DOUBLE * 75 + new_business::DOUBLE * 35) / v::DOUBLE', 0)} ELSE 0 END AS BIGINT) AS confidence,
+    recurring_invoices > 500 AND recurring_transactions > 500 AS overlap_warning FROM (SELECT *, recurring_invoices + recurring_transactions + scheduled + collections + billable_hours + new_business AS v FROM v_sources)""",
+    "v_sources",
+)
+def forecast_revenue_sources(spark, sf):
+    moved = F.trunc(F.add_months("issue_date", 36), "MM")
+    cents = (F.col("amount") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(18,2)")
+    rows = billed(spark, sf).select("team_id", moved.alias("month"), (F.col("id") % 5).alias("kind"), cents.alias("amount"))
+    sums = rows.groupBy("team_id", "month", "kind").agg(F.sum("amount").alias("amount"))
+    sources = {name: sums.filter(F.col("kind") == i) for name, i in _KINDS.items()}
+    base = _baseline(spark, sf)
+    out = forecast.revenue_forecast(base.select("team_id"), "2000-09-15", 4, sources, base)
+    return out.select("team_id", "month", "value", "optimistic", "pessimistic", "confidence", "overlap_warning")
