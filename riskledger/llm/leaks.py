@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from riskledger.llm import workers
 from riskledger.llm.words import window_hashes
 
 Q = 8
@@ -37,7 +38,7 @@ STEP = 64
 LEAST = 32
 #: Characters of items in one block; an index entry takes some 20 bytes each.
 BLOCK = 1_000_000
-SLICE = 1_000_000  # characters of documents looked at together
+SLICE = 300_000  # characters of documents looked at together
 BITS = 22
 #: Windows are sorted into classes of like length, each with a bound of its own.
 CLASSES = (32, 48, 64, 96, 1 << 30)
@@ -181,6 +182,12 @@ def search(texts: list[str], indexes: list[Index]) -> list[tuple[int, object, in
     return [(row, item, *found) for (row, item), found in best.items()]
 
 
+def _search_column(column: pa.Array, indexes: list[Index]) -> list[tuple[int, object, int, int, int]]:
+    """``search`` over a column, some hundred texts at a time."""
+    texts = pc.fill_null(column, "")
+    return [(low + row, *rest) for low in range(0, len(texts), 256) for row, *rest in search(texts.slice(low, 256).to_pylist(), indexes)]
+
+
 def _search_slice(letters: np.ndarray, border: np.ndarray, index: Index) -> Iterator[tuple[int, object, int, int, int]]:
     values = window_hashes(letters, index.q)
     if not len(values):
@@ -276,9 +283,9 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         held = spark.sparkContext.broadcast(build(some, **limits))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            workers.release()
             for batch in batches:
-                texts = pc.fill_null(batch.column(1), "").to_pylist()
-                found = search(texts, held.value)
+                found = _search_column(batch.column(1), held.value)
                 if found:
                     row, item, first, end, edits = zip(*found, strict=True)
                     columns = [batch.column(0).take(pa.array(row)), pa.array(item, item_arrow), pa.array(first, pa.int64()), pa.array([e - 1 for e in end], pa.int64()), pa.array(edits, pa.int32())]
@@ -295,9 +302,10 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
         held = spark.sparkContext.broadcast(build(some, **limits))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            workers.release()
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                clean[[row for row, *_ in search(pc.fill_null(batch.column(place), "").to_pylist(), held.value)]] = False
+                clean[[row for row, *_ in _search_column(batch.column(place), held.value)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from riskledger.llm import workers
 from riskledger.llm.frames import checkpointed
 
 RARE = 500
@@ -104,6 +105,7 @@ def _line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key (id and hash of the text), values and sizes of the lines; rows alike in both once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.release()
         for batch in batches:
             texts = pc.fill_null(batch.column(2), "")
             for low in range(0, batch.num_rows, 1000):
@@ -138,6 +140,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table = checkpointed(_line_table(docs, id_col, text_col))
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        workers.release()
         for batch in batches:
             found = [common_lines(a.tolist(), b.tolist(), s.tolist(), least) for a, b, s in zip(batch["a"], batch["b"], batch["sizes"], strict=True)]
             out = pd.DataFrame({"id": batch["id"], "h": batch["h"], "places": found})

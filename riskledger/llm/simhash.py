@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskledger.llm import workers
 from riskledger.llm.frames import checkpointed, connected
 from riskledger.llm.words import text_slices
 
@@ -60,6 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: id, fp (the 64 bits as a signed long). A null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.release()
         for batch in batches:
             out = []
             for _, data, offsets in text_slices(batch.column(1)):
@@ -114,6 +116,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -
     shared = checkpointed(keyed.join(sizes, ["t", "key"]))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        workers.release()
         for batch in batches:
             found = [bucket_links(np.unique(np.asarray(x, np.int64).view(np.uint64)), distance) for x in batch["fps"]]
             ends = [np.concatenate(x) if x else np.empty(0, np.uint64) for x in (tuple(f[0] for f in found), tuple(f[1] for f in found))]

@@ -15,8 +15,10 @@ import public_tokenizers
 import sentencepiece
 import tiktoken
 
-#: Chunks in one generation of a cache, some 80 MB; two generations are held.
-CACHE = 400_000
+from riskledger.llm import workers
+
+#: Chunks in one generation of a cache, some 60 MB; two generations are held.
+CACHE = 250_000
 #: Longer chunks are not kept.
 LONGEST = 64
 
@@ -86,7 +88,7 @@ class Words(Cache):
 
     def __init__(self, name: str = PIECES, most: int = CACHE):
         super().__init__(most)
-        self.bytewise = shared(ByteBpe, BYTE_BPE)
+        self.bytewise = ByteBpe()  # its model only
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(f"{name}.model"))
         n = self.pieces.get_piece_size()
         if n > self.MARK:
@@ -117,12 +119,6 @@ def entropy(ids: np.ndarray) -> float:
     return float(math.log2(len(ids)) - (counts * np.log2(counts)).sum() / len(ids))
 
 
-_LOADED: dict[tuple[type, str], dict] = {}
-
-
 def shared(kind: type, name: str):
     """One model and cache per Python worker."""
-    key = (kind, name)
-    if key not in _LOADED:
-        _LOADED[key] = kind(name)
-    return _LOADED[key]
+    return workers.keep((kind.__name__, name), lambda: kind(name))

@@ -22,7 +22,7 @@ WORD_BASE = 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
 
 
-def text_slices(column: pa.Array | pa.ChunkedArray, most_bytes: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array | pa.ChunkedArray, most_bytes: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yield (first row, bytes, row offsets) for runs of rows of about ``most_bytes`` bytes.
 
     A null counts as an empty text. A single longer text makes a slice of its own.
