@@ -123,7 +123,8 @@ def _line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def pairs(table: DataFrame, rare: int = RARE) -> DataFrame:
     """earlier, later: the documents to align. ``table``: key, lines."""
     held = table.select("key", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
-    shared = held.groupBy("line").agg(F.count("*").alias("n")).where("n > 1")
+    # stored, so that the join reads two plain shuffles and a very frequent line can be split
+    shared = checkpointed(held.groupBy("line").agg(F.count("*").alias("n")).where("n > 1"))
     held = held.join(shared, "line").withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / rare)))
     # a part has about ``rare`` rows, whatever the line
     first = held.withColumn("first", F.min("key").over(Window.partitionBy("line", "part")))
