@@ -48,17 +48,18 @@ def own_text(parsed: Column) -> Column:
 
 
 def quoted_passages(parsed: Column) -> Column:
-    """array<struct<level, body>>: runs of quoted lines of one level, a blank quoted line ends a run."""
+    """array<struct<level, body>>: runs of quoted lines of one level; own text or a blank quoted line ends a run."""
     none = F.array().cast("array<struct<level:int,body:string>>")
 
     def step(done: Column, x: Column) -> Column:
         last = F.get(done, F.size(done) - 1)
         goes_on = (F.size(done) > 0) & (last["level"] == x["level"]) & (x["level"] > 0) & (F.trim(x["body"]) != "") & (F.trim(last["body"]) != "")
         longer = F.struct(x["level"].alias("level"), F.concat(last["body"], F.lit("\n"), x["body"]).alias("body"))
-        fresh = F.struct(x["level"].alias("level"), x["body"].alias("body"))
-        return F.when(goes_on, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(fresh)))
+        fresh = F.struct(x["level"].alias("level"), F.when(x["level"] > 0, x["body"]).otherwise("").alias("body"))
+        apart = (x["level"] == 0) & (F.size(done) > 0) & (last["level"] == 0)  # own text leaves one mark, however long it is
+        return F.when(apart, done).when(goes_on, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(fresh)))
 
-    return F.filter(F.aggregate(F.filter(parsed, lambda x: x["level"] > 0), none, step), lambda x: F.trim(x["body"]) != "")
+    return F.filter(F.aggregate(parsed, none, step), lambda x: (x["level"] > 0) & (F.trim(x["body"]) != ""))
 
 
 def normalised(text: Column) -> Column:

@@ -85,7 +85,7 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed_lines", F.sha2("text", 256).alias("kept_sha256"))
 
 
-@query("op6_quotes")
+@query("op6_quotes", sql.QUOTES)
 def op6_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quotes.conversations(table(spark, sf_dir, "conversations"))
     return found.withColumnRenamed("conv", "conv_id")

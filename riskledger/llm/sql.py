@@ -42,3 +42,31 @@ SELECT page_id, array_to_string(string_split_regex(trim(url, ' ' || chr(9) || ch
   CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM h JOIN f USING (x, n)
 """
+
+_OFFERS = r"""list_distinct(list_filter(list_transform(list_concat([{x}], list_concat(string_split_regex({x}, '\n\s*\n'), string_split({x}, chr(10)))),
+    lambda y: trim(regexp_replace(lower(y), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))), lambda y: y <> ''))"""
+
+QUOTES = rf"""
+WITH RECURSIVE rows_ AS (SELECT row_number() OVER () AS r, conv_id, turn::BIGINT AS turn, role, coalesce(text, '') AS text FROM conversations),
+split AS (SELECT r, string_split_regex(text, '\r?\n') AS ls FROM rows_),
+marked AS (SELECT r, i, line, regexp_extract(line, '^[ \t]*(?:>[ \t]?)+') AS m FROM (SELECT r, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM split)),
+parsed AS (SELECT r, i, length(m) - length(replace(m, '>', '')) AS level, CASE WHEN m <> '' THEN regexp_replace(line, '^[ \t]*(?:>[ \t]?)+', '') ELSE line END AS body FROM marked),
+near AS (SELECT *, coalesce(lead(level) OVER w, 0) AS after, lag(level) OVER w AS before, lag(body) OVER w AS above FROM parsed WINDOW w AS (PARTITION BY r ORDER BY i)),
+own AS (SELECT r, regexp_replace(string_agg(body, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS own FROM near
+  WHERE level = 0 AND NOT (after > 0 AND regexp_matches(body, '(?i)^\s*(on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió|.{{1,80}}\b(wrote|said|writes))\s*:?\s*$')) GROUP BY r),
+messages AS (SELECT r, conv_id, turn, role, coalesce(own, '') AS own FROM rows_ LEFT JOIN own USING (r)),
+runs AS (SELECT r, i, level, body, sum(CASE WHEN level > 0 AND level = before AND trim(body) <> '' AND trim(above) <> '' THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM near),
+passages AS (SELECT r, run, any_value(level) AS level, string_agg(body, chr(10) ORDER BY i) AS body FROM runs WHERE level > 0 GROUP BY r, run HAVING trim(string_agg(body, chr(10) ORDER BY i)) <> ''),
+pieces AS (SELECT conv_id, turn, p.r, run, level, unnest({_OFFERS.format(x="body")}) AS piece FROM passages AS p JOIN messages USING (r) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+offered AS (SELECT DISTINCT conv_id, turn, unnest({_OFFERS.format(x="own")}) AS piece FROM messages WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+sources AS (SELECT p.conv_id, p.turn, p.piece, max(o.turn) AS source FROM (SELECT DISTINCT conv_id, turn, piece FROM pieces) AS p JOIN offered AS o ON o.conv_id = p.conv_id AND o.piece = p.piece AND o.turn < p.turn GROUP BY ALL),
+hits AS (SELECT p.*, source FROM pieces AS p JOIN sources USING (conv_id, turn, piece)),
+links AS (SELECT conv_id, turn, source AS parent FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, size DESC, source DESC) AS k FROM (SELECT conv_id, turn, level, source, sum(length(piece)) AS size FROM hits GROUP BY ALL)) WHERE k = 1),
+climb(conv_id, turn, parent, root, depth) AS (SELECT conv_id, turn, parent, parent, 1::BIGINT FROM links UNION ALL SELECT c.conv_id, c.turn, c.parent, l.parent, c.depth + 1 FROM climb AS c JOIN links AS l ON l.conv_id = c.conv_id AND l.turn = c.root),
+roots AS (SELECT conv_id, turn, any_value(parent) AS parent, arg_max(root, depth) AS root, max(depth) AS depth FROM climb GROUP BY conv_id, turn),
+counts AS (SELECT conv_id, turn, count(DISTINCT (r, run)) AS quoted FROM pieces GROUP BY ALL),
+found AS (SELECT conv_id, turn, count(DISTINCT (r, run)) AS found FROM hits GROUP BY ALL),
+out AS (SELECT m.conv_id, m.turn, role, own AS text, parent, coalesce(root, m.turn) AS root, coalesce(depth, 0) AS depth, coalesce(quoted, 0) AS quoted, coalesce(found, 0) AS found
+  FROM messages AS m LEFT JOIN roots USING (conv_id, turn) LEFT JOIN counts USING (conv_id, turn) LEFT JOIN found USING (conv_id, turn))
+SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY root NULLS LAST, turn NULLS LAST, role NULLS FIRST, text) - 1 AS position FROM out
+"""

@@ -1,4 +1,7 @@
-from riskledger.llm import quotes, registry
+import duckdb
+import pandas as pd
+
+from riskledger.llm import quotes, registry, sql
 
 TALK = [
     (1, 0, "user", "Hello there, this is the first message.\n\nIt has two paragraphs, the second\nis wrapped."),
@@ -71,3 +74,17 @@ def test_query_keeps_every_message(spark, sf):
 def test_chat_lines(spark):
     out = quotes.chat_lines(quotes.conversations(talk(spark)).where("conv = 1")).orderBy("position").collect()
     assert out[1].line == '{"role":"user","content":"Yes it has."}' and len(out) == 9
+
+
+def test_sql_says_the_same(spark):
+    more = [(5, 0, "u", "One thing.\nAnother thing."), (5, 1, "u", "> One thing.\nNo.\n> Another thing.\nYes."), (5, 2, "u", "> No.\n\nWhy?\n>> One thing."), (5, 3, "u", "> > Yes.\n> > No.\n> Why?\nAnn said:\n> One thing.\nok")]
+    rows = [t for t in TALK if t[:2] != (4, 0) and t[1] is not None] + more
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame([("" if c is None else str(c), t, r, x) for c, t, r, x in rows], columns=["c", "turn", "role", "text"]))
+    con.execute("CREATE VIEW conversations AS SELECT CASE WHEN c <> '' THEN c::BIGINT END AS conv_id, turn, role, text FROM given")
+    names = ["conv_id", "turn", "role", "text", "parent", "root", "depth", "quoted", "found", "position"]
+    want = sorted(con.execute(f"SELECT {', '.join(names)} FROM ({sql.QUOTES})").fetchall(), key=str)
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    got = quotes.conversations(frame).withColumnRenamed("conv", "conv_id").select(*names).collect()
+    assert sorted(map(tuple, got), key=str) == want
+    assert {r.turn: r.parent for r in got if r.conv_id == 5} == {0: None, 1: 0, 2: 1, 3: 0}
