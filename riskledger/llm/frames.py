@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 
 from riskledger.session import checkpoint_dir, checkpointed
 
-__all__ = ["checkpointed", "connected", "scratch"]
+__all__ = ["checkpointed", "connected", "if_small", "scratch"]
+
+#: Rows of a few numbers that may be broadcast.
+FEW = 10_000
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """``df`` stored, with a broadcast hint if it has at most FEW rows; larger ones are joined by shuffle."""
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.limit(FEW + 1).count() <= FEW else kept
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskledger.llm import tokens
-from riskledger.llm.frames import checkpointed
+from riskledger.llm.frames import checkpointed, if_small
 from riskledger.llm.words import IS_WORD, mix, owner, text_slices, window_hashes, word_hashes, word_spans
 
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -141,7 +141,7 @@ def bands(measured: DataFrame) -> DataFrame:
     the order of rows. Texts without words are left out.
     """
     real = measured.where("n_words > 0")
-    middle = real.groupBy("band").agg(*[F.percentile(F.round(k, 3), F.lit(0.5)).alias(f"m_{k}") for k in MEASURES])
+    middle = if_small(real.groupBy("band").agg(*[F.percentile(F.round(k, 3), F.lit(0.5)).alias(f"m_{k}") for k in MEASURES]))
     away = real.join(middle, "band")
     spread = [F.percentile(F.round(F.abs(F.col(k) - F.col(f"m_{k}")) * _narrowing(k), 3), F.lit(0.5)) * 1.4826 for k in MEASURES]
     return middle.join(away.groupBy("band").agg(*[x.alias(f"s_{k}") for x, k in zip(spread, MEASURES, strict=True)]), "band")
@@ -159,7 +159,7 @@ def verdicts(measured: DataFrame) -> DataFrame:
         least = F.lit(LEAST_HALF[k]) * (F.col(f"m_{k}") if k in NARROWING else F.lit(1.0))
         half = F.greatest(F.col(f"s_{k}") * DEVIATIONS / _narrowing(k), least)
         inside = inside & (F.abs(F.col(k) - F.col(f"m_{k}")) <= half)
-    judged = measured.join(bands(measured), "band", "left")
+    judged = measured.join(if_small(bands(measured)), "band", "left")
     judged = judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
     return judged.select("id", "band", *COUNTS, *MEASURES, "base_failed", "kept")
 
