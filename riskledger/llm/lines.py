@@ -126,7 +126,8 @@ def pairs(table: DataFrame, rare: int = RARE) -> DataFrame:
     # stored, so that the join reads two plain shuffles and a very frequent line can be split
     shared = checkpointed(held.groupBy("line").agg(F.count("*").alias("n")).where("n > 1"))
     held = held.join(shared, "line").withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / rare)))
-    # a part has about ``rare`` rows, whatever the line
+    # a part has about ``rare`` rows, whatever the line; dealt anew, since the join has dealt whole lines
+    held = held.repartition("line", "part")
     first = held.withColumn("first", F.min("key").over(Window.partitionBy("line", "part")))
     inside = first.where("first <> key").select(F.col("first").alias("earlier"), F.col("key").alias("later"))
     heads = first.where((F.col("first") == F.col("key")) & (F.col("n") > rare)).select("line", "key")
