@@ -3,8 +3,8 @@
 Two public vocabularies measure each text: characters (letters and digits) per token under a
 byte-level vocabulary and under one with byte fallback, the share of byte tokens, and the entropy
 of its tokens. The bands within which a text is kept are taken from the corpus itself, per
-language (or per script where the language is null): the median of a measure over all documents of
-the language, and so many deviations to either side. The mean of a short text strays more, so the
+language (or per script where the language is null): the median of a measure over the distinct texts
+of the language, and so many deviations to either side. The mean of a short text strays more, so the
 bands of the two fertilities narrow with the square root of the words. Simple counts that need no
 vocabulary stand beside them.
 """
@@ -37,10 +37,12 @@ MOST_REPEATED = 50  # percent of the words
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURES = ("byte_fertility", "piece_fertility", "byte_share", "entropy_share")
 #: Half a band is DEVIATIONS times the scaled median deviation, and at least this: a share of the
-#: median for the fertilities, absolute for the others.
+#: median for the fertilities, absolute for the others. The share holds from LONG words on and grows
+#: like the band for shorter texts; the normal spread of a language is a little wider.
 DEVIATIONS = 4.0
 LEAST_HALF = {"byte_fertility": 0.03, "piece_fertility": 0.03, "byte_share": 0.1, "entropy_share": 0.05}
 NARROWING = ("byte_fertility", "piece_fertility")
+LONG = 1300
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -99,8 +101,8 @@ def fertility(words: list[bytes], n_chars: int) -> tuple[float, float, float, fl
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """Counts and fertility of each document.
 
-    Returns id, band (the language, or the script of most letters where it is null), the counts and
-    the measures. A null text has no words. Repeated rows are measured one by one.
+    Returns id, h (hash of the text), band (the language, or the script of most letters where it is
+    null), the counts and the measures. A null text has no words. Repeated rows are measured one by one.
     """
     lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
 
@@ -108,20 +110,21 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         for batch in batches:
             counts: dict[str, list[np.ndarray]] = {k: [] for k in COUNTS}
             scores: list[tuple[float, ...]] = []
-            for _, data, offsets in text_slices(batch.column(2)):
+            for _, data, offsets in text_slices(batch.column(3)):
                 found = base_counts(data, offsets)
                 for k in COUNTS:
                     counts[k].append(found[k])
                 text, at = data.tobytes(), offsets.tolist()
                 scores += [fertility(text[a:b].split(), n) for a, b, n in zip(at, at[1:], found["n_letters"].tolist(), strict=False)]
-            columns = [batch.column(0), batch.column(1)]
+            columns = [batch.column(0), batch.column(1), batch.column(2)]
             columns += [pa.array(np.concatenate(counts[k]) if counts[k] else np.empty(0, np.int64), pa.int64()) for k in COUNTS]
             columns += [pa.array([s[i] for s in scores], pa.float64()) for i in range(len(MEASURES))]
-            yield pa.record_batch(columns, ["id", "band", *COUNTS, *MEASURES])
+            yield pa.record_batch(columns, ["id", "h", "band", *COUNTS, *MEASURES])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, band string, " + ", ".join(f"{k} bigint" for k in COUNTS) + ", " + ", ".join(f"{k} double" for k in MEASURES)
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(lang, script(F.col(text_col))).alias("band"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    schema = f"id {kind}, h bigint, band string, " + ", ".join(f"{k} bigint" for k in COUNTS) + ", " + ", ".join(f"{k} double" for k in MEASURES)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.coalesce(lang, script(F.col(text_col))).alias("band"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, schema)
 
 
 def script(text: Column) -> Column:
@@ -138,9 +141,10 @@ def bands(measured: DataFrame) -> DataFrame:
 
     ``measured`` must be stored. Values are rounded before the exact percentiles, so a band holds
     some thousand distinct values however many documents it has, and the result does not depend on
-    the order of rows. Texts without words are left out.
+    the order of rows. Texts without words are left out, and copies of a text count once, so that a
+    much copied text is not the measure of its language.
     """
-    real = measured.where("n_words > 0")
+    real = checkpointed(measured.where("n_words > 0").dropDuplicates(["band", "h"]))
     middle = if_small(real.groupBy("band").agg(*[F.percentile(F.round(k, 3), F.lit(0.5)).alias(f"m_{k}") for k in MEASURES]))
     away = real.join(middle, "band")
     spread = [F.percentile(F.round(F.abs(F.col(k) - F.col(f"m_{k}")) * _narrowing(k), 3), F.lit(0.5)) * 1.4826 for k in MEASURES]
@@ -156,7 +160,7 @@ def verdicts(measured: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
     inside = F.lit(True)
     for k in MEASURES:
-        least = F.lit(LEAST_HALF[k]) * (F.col(f"m_{k}") if k in NARROWING else F.lit(1.0))
+        least = F.lit(LEAST_HALF[k]) * (F.col(f"m_{k}") * F.sqrt(F.greatest(F.lit(1.0), F.lit(LONG) / F.greatest("n_words", F.lit(1)))) if k in NARROWING else F.lit(1.0))
         half = F.greatest(F.col(f"s_{k}") * DEVIATIONS / _narrowing(k), least)
         inside = inside & (F.abs(F.col(k) - F.col(f"m_{k}")) <= half)
     judged = measured.join(if_small(bands(measured)), "band", "left")

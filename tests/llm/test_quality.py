@@ -103,3 +103,25 @@ def test_script_stands_in_for_a_missing_language(spark):
     rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id int, text string, lang string")
     got = [r.band for r in quality.judge(rows).orderBy("id").collect()]
     assert got == ["latin", "greek", "cyrillic", "han", "arabic", "hangul", "other", "other"]
+
+
+def test_copies_of_one_text_are_not_the_measure_of_a_language(spark):
+    """More than half of the rows are one text whose fertility is far from the others'."""
+    texts = [prose(900 + i, 60 + 7 * (i % 40)) for i in range(60)]
+    odd = " ".join(f"internationalization{chr(97 + i % 26)}" for i in range(80))
+    rows = list(enumerate(texts + [odd] * 90))
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id int, text string, lang string")
+    alone = {r.id for r in quality.judge(docs.where("doc_id < 60")).where("kept").collect()}
+    assert len(alone) > 50 and alone <= {r.id for r in quality.judge(docs).where("kept").collect()}
+
+
+def test_short_texts_have_a_wider_band_without_spread(spark):
+    """Half of the texts are alike in their measures, so the deviation is zero."""
+    same = " ".join(prose(77, 1) for _ in range(3)) + " " + prose(78, 400)
+    texts = [same + "\n" * i for i in range(30)] + [prose(500 + i, 100) for i in range(20)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id int, text string, lang string")
+    rows = {r.id: r for r in quality.judge(docs).collect()}
+    middle = rows[0].byte_fertility, rows[0].piece_fertility
+    near = [r for i, r in rows.items() if i >= 30 and not r.base_failed and all(0.03 < abs(x / m - 1) < 0.1 for x, m in zip((r.byte_fertility, r.piece_fertility), middle, strict=True))]
+    near = [r for r in near if abs(r.entropy_share - rows[0].entropy_share) < 0.05]
+    assert near and all(r.kept for r in near)
