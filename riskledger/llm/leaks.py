@@ -1,7 +1,8 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Items and documents are compared in lower case with white space folded. An item is searched as
-overlapping windows, so a quoted part counts too; a window of m characters leaks if some region of
+overlapping windows, long ones and a finer class of shorter ones, so a quoted part counts too; items
+shorter than a window can be are looked for as they are, from word border to word border. A window of m characters leaks if some region of
 a document is within k = error * m edits of it. By the q-gram lemma such a region holds at least
 m + 1 - q (k + 1) of the window's q-grams, all on k + 1 neighbouring diagonals (place in the document
 less place in the window). The filter loses nothing:
@@ -35,6 +36,9 @@ Q = 8
 ERROR = 0.08
 WINDOW = 128
 STEP = 64
+#: The finer class of windows.
+PART = 84
+PART_STEP = 16
 LEAST = 32
 #: Characters of items in one block; an index entry takes some 20 bytes each.
 BLOCK = 1_000_000
@@ -83,20 +87,47 @@ class Index:
         return max(len(w) + int(k) for w, k in zip(self.windows, self.edits, strict=True))
 
 
-def build(items: list[tuple[object, str]], q: int = Q, error: float = ERROR, window: int = WINDOW, step: int = STEP, least: int = LEAST) -> list[Index]:
+@dataclass
+class Short:
+    """The items of a block that are shorter than windows can be."""
+
+    items: list
+    windows: list[np.ndarray]
+    edits: np.ndarray
+
+    def __post_init__(self):
+        self.by_length: dict[int, dict[bytes, list]] = {}
+        for item, w in zip(self.items, self.windows, strict=True):
+            self.by_length.setdefault(len(w), {}).setdefault(w.tobytes(), []).append(item)
+        self.values = {n: np.unique(np.concatenate([window_hashes(np.frombuffer(w, np.uint64), n) for w in own])) for n, own in self.by_length.items()}
+
+
+def window_starts(length: int, window: int, step: int) -> list[int]:
+    """Places of windows every ``step`` characters and at the end."""
+    starts = list(range(0, max(1, length - window + 1), step))
+    if length > window and starts[-1] + window < length:
+        starts.append(length - window)
+    return starts
+
+
+def build(items: list[tuple[object, str]], q: int = Q, error: float = ERROR, window: int = WINDOW, step: int = STEP, least: int = LEAST, part: int = PART, part_step: int = PART_STEP) -> list[Index | Short]:
     """Indexes of a block of (item, text), one per length class in use."""
     if least < 2 * q:
         raise ValueError("windows must be at least two q-grams long")
     found: dict[int, tuple[list, list]] = {}
+    short: tuple[list, list] = ([], [])
     for item, text in items:
         letters = codes(normalise(text or ""))
         if len(letters) < least:
+            if len(letters):
+                short[0].append(item)
+                short[1].append(letters)
             continue
-        starts = list(range(0, max(1, len(letters) - window + 1), step))
-        if len(letters) > window and starts[-1] + window < len(letters):
-            starts.append(len(letters) - window)
-        for s in starts:
-            w = letters[s : s + window]
+        places = {(s, min(len(letters), s + window)) for s in window_starts(len(letters), window, step)}
+        if part < len(letters):
+            places |= {(s, s + part) for s in window_starts(len(letters), part, part_step)}
+        for s, end in sorted(places):
+            w = letters[s:end]
             kind = next(i for i, top in enumerate(CLASSES) if len(w) < top)
             own = found.setdefault(kind, ([], []))
             own[0].append(item)
@@ -114,6 +145,8 @@ def build(items: list[tuple[object, str]], q: int = Q, error: float = ERROR, win
         edits = np.array([budget(len(w), error, q) for w in windows])
         low = np.array([bound(len(w), int(k), q) for w, k in zip(windows, edits, strict=True)])
         out.append(Index(names, windows, grams, np.append(firsts, len(flat)), of[order], place[order], bits, edits, low, q))
+    if short[0]:
+        out.append(Short(*short, np.zeros(len(short[0]), np.int64)))
     return out
 
 
@@ -158,7 +191,7 @@ def banded(patterns: list[np.ndarray], edits: np.ndarray, regions: list[np.ndarr
     return best, at
 
 
-def search(texts: list[str], indexes: list[Index]) -> list[tuple[int, object, int, int, int]]:
+def search(texts: list[str], indexes: list[Index | Short]) -> list[tuple[int, object, int, int, int]]:
     """(row, item, first, end, edits) of the best region of each item in each text.
 
     Places are in the normalised text; ``first`` is where the region begins at the earliest.
@@ -173,8 +206,15 @@ def search(texts: list[str], indexes: list[Index]) -> list[tuple[int, object, in
             letters = codes("\0".join(rows))
             border = np.cumsum([0] + [len(r) + 1 for r in rows])
             letters[border[1:-1] - 1] = 0
+            values: dict[int, np.ndarray] = {}
             for index in indexes:
-                for row, item, first, end, edits in _search_slice(letters, border, index):
+                if isinstance(index, Short):
+                    found = _search_short(letters, border, index)
+                else:
+                    if index.q not in values:
+                        values[index.q] = window_hashes(letters, index.q)
+                    found = _search_slice(letters, values[index.q], border, index)
+                for row, item, first, end, edits in found:
                     key = (low + row, item)
                     if key not in best or (edits, first) < (best[key][2], best[key][0]):
                         best[key] = (first, end, edits)
@@ -182,14 +222,28 @@ def search(texts: list[str], indexes: list[Index]) -> list[tuple[int, object, in
     return [(row, item, *found) for (row, item), found in best.items()]
 
 
-def _search_column(column: pa.Array, indexes: list[Index]) -> list[tuple[int, object, int, int, int]]:
+def _search_column(column: pa.Array, indexes: list[Index | Short]) -> list[tuple[int, object, int, int, int]]:
     """``search`` over a column, some hundred texts at a time."""
     texts = pc.fill_null(column, "")
     return [(low + row, *rest) for low in range(0, len(texts), 256) for row, *rest in search(texts.slice(low, 256).to_pylist(), indexes)]
 
 
-def _search_slice(letters: np.ndarray, border: np.ndarray, index: Index) -> Iterator[tuple[int, object, int, int, int]]:
-    values = window_hashes(letters, index.q)
+def _search_short(letters: np.ndarray, border: np.ndarray, index: Short) -> Iterator[tuple[int, object, int, int, int]]:
+    """Exact finds whose ends are not inside a word."""
+    kinds, back = np.unique(letters, return_inverse=True)
+    inside = np.array([bool(x) and chr(int(x) - 1).isalnum() for x in kinds], bool)[back]
+    inside = np.concatenate([inside, [False]])
+    cut = np.ones(len(letters) + 1, bool)  # places with a word border
+    cut[1:-1] = ~(inside[:-2] & inside[1:-1])
+    for n, known in index.by_length.items():
+        values = window_hashes(letters, n)
+        for at in np.flatnonzero(cut[: len(values)] & cut[n : n + len(values)] & np.isin(values, index.values[n])).tolist():
+            row = int(np.searchsorted(border, at, side="right")) - 1
+            for item in known.get(letters[at : at + n].tobytes(), ()):
+                yield row, item, at - int(border[row]), at - int(border[row]) + n, 0
+
+
+def _search_slice(letters: np.ndarray, values: np.ndarray, border: np.ndarray, index: Index) -> Iterator[tuple[int, object, int, int, int]]:
     if not len(values):
         return
     known = index.bits[(values >> np.uint64(64 - BITS)).astype(np.int64)]
@@ -271,7 +325,7 @@ def blocks(items: DataFrame, id_col: str, text_col: str, size: int = BLOCK) -> I
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK, **limits) -> DataFrame:
     """One row per document and item found in it: id, item, first, last, edits of the best region.
 
-    A null text holds nothing; items shorter than ``least`` characters are not looked for; repeated
+    A null text holds nothing; items shorter than ``least`` characters count whole and unchanged only; repeated
     rows give repeated results; without items or documents the result is empty.
     """
     spark = docs.sparkSession

@@ -86,3 +86,18 @@ def test_alignment_of_a_batch():
     regions = [np.concatenate([p[:9], p[10:]]) for p in patterns]
     cost, at = leaks.banded(patterns, np.array([2, 3, 2]), regions, np.array([-1, -1, -1]))
     assert cost.tolist() == [1, 1, 1] and at.tolist() == [19, 32, 19]
+
+
+@pytest.mark.parametrize("length", [93, 100, 130, 170])
+def test_quoted_parts_are_found_wherever_they_begin(length):
+    item = leaks.normalise(prose(11, 90))
+    indexes = leaks.build([("item", item)])
+    starts = range(0, len(item) - length + 1, 3)
+    texts = [f"{prose(300 + s, 12)} {item[s : s + length]} {prose(600 + s, 12)}" for s in starts]
+    assert [row for row, *_ in sorted(leaks.search(texts, indexes))] == list(range(len(starts)))
+
+
+def test_short_items_are_found_between_word_borders():
+    indexes = leaks.build([(1, "Naïve  answer"), (2, "7"), (3, "Naïve answer"), (4, ""), (5, "(ok)")])
+    texts = ["A naïve\nanswer.", "xnaïve answer", "naïve answers", "it is 7, or 77", "77", "n7", "x(ok)y", "", "naïve", "answer"]
+    assert sorted(leaks.search(texts, indexes)) == [(0, 1, 2, 14, 0), (0, 3, 2, 14, 0), (3, 2, 6, 7, 0), (6, 5, 1, 5, 0)]
