@@ -8,6 +8,12 @@ its own earliest document, and these are aligned with the earliest of all. So no
 no partner has more than some ``rare`` pairs for a line, and no line is left out.
 
 A line's first document keeps it: whatever it is aligned with is earlier, and lacks the line.
+
+With ``whole`` the result is that of aligning each document with every earlier one. A block that is
+deleted is made of runs, the shortest stretches of lines that have enough characters, counted from
+each line onwards and backwards. So documents are dealt by runs instead of lines, and what an
+earlier document holds of a run and is still there after the first pass is aligned with the other
+earlier holders in turn, twice as many in each round, until it is deleted or none is left.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ from pyspark.sql.window import Window
 
 from riskledger.llm import workers
 from riskledger.llm.frames import checkpointed
+from riskledger.session import scratch
 
 RARE = 500
 #: Characters that a common block must have to be deleted.
@@ -120,9 +127,49 @@ def _line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return table.select(F.struct("id", "h").alias("key"), "lines", "sizes").dropDuplicates(["key"])
 
 
+def run_places(sizes: Sequence[int], least: int = LEAST) -> list[tuple[int, int]]:
+    """First and last places of the shortest runs of lines with ``least`` characters, from each line onwards and backwards.
+
+    Of any block with that many characters each line lies in such a run inside the block.
+    """
+    total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    ends = np.searchsorted(total, total[:-1] + least)  # of the run from each line: lines before its end
+    starts = np.searchsorted(total, total[1:] - least, side="right") - 1  # of the run back from each line
+    at = np.arange(len(sizes))
+    forth = {(i, max(int(e) - 1, i)) for i, e in zip(at.tolist(), ends, strict=True) if e < len(total)}
+    return sorted(forth | {(min(int(b), i), i) for i, b in zip(at.tolist(), starts, strict=True) if b >= 0})
+
+
+def _run_table(table: DataFrame, least: int) -> DataFrame:
+    """key, line (value of the run), first, last (its places) of each run of ``run_places``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.release()
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                rows, values, firsts, lasts = [], [], [], []
+                some = batch.slice(low, 1000)
+                for row, (own, sizes) in enumerate(zip(some.column(1), some.column(2), strict=True)):
+                    data = own.values.to_numpy()
+                    for a, b in run_places(sizes.values.to_numpy(), least):
+                        rows.append(row)
+                        values.append(xxhash.xxh64_intdigest(data[a : b + 1].tobytes(), 7))
+                        firsts.append(a)
+                        lasts.append(b)
+                columns = [some.column(0).take(pa.array(rows, pa.int64())), pa.array(np.array(values, np.uint64).view(np.int64)), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())]
+                yield pa.record_batch(columns, ["key", "line", "first", "last"])
+
+    kind = table.schema["key"].dataType.simpleString()
+    return table.select("key", "lines", "sizes").mapInArrow(run, f"key {kind}, line bigint, first int, last int")
+
+
 def pairs(table: DataFrame, rare: int = RARE) -> DataFrame:
     """earlier, later: the documents to align. ``table``: key, lines."""
-    held = table.select("key", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
+    return _dealt(table.select("key", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0"), rare)
+
+
+def _dealt(held: DataFrame, rare: int) -> DataFrame:
+    """earlier, later of the documents that hold a line or run. ``held``: key, line, each pair once."""
     # stored, so that the join reads two plain shuffles and a very frequent line can be split
     shared = checkpointed(held.groupBy("line").agg(F.count("*").alias("n")).where("n > 1"))
     held = held.join(shared, "line").withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / rare)))
@@ -137,9 +184,20 @@ def pairs(table: DataFrame, rare: int = RARE) -> DataFrame:
     return inside.union(across).distinct()
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, least: int = LEAST) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, least: int = LEAST, whole: bool = False) -> DataFrame:
     """id, h (hash of the text), places: the lines to delete, of documents that have any."""
     table = checkpointed(_line_table(docs, id_col, text_col))
+    if not whole:
+        aligned = _aligned(table, pairs(table, rare), least)
+    else:
+        runs = checkpointed(_run_table(table, least))
+        aligned = _rounds(table, runs, _aligned(table, _dealt(runs.select("key", "line").distinct(), rare), least), rare, least)
+    # a document has at most as many partners as lines, or was aligned until its lines were gone; its places are bounded by its own text
+    return aligned.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+
+
+def _aligned(table: DataFrame, both: DataFrame, least: int) -> DataFrame:
+    """id, h, places of the later document of each pair that has common blocks."""
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         workers.release()
@@ -150,24 +208,62 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     first = table.select(F.col("key").alias("earlier"), F.col("lines").alias("a"))
     second = table.select(F.col("key").alias("later"), F.col("lines").alias("b"), "sizes")
-    both = pairs(table, rare).join(first, "earlier").join(second, "later").select("later.id", "later.h", "a", "b", "sizes")
-    kind = docs.schema[id_col].dataType.simpleString()
-    aligned = both.mapInPandas(align, f"id {kind}, h bigint, places array<int>")
-    # a document has at most as many partners as lines, so its places are bounded by its own text
-    return aligned.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    both = both.join(first, "earlier").join(second, "later").select("later.id", "later.h", "a", "b", "sizes")
+    kind = table.select("key.id").schema["id"].dataType.simpleString()
+    return both.mapInPandas(align, f"id {kind}, h bigint, places array<int>")
+
+
+def _rounds(table: DataFrame, runs: DataFrame, found: DataFrame, rare: int, least: int) -> DataFrame:
+    """``found`` and what further earlier holders of the runs that are still there add to it."""
+    spark, n = table.sparkSession, 0
+    folder = scratch(spark, "lines")
+
+    def stored(df: DataFrame) -> DataFrame:
+        """As files, so that Spark knows the size: its guess for joins of checkpoints grows with every round."""
+        nonlocal n
+        n += 1
+        df.write.parquet(f"{folder}/{n}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{n}")
+
+    def still(rows: DataFrame, found: DataFrame) -> DataFrame:
+        gone = found.groupBy(F.struct("id", "h").alias("key")).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("gone"))
+        left = F.array_except("left", F.coalesce("gone", F.array().cast("array<int>")))
+        return rows.join(gone, "key", "left").withColumn("left", left).where(F.size("left") > 0).drop("gone")
+
+    found = stored(found)
+    # copies of a text align alike: the earliest stands for them
+    held = runs.groupBy("line", F.col("key.h").alias("h")).agg(F.min("key").alias("earlier"))
+    heads = checkpointed(held.groupBy("line").agg(F.min("earlier").alias("head"), F.count("*").alias("n")).where("n > 1"))
+    rows = runs.withColumn("left", F.sequence("first", "last")).select("key", "line", "left")
+    open_ = stored(still(rows.join(heads, "line").where("head < key").select("key", "line", "left", "n"), found))
+    wanted = checkpointed(open_.select("line", "n").distinct())
+    part = F.pmod(F.col("h"), F.ceil(F.col("n") / rare))
+    held = held.join(wanted, "line").withColumn("part", part).repartition("line", "part")
+    held = stored(held.withColumn("rank", F.row_number().over(Window.partitionBy("line", "part").orderBy("earlier"))).select("line", "part", "rank", "earlier"))
+    low = 1
+    while True:
+        parts = open_.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / rare) - 1)))
+        asked = parts.join(held.where((F.col("rank") >= low) & (F.col("rank") < 2 * low)), ["line", "part"]).where("earlier < key and earlier.h <> key.h")
+        asked = stored(asked.select("earlier", F.col("key").alias("later")).distinct())
+        if asked.isEmpty():
+            return found
+        more = stored(_aligned(table, asked, least))
+        found = found.union(more)
+        open_, low = stored(still(open_, more)), 2 * low
 
 
-def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, least: int = LEAST, counts: bool = True) -> DataFrame:
+def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, least: int = LEAST, counts: bool = True, whole: bool = False) -> DataFrame:
     """``docs`` with the repeated lines deleted, and n_lines, n_removed_lines (an input column so named is replaced).
 
-    Without ``counts`` the columns of ``docs`` only.
+    Without ``counts`` the columns of ``docs`` only. With ``whole`` as if each document were aligned with every earlier one,
+    otherwise with the earliest holders of its lines.
 
     Earlier is the smaller id, a null id before all. Rows alike in id and text are one document and are not
     compared with each other; rows of one id with different texts are two documents. A null text stays null and
     has no lines; an empty text has one blank line; blank lines go only inside a block. Texts are compared as
     they came in, line by line without white space at the ends. An empty table gives an empty result.
     """
-    found = repeated_lines(docs, id_col, text_col, rare, least).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("places").alias("__places"))
+    found = repeated_lines(docs, id_col, text_col, rare, least, whole).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("places").alias("__places"))
     keyed = docs.withColumn("__hash", F.xxhash64(text_col))
     joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left")
     lines = F.split(F.col(text_col), "\n", -1)

@@ -81,7 +81,7 @@ def op3_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_lines")
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.remove_lines(table(spark, sf_dir, "documents"))
+    found = lines.remove_lines(table(spark, sf_dir, "documents"), whole=True)
     return found.select("doc_id", "n_lines", "n_removed_lines", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -93,3 +93,53 @@ def test_frequent_lines_stay_once(spark, rare):
 def test_short_blocks_stay(spark):
     docs = spark.createDataFrame([(1, "yes\nalpha"), (2, "yes\nbeta"), (3, "no\nyes\n\nmaybe so\ngamma"), (4, "no\nyes\n\nmaybe so\ndelta")], "doc_id int, text string")
     assert {r.doc_id: r.text for r in lines.remove_lines(docs, least=10).collect()} == {1: "yes\nalpha", 2: "yes\nbeta", 3: "no\nyes\n\nmaybe so\ngamma", 4: "delta"}
+
+
+def every_pair(rows, least):
+    """id -> places deleted when each document is aligned with all earlier ones."""
+    split = [(i, [x.strip() for x in t.split("\n")]) for i, t in sorted(rows)]
+    gone = {i: set() for i, _ in split}
+    for k, (i, b) in enumerate(split):
+        for _, a in split[:k]:
+            if set(a) & set(b) - {""}:
+                gone[i] |= set(lines.common_lines([hash(x) if x else 0 for x in a], [hash(x) if x else 0 for x in b], [len(x) for x in b], least))
+    return gone
+
+
+def test_runs_cover_every_block():
+    rng = random.Random(2)
+    for _ in range(300):
+        sizes = [rng.choice([0, 1, 5, 9, 30]) for _ in range(rng.randint(0, 12))]
+        got = lines.run_places(sizes, 12)
+        assert all(sum(sizes[a : b + 1]) >= 12 for a, b in got)
+        for a in range(len(sizes)):
+            for b in range(a, len(sizes)):
+                if sum(sizes[a : b + 1]) >= 12:
+                    assert {j for x, y in got if a <= x and y <= b for j in range(x, y + 1)} == set(range(a, b + 1))
+
+
+def test_query_against_all_pairs(spark, sf):
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = every_pair(rows, lines.LEAST)
+    got = {r.doc_id: r.n_removed_lines for r in registry.QUERIES["op7_lines"](spark, sf).collect()}
+    assert got == {i: len(x) for i, x in want.items()}
+
+
+@pytest.mark.parametrize("rare", [500, 3])
+def test_blocks_that_the_earliest_holder_does_not_align(spark, rare):
+    rng = random.Random(8)
+    short, long = [f"short {i}" for i in range(6)], [prose(40 + i, 9) for i in range(5)]
+    texts = ["\n".join([x, prose(100 + i, 8)]) for i, x in enumerate(short)]  # each short line has another first document
+    texts += ["\n".join([f"{a} {b}"] + short) for a, b in (("one", "text"), ("other", "words"))]
+    texts += ["\n".join([long[0], "between", long[0], long[1], "more", long[2]]), "\n".join([long[2], "x", long[1], "y", long[0]])]
+    texts += ["\n".join(rng.sample(long + short, rng.randint(2, 8)) + [f"own line {i}"] + rng.choices(long, k=2)) for i in range(30)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    want = every_pair(rows, lines.LEAST)
+    got = {r.doc_id: r.text for r in lines.remove_lines(docs, rare=rare, whole=True).collect()}
+    assert got == {i: "\n".join(x for j, x in enumerate(t.split("\n")) if j not in want[i]) for i, t in rows}
+
+
+def test_whole_on_edge_rows(edge_docs, no_docs):
+    assert sorted(str(r.doc_id) for r in lines.remove_lines(edge_docs, whole=True).collect()) == sorted(str(i) for i, _, _ in ROWS)
+    assert lines.remove_lines(no_docs, whole=True).count() == 0
