@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskledger.session import checkpoint_dir, checkpointed
+from riskledger.session import checkpointed, scratch
 
-__all__ = ["checkpointed", "connected", "if_small", "scratch"]
+__all__ = ["carried", "checkpointed", "connected", "if_small", "scratch"]
 
 #: Rows of a few numbers that may be broadcast.
 FEW = 10_000
@@ -21,9 +19,9 @@ def if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(kept) if kept.limit(FEW + 1).count() <= FEW else kept
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def carried(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, named row, so that no name of theirs meets a name of the operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Rows that every operator must take: nulls, empty and long texts, ties, repeated rows, odd ids."""
 
 #: Names that the operators use inside, as extra columns of the input.
-CLASHING = ("id", "key", "h", "fp", "line", "lines", "home", "group", "n", "part", "band", "first", "slot", "shard", "size", "offset", "component", "spans", "n_words", "__hash")
+CLASHING = ("id", "key", "h", "fp", "line", "lines", "home", "group", "n", "part", "band", "first", "slot", "shard", "size", "offset", "component", "spans", "n_words", "row", "node", "least", "__id", "__h", "__hash", "__key", "__places", "__part")
 
 WORDS = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you".split()
 
