@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskledger.llm import html, leaks, lines, packing, quality, quotes, repeats, sharding, simhash, sql, warc
+from riskledger.llm import html, leaks, lines, packing, quality, quotes, repeats, sharding, simhash, sql, variants, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -89,3 +89,8 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quotes.conversations(table(spark, sf_dir, "conversations"))
     return found.withColumnRenamed("conv", "conv_id")
+
+
+@query("op11_variants")
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
