@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskledger.llm import html, leaks, lines, packing, quality, quotes, repeats, sharding, simhash, sql, variants, warc
+from riskledger.llm import crosstok, html, leaks, lines, packing, quality, quotes, repeats, sharding, simhash, sql, variants, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -94,3 +94,8 @@ def op6_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_variants")
 def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_crosstok")
+def op12_crosstok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.align(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
