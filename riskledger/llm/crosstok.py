@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -93,6 +94,8 @@ class Aligner(tokens.Cache):
         self.b = tokens.sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(f"{names[1]}.model"))
         self.a_size = [len(self.a.decode_single_token_bytes(i)) for i in range(self.a.n_vocab)]
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.b_size = list(map(len, self.b_bytes))
+        self.names = list(map(str, range(max(len(self.a_size), len(self.b_size)))))
         if any(re.search(rb"[^ ] ", x) for x in self.b_bytes):
             raise ValueError("a piece goes on over a space: the borders do not hold")
 
@@ -109,8 +112,24 @@ class Aligner(tokens.Cache):
         both = self.ids(chunk)
         if both is None:
             return None
-        links, fragment = self.cut(*both, 0, 0, 1 << 62)
-        return len(both[0]), len(both[1]), np.array(links, np.int64).tobytes(), fragment.text()
+        # what cut() gives for all tokens, written out since most of the time goes here
+        (a, b), a_size, b_size, name = both, self.a_size, self.b_size, self.names
+        links, groups, i, j, from_a, from_b, end_a, end_b = [], [], 0, 0, 0, 0, 0, 0
+        while i < len(a):
+            end_a += a_size[a[i]]
+            end_b += b_size[b[j]]
+            while end_a != end_b:
+                if end_a < end_b:
+                    i += 1
+                    end_a += a_size[a[i]]
+                else:
+                    j += 1
+                    end_b += b_size[b[j]]
+            links.append(a[i] << 32 | b[j])
+            i, j = i + 1, j + 1
+            groups.append(f"{','.join([name[x] for x in a[from_a:i]])}|{','.join([name[x] for x in b[from_b:j]])}")
+            from_a, from_b = i, j
+        return len(a), len(b), array("q", links).tobytes(), ";".join(groups)
 
     def cut(self, a: list[int], b: list[int], at: int, low: int, high: int) -> tuple[list[int], Fragment]:
         """Links and fragment of the tokens that end after ``low`` and not after ``high``; the first ones begin at ``at``."""
@@ -120,8 +139,8 @@ class Aligner(tokens.Cache):
             end_a += self.a_size[x]
             if low < end_a <= high:
                 own_a.append(x)
-            while j < len(b) and end_b + len(self.b_bytes[b[j]]) <= end_a:
-                end_b += len(self.b_bytes[b[j]])
+            while j < len(b) and end_b + self.b_size[b[j]] <= end_a:
+                end_b += self.b_size[b[j]]
                 if low < end_b <= high:
                     own_b.append(b[j])
                 j += 1
@@ -130,7 +149,7 @@ class Aligner(tokens.Cache):
                 groups.append((",".join(map(str, own_a)), ",".join(map(str, own_b))))
                 own_a, own_b = [], []
         for x in b[j:]:
-            end_b += len(self.b_bytes[x])
+            end_b += self.b_size[x]
             if low < end_b <= high:
                 own_b.append(x)
         tail = (",".join(map(str, own_a)), ",".join(map(str, own_b)))

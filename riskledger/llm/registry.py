@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskledger.llm import crosstok, html, leaks, lines, packing, quality, quotes, repeats, sharding, simhash, sql, variants, warc
+from riskledger.llm import crosstok, html, leaks, lines, packing, pii, quality, quotes, repeats, sharding, simhash, sql, variants, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -99,3 +99,10 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_crosstok")
 def op12_crosstok(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosstok.align(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op13_pii")
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    every = F.sort_array(F.concat("base", "added"))
+    return found.select(F.col("id").alias("doc_id"), *pii.counts("base"), F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(every).alias("spans"), F.size("added").cast("long").alias("n_added"))
