@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import views as v
 from ..functions import match_scores as ms
 from ..functions import text as tx
-from ..operators import linkage
+from ..operators import linkage, search
 from ..session import checkpointed
 from .registry import query
 from .views_sql import view
@@ -128,13 +128,13 @@ _DATE = f"""CASE WHEN type = 'invoice' THEN CASE WHEN s BETWEEN 24 AND 38 THEN 0
   WHEN s < 0 AND d + 3 <= 4 THEN 0.99 WHEN s < 0 AND d + 3 <= 10 THEN 0.95 WHEN s < 0 AND d + 3 <= 33 THEN 0.9 WHEN s < 0 AND d + 3 <= 63 THEN 0.8 WHEN s < 0 AND d + 3 <= 93 THEN 0.7 WHEN s BETWEEN 0 AND 10 THEN 0.85 ELSE {_NEAR} END"""
 
 
-def scored_sql(source: str, keep: str) -> str:
-    return f"""SELECT {keep}, match_type FROM (SELECT *, CASE WHEN confidence >= 0.72 THEN 'high_confidence' ELSE 'suggested' END AS match_type FROM (SELECT *, round(greatest(0, least(1, (greatest(
+def scored_sql(source: str, keep: str, alias: str = "0", penalty: str = "0", auto: str = "FALSE") -> str:
+    return f"""SELECT {keep}, match_type FROM (SELECT *, CASE WHEN {auto} AND confidence >= 0.9 AND name_score >= 0.4 THEN 'auto_matched' WHEN confidence >= 0.72 THEN 'high_confidence' ELSE 'suggested' END AS match_type FROM (SELECT *, round(greatest(0, least(1, (greatest(
    (name_score * 10 + amount_score * wa + date_score * wd + currency_score * 5) / (wa + wd + 15), CASE WHEN exact AND name_score >= 0.5 AND date_score >= 0.7 THEN 0.92 WHEN exact AND name_score >= 0.3 AND date_score >= 0.5 THEN 0.85
    WHEN exact AND same AND date_score >= 0.6 THEN 0.78 ELSE 0 END::DOUBLE) + CASE WHEN NOT same AND name_score >= 0.5 AND amount_score >= 0.6 AND date_score >= 0.3 THEN 0.05 ELSE 0 END::DOUBLE)
-   * CASE WHEN name_score = 0 THEN 0.55 ELSE 1 END::DOUBLE * CASE WHEN date_score < 0.2 THEN 0.65 ELSE 1 END::DOUBLE)), 3) AS confidence
+   * CASE WHEN name_score = 0 THEN 0.55 ELSE 1 END::DOUBLE * CASE WHEN date_score < 0.2 THEN 0.65 ELSE 1 END::DOUBLE - {penalty}::DOUBLE)), 3) AS confidence
    FROM (SELECT *, CASE WHEN NOT same AND name_score >= 0.8 THEN 20 ELSE 30 END::DOUBLE AS wa, CASE WHEN NOT same AND name_score >= 0.8 THEN 25 ELSE 15 END::DOUBLE AS wd
-    FROM (SELECT *, currency = t_currency AS same, abs(abs(amount) - abs(t_amount)) < 0.01 AS exact, CAST({name_sql('ta', 'tb')} AS DOUBLE) AS name_score, CAST({amount_sql()} AS DOUBLE) AS amount_score,
+    FROM (SELECT *, currency = t_currency AS same, abs(abs(amount) - abs(t_amount)) < 0.01 AS exact, CASE WHEN len(ta) = 0 THEN 0 ELSE greatest(CAST({name_sql('ta', 'tb')} AS DOUBLE), {alias}::DOUBLE) END AS name_score, CAST({amount_sql()} AS DOUBLE) AS amount_score,
      CAST(CASE WHEN currency = t_currency THEN 1 WHEN base_currency = t_base_currency THEN 0.7 ELSE 0.3 END AS DOUBLE) AS currency_score, CAST({_DATE} AS DOUBLE) AS date_score
      FROM (SELECT *, abs(x - y) / greatest(x, y) AS diff, greatest(x, y) / greatest(least(x, y), 1e-9) AS ratio, abs(b1 - b2) / greatest(b1, b2) AS bdiff FROM (SELECT *, abs(amount)::DOUBLE AS x, abs(t_amount)::DOUBLE AS y,
       abs(base_amount)::DOUBLE AS b1, abs(t_base_amount)::DOUBLE AS b2, t_date - date AS s, abs(t_date - date) AS d, {tokens('display_name')} AS ta, {tokens('t_name')} AS tb FROM ({source})))))))"""
@@ -225,6 +225,66 @@ def link_assignment(spark, sf):
     return linkage.assign_one_to_one(s, "inbox_id", "transaction_id", "confidence")
 
 
+def _search_text(k, name, amount):
+    """What is typed: the start of a customer's number, an amount, or a word and the start of a number."""
+    way = F.floor(k / 20) % 3
+    number = F.lower(F.substring(name, 10, 8))
+    return F.when(way == 0, number).when(way == 1, F.floor(F.abs(amount)).cast("string")).otherwise(F.concat(F.lit("cust "), F.substring(name, 10, 7)))
+
+
+def _hits_sql(asking: str, items: str, keep: int) -> str:
+    """team_id, text, item_id, place of text searches; ``items``: team_id, item_id, name, date, x, y."""
+    return f"""SELECT team_id, text, item_id, place FROM (SELECT *, row_number() OVER (PARTITION BY team_id, text ORDER BY date DESC, item_id) AS place FROM (
+      SELECT q.team_id, text, item_id, date FROM (SELECT DISTINCT q.team_id, text, name FROM (SELECT *, list_filter(string_split(lower(text), ' '), lambda t: t <> '') AS terms FROM (SELECT DISTINCT team_id, text FROM {asking})) q
+        JOIN (SELECT DISTINCT team_id, name, list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda w: w <> '') AS ws FROM {items}) USING (team_id)
+        WHERE contains(lower(name), lower(text)) OR len(list_filter(terms, lambda t: len(list_filter(ws, lambda w: starts_with(w, t))) > 0)) = len(terms)) q JOIN {items} i ON i.team_id = q.team_id AND i.name = q.name
+      UNION SELECT q.team_id, text, item_id, date FROM (SELECT DISTINCT team_id, text, TRY_CAST(regexp_extract(regexp_replace(text, '[^0-9.-]', '', 'g'), '^-?([0-9]+([.][0-9]*)?|[.][0-9]+)') AS DOUBLE) AS v FROM {asking}) q
+        JOIN {items} i ON i.team_id = q.team_id AND (abs(x - v) <= greatest(1, abs(v) * 0.1::DOUBLE) OR abs(y - v) <= greatest(1, abs(v) * 0.1::DOUBLE)))) WHERE place <= {keep}"""
+
+
+def _typed_sql(k: str, name: str, amount: str) -> str:
+    return f"CASE ({k} // 20) % 3 WHEN 0 THEN lower(substr({name}, 10, 8)) WHEN 1 THEN CAST(CAST(floor(abs({amount})) AS BIGINT) AS VARCHAR) ELSE 'cust ' || substr({name}, 10, 7) END"
+
+
+view("v_receipt_search", "v_inbox", f"SELECT *, {_typed_sql('CAST(inbox_id AS BIGINT)', 'display_name', 'amount')} AS text FROM v_inbox WHERE CAST(inbox_id AS BIGINT) % 20 = 0")
+view("v_found_item", "v_payment", "SELECT team_id, transaction_id AS item_id, name, date, abs(amount)::DOUBLE AS x, abs(base_amount)::DOUBLE AS y FROM v_payment")
+view("v_payment_search", "v_payment", f"SELECT *, {_typed_sql('CAST(substr(transaction_id, 2) AS BIGINT)', 'name', 'amount')} AS text FROM v_payment WHERE CAST(substr(transaction_id, 2) AS BIGINT) % 20 = 0")
+view("v_open_item", "v_inbox", "SELECT team_id, inbox_id AS item_id, display_name AS name, date, amount::DOUBLE AS x, amount::DOUBLE AS y FROM v_inbox WHERE CAST(inbox_id AS BIGINT) % 9 <> 0")
+view("v_receipt_hit", "v_receipt_search v_found_item", _hits_sql("v_receipt_search", "v_found_item", 30))
+view("v_payment_hit", "v_payment_search v_open_item", _hits_sql("v_payment_search", "v_open_item", 30))
+
+
+@query(
+    "link_rerank",
+    "SRT-12 FLT-05 FLT-06",
+    f"""SELECT inbox_id, transaction_id, confidence, matched, rank FROM (SELECT *, row_number() OVER (PARTITION BY inbox_id ORDER BY confidence DESC, matched, place) AS rank FROM ({scored_sql(
+        f"SELECT r.* EXCLUDE (type), '' AS type, p.*, place, CAST(substr(transaction_id, 2) AS BIGINT) % 4 = 0 AS matched FROM v_receipt_search r JOIN v_receipt_hit h ON h.team_id = r.team_id AND h.text = r.text JOIN ({_PAY}) p ON transaction_id = item_id",
+        "inbox_id, transaction_id, confidence, matched, place")})) WHERE rank <= 5""",
+    "v_receipt_search v_receipt_hit v_payment",
+)
+def link_rerank(spark, sf):
+    """The stated searches are those typed beside every receipt whose id is divisible by 20."""
+    k = F.col("inbox_id").cast("long")
+    receipts = v.inbox(spark, sf).where(k % 20 == 0).withColumn("text", _search_text(k, F.col("display_name"), F.col("amount")))
+    payments = v.payment(spark, sf).withColumn("matched", F.substring("transaction_id", 2, 20).cast("long") % 4 == 0)
+    return search.search_payments(receipts, payments, 5, include_matched=True).select("inbox_id", "transaction_id", "confidence", "matched", "rank")
+
+
+@query(
+    "link_rerank_receipts",
+    "SRT-12 FLT-07",
+    f"""SELECT transaction_id, inbox_id, confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY confidence DESC, place) AS rank FROM ({scored_sql(
+        f"SELECT i.*, p.transaction_id, name AS t_name, p.amount AS t_amount, p.currency AS t_currency, p.date AS t_date, p.base_amount AS t_base_amount, p.base_currency AS t_base_currency, place FROM v_payment_search p JOIN v_payment_hit h ON h.team_id = p.team_id AND h.text = p.text JOIN v_inbox i ON i.inbox_id = item_id",
+        "inbox_id, transaction_id, confidence, place")})) WHERE rank <= 10""",
+    "v_payment_search v_payment_hit v_inbox",
+)
+def link_rerank_receipts(spark, sf):
+    """The stated searches are those typed beside every payment whose number is divisible by 20."""
+    k = F.substring("transaction_id", 2, 20).cast("long")
+    payments = v.payment(spark, sf).where(k % 20 == 0).withColumn("text", _search_text(k, F.col("name"), F.col("amount")))
+    return search.search_receipts(payments, _waiting(spark, sf)).select("transaction_id", "inbox_id", "confidence", "rank")
+
+
 def _suggestions(spark, sf):
     """Outcomes of earlier suggestions, read off the true pairs."""
     s = linkage.score_pairs(_true_pairs(spark, sf))
@@ -250,9 +310,9 @@ view(
 _LEARN = "trim(regexp_replace(regexp_replace(lower({}), '[.,\\-_''\"()&]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query(
-    "link_pair_history",
-    "AGG-46 JON-10",
+view(
+    "v_pair_history",
+    "v_suggestions",
     f"""SELECT team_id, inbox_key, transaction_key, n, confirmed, negative, CASE WHEN confirmed >= 2 THEN 0.9 ELSE 0 END AS alias_score,
     n >= 3 AND confirmed >= 3 AND confirmed / n >= 0.9 AND negative <= 1 AND a >= 0.85 AS can_auto_match,
     CASE WHEN neg < 1.5 OR (rec >= 2 AND con >= neg) OR greatest(0, neg - con * 0.7::DOUBLE) <= 0.3 THEN 0 ELSE round(greatest(0, least(0.35, 0.08::DOUBLE + greatest(0, neg - con * 0.7::DOUBLE) * 0.08::DOUBLE)), 6) END AS decline_penalty
@@ -260,12 +320,31 @@ _LEARN = "trim(regexp_replace(regexp_replace(lower({}), '[.,\\-_''\"()&]', ' ',
      coalesce(avg(CASE WHEN status = 'confirmed' THEN confidence END), 0) AS a, coalesce(sum(CASE WHEN age < 90 AND status = 'declined' THEN exp(-age / 45.0::DOUBLE) END), 0) + coalesce(sum(CASE WHEN age < 90 AND status = 'unmatched' THEN exp(-age / 45.0::DOUBLE) END), 0) * 0.6::DOUBLE AS neg,
      coalesce(sum(CASE WHEN age < 90 AND status = 'confirmed' THEN exp(-age / 45.0::DOUBLE) END), 0) AS con, count(CASE WHEN age <= 45 AND status = 'confirmed' THEN 1 END) AS rec
      FROM (SELECT *, greatest(0, DATE '2001-06-30' - created) AS age FROM v_suggestions WHERE created > DATE '2001-06-30' - INTERVAL 6 MONTH) GROUP BY 1, 2, 3)""",
-    "v_suggestions",
 )
+
+
+@query("link_pair_history", "AGG-46 JON-10", "SELECT * FROM v_pair_history", "v_pair_history")
 def link_pair_history(spark, sf):
     return linkage.pair_history(_suggestions(spark, sf), "2001-06-30")
 
 
+@query(
+    "link_scored_with_history",
+    "JON-10 FN-16 FN-17",
+    scored_sql(
+        f"""SELECT i.* EXCLUDE (display_name), 'Vendor-' || (CAST(inbox_id AS BIGINT) % 40) || ' Ltd.' AS display_name, p.* EXCLUDE (t_name), 'VENDOR ' || (CAST(inbox_id AS BIGINT) % 40) AS t_name, coalesce(alias_score, 0) AS alias, coalesce(decline_penalty, 0) AS penalty, coalesce(can_auto_match, FALSE) AS auto
+        FROM v_inbox i JOIN ({_PAY}) p ON transaction_id = 'p' || inbox_id LEFT JOIN v_pair_history h ON h.team_id = i.team_id AND inbox_key = 'vendor ' || (CAST(inbox_id AS BIGINT) % 40) || ' ltd' AND transaction_key = 'vendor ' || (CAST(inbox_id AS BIGINT) % 40)""",
+        _KEEP, "alias", "penalty", "auto"),
+    "v_inbox v_payment v_pair_history",
+)
+def link_scored_with_history(spark, sf):
+    """The true pairs under what was learned about their names, with automatic matches on."""
+    history = linkage.pair_history(_suggestions(spark, sf), "2001-06-30")
+    k = F.col("inbox_id").cast("long") % 40
+    pairs = _true_pairs(spark, sf).withColumns({"display_name": F.concat(F.lit("Vendor-"), k.cast("string"), F.lit(" Ltd.")), "t_name": F.concat(F.lit("VENDOR "), k.cast("string"))})
+    return _out(linkage.score_pairs(pairs, history, auto_enabled=True))
+
+
 view(
     "v_sweep",
     "v_suggestions",

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from .. import views as v
 from ..operators import review
+from ..operators.frames import DAY
 from ..session import scratch
 from ..streaming import pipeline as p
+from ..streaming import stores
 from .q_reports import rnd
 from .registry import query
 from .views_sql import view
@@ -228,29 +230,45 @@ def stream_monitoring(spark, sf):
     return p.progress(q)
 
 
-@query("stream_review_state", "STR-10", "SELECT transaction_id, status FROM v_state", "v_state")
-def stream_review_state(spark, sf):
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
+def _parts(spark, sf, n=3):
+    """The events as ``n`` files that arrive one after another, a folder for a stream, and what follows the first file."""
+    base = scratch(spark, "arrivals")
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    # by time, so that later files hold later events
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(DAY))
+    low, high = events.agg(F.min(day), F.max(day)).first()
+    part = F.least(F.floor((day - low) * n / (high - low + 1)), F.lit(n - 1)).cast("int")
+    for i in range(n):
+        events.where(part == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
 
-    def snapshot(df, batch):
-        n = F.col("event_id")
-        action = F.element_at(F.array(*[F.lit(a) for a in ("approve", "dismiss", "escalate", "decline", "block", None)]), (n % 6 + 1).cast("int"))
-        d = df.select(F.col("event_id").cast("string").alias("transaction_id"), action.alias("action"), n.alias("seq")).filter(F.col("action").isNotNull())
-        events = review.decisions_to_events(d)
-        empty = events.limit(0).select("transaction_id", F.col("to_status").alias("status"), "seq")
-        return p.merge_review_state(empty, events).select("transaction_id", "status")
 
-    return p.run_to_files(raw, transform=snapshot)
+@query("stream_review_state", "STR-10", "SELECT transaction_id, status FROM v_state", "v_state")
+def stream_review_state(spark, sf):
+    """Decisions in three batches; a versioned snapshot is replaced after each."""
+    n = F.col("event_id")
+    action = F.element_at(F.array(*[F.lit(a) for a in ("approve", "dismiss", "escalate", "decline", "block", None)]), (n % 6 + 1).cast("int"))
+    decisions = _parts(spark, sf).select(n.cast("string").alias("transaction_id"), action.alias("action"), n.alias("seq")).filter(F.col("action").isNotNull())
+    store = stores.SnapshotStore(spark, scratch(spark, "review"), "transaction_id string, status string, seq bigint")
+    stores.run_batches(decisions, lambda df, batch: store.update(batch, lambda now: p.merge_review_state(now, review.decisions_to_events(df))))
+    return store.read().select("transaction_id", "status")
 
 
 @query(
     "stream_window_vs_history",
     "STR-11",
-    "SELECT transaction_id, velocity, time_diff_seconds, round(geo_distance_km, 4) AS geo_distance_km FROM v_tracked WHERE event_time >= TIMESTAMP '2024-01-20'",
+    "SELECT transaction_id, velocity, time_diff_seconds, round(geo_distance_km, 4) AS geo_distance_km FROM v_tracked",
     "v_tracked",
 )
 def stream_window_vs_history(spark, sf):
-    history = _batch(spark, sf).filter(F.col("event_time") < "2024-01-20")
-    new = _stream(spark, sf).filter(F.col("event_time") >= "2024-01-20")
-    return _tracked(p.run_to_files(new, transform=lambda df, b: p.score_window(df, history, lambda x: p.track_batch(x, GAP))))
+    """Three batches, each scored against the rows that were scored before it."""
+    history = stores.HistoryStore(spark, scratch(spark, "history"), p.EVENT_ROW, "card_id", "event_time")
+    out = scratch(spark, "scored")
+
+    def step(df, batch):
+        scored = p.score_window(df, history.before(df, batch), lambda x: p.track_batch(x, GAP))
+        scored.write.mode("overwrite").parquet(f"{out}/batch_id={batch}")
+        history.add(df, batch)
+
+    stores.run_batches(_shape(_parts(spark, sf).withColumn("k", F.get_json_object("props", "$.k").cast("int"))), step)
+    return _tracked(spark.read.option("basePath", out).parquet(out).drop("batch_id"))

@@ -89,6 +89,8 @@ TRACKED = T.StructType(
         T.StructField("time_diff_seconds", T.LongType()),
     ]
 )
+#: A parsed event.
+EVENT_ROW = T.StructType(TRACKED.fields[: len(EVENT.fields)])
 _STATE = T.StructType(
     [
         T.StructField("count", T.LongType()),
