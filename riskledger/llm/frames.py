@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskledger.operators.components import connected
 from riskledger.session import checkpointed, scratch
 
 __all__ = ["carried", "checkpointed", "connected", "if_small", "scratch"]
@@ -22,33 +23,3 @@ def if_small(df: DataFrame) -> DataFrame:
 def carried(docs: DataFrame) -> Column:
     """All columns of ``docs`` as one, named row, so that no name of theirs meets a name of the operator."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-
-
-def connected(edges: DataFrame) -> DataFrame:
-    """Connected components by alternating large and small stars.
-
-    ``edges``: columns a, b (long). Returns node, component (the smallest node that can be
-    reached), one row per node that has an edge. Each round halves the distances; every round
-    is checkpointed, so lost executors cost one round at most. Null ends and loops are ignored.
-    """
-    now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
-    mark = _mark(now)
-    while mark[0]:
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        linked = large.join(least, "a")
-        small = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).union(linked.select("a", F.col("m").alias("b")))
-        now = checkpointed(small.where("a > b").distinct())
-        before, mark = mark, _mark(now)
-        if mark == before:
-            break
-    least = now.groupBy("b").agg(F.lit(1).alias("one")).select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(least)
-
-
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    """Number of edges and a sum over their hashes: equal for equal sets."""
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1))).alias("s")).first()
-    return row["n"], row["s"] or 0

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskledger.llm import workers
-from riskledger.llm.frames import checkpointed
+from riskledger.llm.frames import carried, checkpointed
 from riskledger.session import scratch
 
 RARE = 500
@@ -263,12 +263,12 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     has no lines; an empty text has one blank line; blank lines go only inside a block. Texts are compared as
     they came in, line by line without white space at the ends. An empty table gives an empty result.
     """
-    found = repeated_lines(docs, id_col, text_col, rare, least, whole).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("places").alias("__places"))
-    keyed = docs.withColumn("__hash", F.xxhash64(text_col))
-    joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__places", i)), "\n")
-    extra = {"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed_lines": F.coalesce(F.size("__places"), F.lit(0))} if counts else {}
+    found = repeated_lines(docs, id_col, text_col, rare, least, whole).select("id", "h", "places")
+    keyed = docs.select(F.col(id_col).alias("own"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"), carried(docs.drop(text_col)))
+    joined = keyed.join(found, F.col("own").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")), "left")
+    lines = F.split("text", "\n", -1)
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("places", i)), "\n")
+    text = F.when(F.col("places").isNull(), F.col("text")).otherwise(kept)
+    extra = {"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed_lines": F.coalesce(F.size("places"), F.lit(0))} if counts else {}
     names = [c for c in docs.columns if c not in extra]
-    out = joined.select(*[F.col(f"`{c}`") for c in names], *[v.alias(k) for k, v in extra.items()], "__places")
-    return out.withColumn(text_col, F.when(F.col("__places").isNull(), F.col(text_col)).otherwise(kept)).drop("__places")
+    return joined.select(*[(text if c == text_col else F.col("row").getField(c)).alias(c) for c in names], *[v.alias(k) for k, v in extra.items()])

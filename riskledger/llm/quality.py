@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskledger.llm import tokens
-from riskledger.llm.frames import checkpointed, if_small
+from riskledger.llm.frames import carried, checkpointed, if_small
 from riskledger.llm.words import IS_WORD, mix, owner, text_slices, window_hashes, word_hashes, word_spans
 
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -183,6 +183,6 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str | None = "l
     Rows are matched by a hash of the language and the text, so ids may repeat or be null.
     """
     lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
-    keyed = docs.withColumn("__key", F.xxhash64(lang, F.lit("|"), F.col(text_col)))
-    kept = judge(keyed, "__key", text_col, lang_col).where("kept").select(F.col("id").alias("__key")).distinct()
-    return keyed.join(kept, "__key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.xxhash64(lang, F.lit("|"), F.col(text_col)).alias("key"), F.col(text_col).alias("text"), lang.alias("lang"), carried(docs))
+    kept = judge(rows, "key", "text", "lang").where("kept").select(F.col("id").alias("key")).distinct()
+    return rows.select("key", "row").join(kept, "key", "left_semi").select("row.*")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from riskledger.llm.frames import carried
+
 #: Multiplier of the published generator.
 MULTIPLIER = 2862933555777941757
 
@@ -86,14 +88,15 @@ def number_slots(df: DataFrame, columns: list[str], order: list[str], shard: str
     numbered in any order.
     """
     top, _ = _next_state(*_halves(key_of(df, columns)))
-    cut = df.withColumn("__part", F.pmod(F.shiftright(top, 1), F.lit(parts)).cast("int"))
-    sizes = cut.groupBy(shard, "__part").agg(F.count("*").alias("__rows"))
-    before = Window.partitionBy(shard).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(shard, "__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(shard, "__part").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    numbered = cut.withColumn("__inside", F.row_number().over(inside).cast("long"))
+    cut = df.select(F.col(shard).alias("shard"), F.pmod(F.shiftright(top, 1), F.lit(parts)).cast("int").alias("part"), carried(df))
+    sizes = cut.groupBy("shard", "part").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("shard", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("shard", "part").orderBy(*[F.col("row").getField(c).asc_nulls_first() for c in order])
+    numbered = cut.withColumn("inside", F.row_number().over(inside).cast("long"))
     # shards x parts lines of three numbers: bounded by the two parameters
-    return numbered.join(F.broadcast(offsets), [shard, "__part"]).withColumn(slot, F.col("__before") + F.col("__inside") - 1).drop("__part", "__before", "__inside")
+    joined = numbered.join(F.broadcast(offsets), ["shard", "part"])
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in df.columns if c != slot], (F.col("before") + F.col("inside") - 1).alias(slot))
 
 
 def write_shards(df: DataFrame, path: str, shard: str = "shard") -> None:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskledger.llm import workers
-from riskledger.llm.frames import checkpointed, connected
+from riskledger.llm.frames import carried, checkpointed, connected
 from riskledger.llm.words import text_slices
 
 SEED = 42
@@ -174,7 +174,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null id counts as the smallest; of rows alike in the id the smaller hash of the text decides,
     and of rows alike in both one stays.
     """
-    found = near_duplicates(docs.withColumn("__key", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))), "__key", text_col, words, distance)
-    first = found.groupBy("component").agg(F.lit(1).alias("one")).select(F.col("component.id").alias("__id"), F.col("component.h").alias("__h"))
-    kept = docs.withColumn("__hash", F.xxhash64(text_col)).join(first, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_semi")
-    return kept.dropDuplicates([id_col, "__hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("key"), F.col(text_col).alias("text"), carried(docs))
+    found = near_duplicates(rows, "key", "text", words, distance)
+    first = found.groupBy("component").agg(F.lit(1).alias("one")).select(F.col("component.id").alias("id"), F.col("component.h").alias("h"))
+    same = F.col("key.id").eqNullSafe(F.col("id")) & (F.col("key.h") == F.col("h"))
+    return rows.drop("text").join(first, same, "left_semi").dropDuplicates(["key"]).select("row.*")

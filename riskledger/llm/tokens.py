@@ -8,7 +8,9 @@ aside and a new one begun, so what is in use moves over, and the ids are the sam
 from __future__ import annotations
 
 import base64
+import json
 import math
+import re
 
 import numpy as np
 import public_tokenizers
@@ -53,12 +55,22 @@ class ByteBpe(Cache):
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.model = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+            self.added = {x["content"]: int(x["id"]) for x in json.load(f)["added_tokens"]}
+        self.is_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
     def encoded(self, chunk: str) -> bytes:
         return np.array(self.model.encode_ordinary(f" {chunk}"), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit numbers. Special strings are plain text."""
+        """Ids of a text as little-endian unsigned 32-bit numbers. An added token of the vocabulary is one id wherever it stands."""
+        if self.is_added.search(text):
+            pieces = self.is_added.split(text)
+            return b"".join(np.array([self.added[x]], "<u4").tobytes() if i % 2 else self.plain(x) for i, x in enumerate(pieces) if x)
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text whose special strings are plain text."""
         parts = text.split(" ")
         if "" in parts or any(map(str.isspace, {p[0] for p in parts})):
             parts = _glued(parts)
