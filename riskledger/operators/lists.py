@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -308,21 +309,34 @@ def _first_rows(txns: DataFrame, n: int) -> DataFrame:
 def relink_accounts(api: DataFrame, existing: DataFrame, assign) -> DataFrame:
     """Match re-authorised accounts to stored ones, each side once.
 
-    Tiers: same reference, same IBAN, same currency and type (XXX is unknown), a
-    name match first within a tier. ``assign`` takes the scored pairs one-to-one.
+    Tiers: same reference, same IBAN, same currency and type (XXX is unknown), a name match first within a
+    tier. Each tier is an equi join: by reference, by IBAN, and by type and currency, where an unknown
+    currency or type meets every one of the team. A pair counts under its best tier; ``assign`` takes the scored
+    pairs one-to-one, so only pairs that some tier allows are ever made.
     """
-    e = existing.select([F.col(c).alias(f"e_{c}") for c in existing.columns])
-    a = api
-
-    def tier(cond, score):
-        return F.when(cond, score)
-
-    real = (F.upper("currency") != "XXX") & (F.upper("e_currency") != "XXX")
-    fuzzy = ~(F.coalesce(real, F.lit(False)) & (F.col("currency") != F.col("e_currency"))) & (F.col("e_type").isNull() | (F.col("e_type") == F.col("type")))
+    keyed = ["id", "team_id", "name", "currency", "type", "reference", "iban"]
+    a = api.select(*keyed)
+    e = existing.select([F.col(c).alias(f"e_{c}") for c in keyed])
     same_name = F.when(F.lower("name") == F.lower("e_name"), 0.1).otherwise(0.0)
-    score = F.coalesce(
-        tier(F.col("reference") == F.col("e_reference"), 3.0), tier(F.col("iban") == F.col("e_iban"), 2.0), tier(fuzzy, 1.0)
-    )
-    # accounts of one team are few: the pairs of a team are its accounts squared
-    pairs = a.join(e, F.col("team_id") == F.col("e_team_id")).withColumn("score", score + same_name).filter(F.col("score").isNotNull())
-    return assign(pairs.select(F.col("id").alias("api_id"), F.col("e_id").alias("db_id"), "score"), "api_id", "db_id", "score")
+
+    def tier(left: DataFrame, right: DataFrame, on: Column, value: float) -> DataFrame:
+        joined = left.join(right, (F.col("team_id") == F.col("e_team_id")) & on)
+        return joined.select(F.col("id").alias("api_id"), F.col("e_id").alias("db_id"), (value + same_name).alias("score"))
+
+    # a currency is known if it is given and not XXX; what is unknown on one side meets all of the other
+    known, e_known = F.coalesce(F.upper("currency") != "XXX", F.lit(False)), F.coalesce(F.upper("e_currency") != "XXX", F.lit(False))
+    typed = F.col("e_type") == F.col("type")
+    a_known, a_other, s_known, s_other = a.where(known), a.where(~known), e.where(e_known), e.where(~e_known)
+    typed_e, free_e = F.col("e_type").isNotNull(), F.col("e_type").isNull()
+    pairs = [
+        tier(a, e, F.col("reference") == F.col("e_reference"), 3.0),
+        tier(a, e, F.col("iban") == F.col("e_iban"), 2.0),
+        tier(a_known, s_known.where(typed_e), (F.col("currency") == F.col("e_currency")) & typed, 1.0),
+        tier(a_known, s_known.where(free_e), F.col("currency") == F.col("e_currency"), 1.0),
+        tier(a_known, s_other.where(typed_e), typed, 1.0),
+        tier(a_known, s_other.where(free_e), F.lit(True), 1.0),
+        tier(a_other, e.where(typed_e), typed, 1.0),
+        tier(a_other, e.where(free_e), F.lit(True), 1.0),
+    ]
+    best = reduce(lambda x, y: x.unionByName(y), pairs).groupBy("api_id", "db_id").agg(F.max("score").alias("score"))
+    return assign(best, "api_id", "db_id", "score")

@@ -277,7 +277,7 @@ def list_rows_with_tags(spark, sf):
 def list_similar_vendors(spark, sf):
     t = v.ledger(spark, sf).withColumn("merchant_name", F.concat(F.translate("merchant_name", "-", ""), F.when(F.col("team_id") % 2 == 0, " Ltd").otherwise(" Store")))
     roots = lists.latest_per(t, "merchant_name", "date", "id")
-    return lists.similar_vendors(t, roots, 20)
+    return lists.similar_vendors(t, roots)
 
 
 @query("account_relink", "JON-11")
