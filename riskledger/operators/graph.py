@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cols import num
-from ..session import checkpointed
+from ..session import checkpointed, scratch
 from .ranks import global_position
 
 RELATION = {
@@ -260,8 +261,47 @@ def context_vectors(roots: DataFrame, e: DataFrame, feats: DataFrame, width=6, d
 # ---- feature store
 
 
-def store_features(feats: DataFrame, path: str) -> None:
-    feats.write.mode("overwrite").parquet(path)
+class FeatureStore:
+    """Feature vectors by node in bucketed tables, one per version.
+
+    A version is whole: the one before it with the new vectors put in. Both lie in the same buckets, so
+    neither putting nor reading shuffles what is stored. ``buckets`` is the number of shuffle partitions
+    unless it is named; it stays the same for all versions. The files go with the application.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
+        self.spark, self.path, self.version = spark, scratch(spark, name), 0
+        self.name = f"{name}_{uuid.uuid4().hex}"
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _table(self, version: int) -> str:
+        return f"{self.name}_v{version}"
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """All vectors of a version, the newest unless it is named."""
+        return self.spark.table(self._table(version or self.version))
+
+    def keys(self) -> DataFrame:
+        return self.read().select("node")
+
+    def put(self, feats: DataFrame) -> int:
+        """A new version with ``feats`` (node and value columns) in it; returns its number.
+
+        A vector takes the place of the node's earlier one. Of several vectors of a node in ``feats`` the greatest
+        stays, rows without a node are left out.
+        """
+        values = [c for c in feats.columns if c != "node"]
+        fresh = feats.where("node IS NOT NULL").groupBy("node").agg(F.max(F.struct(*values)).alias("v")).select("node", "v.*")
+        if self.version:
+            old = self.read()
+            # one shuffle, of the new vectors alone; the joined partitions are the buckets
+            both = old.join(fresh.withColumn("_new", F.lit(True)).select("node", "_new", F.struct(*values).alias("_v")), "node", "full")
+            fresh = both.select("node", *[F.when(F.col("_new"), F.col(f"_v.{c}")).otherwise(F.col(c)).alias(c) for c in values])
+        else:
+            fresh = fresh.repartition(self.buckets, "node")
+        fresh.write.bucketBy(self.buckets, "node").sortBy("node").option("path", f"{self.path}/{self.version + 1}").saveAsTable(self._table(self.version + 1))
+        self.version += 1
+        return self.version
 
 
 def get_features(store: DataFrame, wanted: DataFrame, default: float = -1.0) -> DataFrame:

@@ -84,7 +84,7 @@ _FC = ("f0", "f1", "f2", "f3", "f4", "f5", "f6", "f7", "f10", "f11", "f13")
 
 @query(
     "graph_entity_features",
-    "AGG-47 SRC-08",
+    "AGG-47",
     f"SELECT dst AS node, {', '.join(f'{rnd(f"avg({c})", 6)} AS {c}' for c in _FC)} FROM v_gedges JOIN ({_FEAT}) ON src = node GROUP BY dst",
     "v_gedges v_feat",
 )
@@ -96,6 +96,25 @@ def graph_entity_features(spark, sf):
     return got.select("node", *[round_half_up(F.col(c), 6).alias(c) for c in _FC])
 
 
+@query(
+    "feature_store_round_trip",
+    "SRC-08",
+    f"""SELECT dst AS node, {', '.join(f'{rnd(f"avg({c})", 6)} AS {c}' for c in _FC)} FROM v_gedges JOIN ({_FEAT}) ON src = node GROUP BY dst
+    UNION ALL SELECT DISTINCT src, {', '.join(['0'] * len(_FC))} FROM v_gedges UNION ALL SELECT DISTINCT 'gone:' || dst, {', '.join(['-1'] * len(_FC))} FROM v_gedges""",
+    "v_gedges v_feat",
+)
+def feature_store_round_trip(spark, sf):
+    """Zero vectors of all nodes, then those of the entities put over them, read back with nodes that were never put."""
+    e = _edges(spark, sf)
+    entities = graph.entity_features(e, graph.feature_columns(labeled(spark, sf), PARAMS.high_risk))
+    cols = [c for c in entities.columns if c != "node"]
+    store = graph.FeatureStore(spark, "features")
+    store.put(graph.nodes(e).select("node", *[F.lit(0.0).alias(c) for c in cols]))
+    store.put(entities)
+    wanted = store.keys().union(e.select(F.concat(F.lit("gone:"), "dst")))
+    return graph.get_features(store.read(), wanted).select("node", *[round_half_up(F.col(c), 6).alias(c) for c in _FC])
+
+
 def _roots(spark, sf):
     return labeled(spark, sf).filter(F.col("pseudo_label") >= 0).select(F.concat(F.lit("tx:"), "transaction_id").alias("node"))
 

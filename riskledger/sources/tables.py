@@ -325,10 +325,34 @@ def accounting_rows(txns: DataFrame, tags: DataFrame, attachments: DataFrame, ra
     )
 
 
-def export_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """Every table as CSV, one folder per team."""
+_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    """Nested columns as JSON, a null as an empty field."""
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    return df.select(*[(F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name)) for f in df.schema.fields])
+
+
+def export_tables(tables: dict[str, DataFrame], path: str, order: dict[str, list[Column]] | None = None, rows_per_file: int = 1_000_000) -> None:
+    """Every table as CSV, one folder per team, in the order given for the table.
+
+    Rows are dealt by ranges of team and order, so a team that holds most rows is written by many
+    tasks; the files of a team, by name, follow its order and have at most ``rows_per_file`` rows. Nested
+    values become JSON. Line ends inside a text are kept as \n. A null team has its own folder.
+    """
     for name, df in tables.items():
-        df.write.mode("overwrite").option("header", True).partitionBy("team_id").csv(f"{path}/{name}")
+        keys = [F.col("team_id"), *(order or {}).get(name, [])]
+        dealt = _flat(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
+        dealt.write.mode("overwrite").options(**_CSV).option("maxRecordsPerFile", rows_per_file).partitionBy("team_id").csv(f"{path}/{name}")
+
+
+def read_export(spark: SparkSession, path: str, name: str, schema: T.StructType) -> DataFrame:
+    """An exported table; nested columns of ``schema`` are read back from their JSON."""
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    plain = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, nested) else f.dataType) for f in schema.fields])
+    rows = spark.read.options(**_CSV).option("multiLine", True).schema(plain).csv(f"{path}/{name}")
+    return rows.select(*[(F.from_json(f.name, f.dataType).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name)) for f in schema.fields])
 
 
 def profile(txns: DataFrame) -> DataFrame:
