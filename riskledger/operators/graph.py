@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,8 +21,6 @@ RELATION = {
     "ip": "used_ip",
 }
 FEATURES = 14
-#: Independent samples kept of each node's neighbours.
-STREAMS = 16
 
 
 def edges(labeled: DataFrame, prediction: bool = False) -> DataFrame:
@@ -135,33 +134,101 @@ def neighbors(e: DataFrame, method: str = "uniform") -> DataFrame:
     return und.join(degree, "node").select("node", "nbr", "w", "degree")
 
 
-def _stream(root: Column | str, streams: int) -> Column:
-    return F.conv(F.substring(F.md5(F.col(root) if isinstance(root, str) else root), 1, 6), 16, 10).cast("long") % streams
+class Lots(NamedTuple):
+    """Neighbours of every node laid out for draws; see ``lots``."""
 
+    few: DataFrame
+    slots: DataFrame
+    bands: DataFrame
 
-def draw(frontier: DataFrame, nbrs: DataFrame, width: int, seed: int, hop: int, streams: int = STREAMS) -> DataFrame:
+
+def lots(nbrs: DataFrame, width: int) -> Lots:
+    """Neighbours (node, nbr, w, degree) laid out so that a draw is one look-up by equal keys.
+
+    ``few``: the neighbours of nodes that have at most ``width``; they are always taken. Of the other nodes, a band
+    holds the neighbours whose weights share their power of two. ``slots``: node, band, rank inside the band, nbr, w.
+    ``bands``: node and its bands with count and greatest weight. Ranks come from global positions, so a hub's
+    neighbours lie in many tasks.
+    """
+    band = F.floor(F.log("w") / F.log(F.lit(2.0))).cast("int")
+    many = nbrs.where(F.col("degree") > width).select("node", band.alias("band"), "nbr", "w")
+    placed = checkpointed(global_position(many, [F.col("node").asc(), F.col("band").asc(), F.col("nbr").asc()], "pos"))
+    sizes = checkpointed(placed.groupBy("node", "band").agg(F.min("pos").alias("first"), F.count("*").alias("n"), F.max("w").alias("top")))
+    slots = placed.join(sizes, ["node", "band"]).select("node", "band", (F.col("pos") - F.col("first")).alias("rank"), "nbr", "w")
+    bands = sizes.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("band", "n", "top"))).alias("bands"))
+    return Lots(nbrs.where(F.col("degree") <= width).select("node", "nbr"), checkpointed(slots), checkpointed(bands))
+
+
+def _part(digest: Column, start: int, n: int) -> Column:
+    """Number in (0, 1) from ``n`` hexadecimal digits."""
+    return (F.conv(F.substring(digest, start, n), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(16**n))
+
+
+def _draw_round(state: DataFrame, slots: DataFrame, width: int, seed: int, hop: int, turn: int) -> DataFrame:
+    """``taken`` of every (root, node), longer by what ``2 * width`` draws from the neighbours not taken yet bring."""
+
+    def mass(acc, b):
+        n = b["n"] - F.size(F.filter("taken", lambda t: t["band"] == b["band"]))
+        hi = F.coalesce(F.try_element_at(acc, F.lit(-1))["hi"], F.lit(0.0)) + n * b["top"]
+        return F.concat(acc, F.array(F.struct(b["band"].alias("band"), n.alias("n"), b["top"].alias("top"), hi.alias("hi"))))
+
+    def keep(acc, x):
+        again = F.exists(acc, lambda t: (t["band"] == x["band"]) & (t["rank"] == x["rank"]))
+        one = F.struct(x["band"].alias("band"), x["rank"].alias("rank"), x["nbr"].alias("nbr"))
+        return F.when((F.size(acc) >= width) | again, acc).otherwise(F.concat(acc, F.array(one)))
+
+    empty = F.array().cast("array<struct<band:int,n:bigint,top:double,hi:double>>")
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.lit(hop), F.lit(turn), "j", "root", "node"))
+    drawn = (
+        state.withColumn("left", F.aggregate("bands", empty, mass))
+        .withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(2 * width - 1))))
+        .withColumn("h", digest)
+        .withColumn("x", _part(F.col("h"), 1, 10) * F.element_at("left", -1)["hi"])
+        .withColumn("b", F.element_at(F.filter("left", lambda b: b["hi"] > F.col("x")), 1))
+        .withColumn("k", F.floor(_part(F.col("h"), 11, 13) * F.col("b.n")))
+        .withColumn("ranks", F.array_sort(F.transform(F.filter("taken", lambda t: t["band"] == F.col("b.band")), lambda t: t["rank"])))
+        # the k-th rank that is not taken
+        .withColumn("rank", F.col("k") + F.size(F.filter("ranks", lambda t, i: t - i <= F.col("k"))))
+        .select("root", "node", "bands", "taken", "j", F.col("b.band").alias("band"), "rank", (_part(F.col("h"), 24, 9) * F.col("b.top")).alias("y"))
+    )
+    hit = F.when(F.col("y") < F.col("w"), F.struct("j", "band", "rank", "nbr"))
+    met = drawn.join(slots, ["node", "band", "rank"]).groupBy("root", "node").agg(
+        F.any_value("bands").alias("bands"), F.any_value("taken").alias("taken"), F.array_sort(F.collect_list(hit)).alias("hits")
+    )
+    return met.select("root", "node", "bands", F.aggregate("hits", F.col("taken"), keep).alias("taken"))
+
+
+def draw(frontier: DataFrame, table: Lots, width: int, seed: int, hop: int) -> DataFrame:
     """``width`` distinct neighbours, or all if there are fewer, for each (root, node) of the frontier.
 
-    Every node has ``streams`` independent samples, weighted and without replacement: the neighbours with
-    the smallest exponential keys. A root reads the samples of the stream its hash names. One rule holds
-    for all degrees and weights; a node's neighbours are never listed per root, and Spark cuts each task's
-    part of a hot node to ``width`` rows before the shuffle.
+    Every (root, node) draws for itself, one neighbour after the other with a chance proportional to the weight
+    among those not taken yet: a band by count times greatest weight, a rank in it, and the neighbour
+    stands with the chance weight / greatest weight, at least one half. A draw is a look-up of (node, band, rank), so
+    a node's neighbours are never listed per root, and a hub's draws go to as many tasks as it has
+    ranks. A round holds ``2 * width`` draws; a neighbour met again in the round is passed over, and pairs still short of ``width``
+    go into another round; that a round brings a pair nothing has a chance of at most one in 4 ** ``width``.
     """
-    key = -F.log(_uniform(F.lit(seed), F.lit(hop), "stream", "node", "nbr")) / F.col("w")
-    rank = F.row_number().over(Window.partitionBy("node", "stream").orderBy("key", "nbr"))
-    keyed = nbrs.withColumn("stream", F.explode(F.sequence(F.lit(0), F.lit(streams - 1)))).withColumn("key", key)
-    sample = keyed.withColumn("_rk", rank).filter(F.col("_rk") <= width).select("node", F.col("stream").cast("long").alias("stream"), "nbr")
-    return frontier.withColumn("stream", _stream("root", streams)).join(sample, ["node", "stream"]).select("root", "node", "nbr")
+    out = [frontier.join(table.few, "node").select("root", "node", "nbr")]
+    none = F.array().cast("array<struct<band:int,rank:bigint,nbr:string>>")
+    state = checkpointed(frontier.join(table.bands, "node").select("root", "node", "bands", none.alias("taken")))
+    turn = 0
+    while not state.isEmpty():
+        state = checkpointed(_draw_round(state, table.slots, width, seed, hop, turn))
+        full = F.size("taken") >= width
+        out.append(state.where(full).select("root", "node", F.explode("taken.nbr").alias("nbr")))
+        state = state.where(~full)
+        turn += 1
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 def sample_context(roots: DataFrame, e: DataFrame, width: int = 6, depth: int = 2, method: str = "uniform", seed: int = 2020) -> DataFrame:
     """(root, node, hop): sampled neighbourhood of each root, each node once."""
-    nbrs = checkpointed(neighbors(e, method))
+    table = lots(checkpointed(neighbors(e, method)), width)
     frontier = roots.select(F.col("node").alias("root"), "node")
     seen = frontier
     out = []
     for hop in range(1, depth + 1):
-        found = draw(frontier, nbrs, width, seed, hop).select("root", F.col("nbr").alias("node")).distinct()
+        found = draw(frontier, table, width, seed, hop).select("root", F.col("nbr").alias("node")).distinct()
         frontier = checkpointed(found.join(seen, ["root", "node"], "left_anti"))
         seen = seen.unionByName(frontier)
         out.append(frontier.withColumn("hop", F.lit(hop)))
@@ -181,6 +248,7 @@ def sample_budget(seeds: DataFrame, e: DataFrame, ts_max: int, width: int = 6, d
     typed = both.select(F.concat_ws("\x01", "edge_type", "src").alias("src"), F.col("dst"), F.lit("g").alias("src_type"), F.col("dst_type"), "edge_type", "ts")
     # one line per (edge type, node): the draw then works per type
     nbrs = checkpointed(neighbors(typed.select("src", "dst", "src_type", "dst_type", "ts")).filter(F.contains("node", F.lit("\x01"))))
+    table = lots(nbrs, width)
     kinds = both.select("edge_type").distinct()
     frontier = seeds.select("node").distinct()
     picked = frontier.withColumn("layer", F.lit(0))
@@ -188,7 +256,7 @@ def sample_budget(seeds: DataFrame, e: DataFrame, ts_max: int, width: int = 6, d
         keyed = frontier.join(F.broadcast(kinds)).select(  # a handful of edge types
             F.lit("all").alias("root"), F.concat_ws("\x01", "edge_type", "node").alias("node")
         )
-        offers = draw(keyed, nbrs, width, seed, layer).join(nbrs.select("node", "nbr", "degree"), ["node", "nbr"])
+        offers = draw(keyed, table, width, seed, layer).join(nbrs.select("node", "nbr", "degree"), ["node", "nbr"])
         budget = offers.groupBy("nbr").agg(F.sum(1.0 / F.col("degree")).alias("_w"))
         budget = budget.join(node_ts, "nbr", "left").filter(F.coalesce("_ts", F.lit(ts_max)) <= ts_max)
         fresh = budget.join(picked.select(F.col("node").alias("nbr")), "nbr", "left_anti")

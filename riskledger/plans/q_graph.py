@@ -123,25 +123,49 @@ view("v_und", "v_gedges", "SELECT src AS node, dst AS nbr, dst_type AS t FROM v_
 view("v_degree", "v_und", "SELECT node, count(*) AS degree FROM v_und GROUP BY 1")
 view("v_groot", "v_labeled", "SELECT 'tx:' || transaction_id AS root FROM v_labeled WHERE pseudo_label >= 0")
 _HEX = "(('0x' || substr(md5({key}), 1, {n}))::BIGINT)"
-_WEIGHT = {"uniform": "1.0", "dw": "e.degree / y.n", "dw0-ntw1": "1.0 / y.n", "dw1-ntw0": "e.degree"}
+_WEIGHT = {"uniform": "1.0", "dw": "e.degree * y.tw", "dw0-ntw1": "y.tw", "dw1-ntw0": "e.degree"}
 
 
-def _samples(method, hop, width, und="v_und", seed=2020):
-    """SQL of the samples of every node: node, stream, nbr."""
-    u = "(" + _HEX.format(key=f"concat_ws('|', {seed}, {hop}, stream, u.node, u.nbr)", n=13) + " + 0.5::DOUBLE) / 4503599627370496::DOUBLE"
-    extra = "" if method == "uniform" else " JOIN v_degree e ON e.node = u.nbr JOIN (SELECT type, count(*)::DOUBLE AS n FROM (SELECT src AS node, src_type AS type FROM v_gedges UNION SELECT dst, dst_type FROM v_gedges) GROUP BY 1) y ON y.type = u.t"
-    return f"(SELECT node, stream, nbr FROM (SELECT u.node, stream, u.nbr, row_number() OVER (PARTITION BY u.node, stream ORDER BY -ln({u}) / ({_WEIGHT[method]})::DOUBLE, u.nbr) AS rk FROM {und} u{extra}, range(16) s(stream)) WHERE rk <= {width})"
+_TURNS = 6
 
 
-_ROOT_STREAM = _HEX.format(key="root", n=6) + " % 16"
+def _lots(method, width, und="v_und"):
+    """SQL tables few (node, nbr), slots (node, band, rank, nbr, w) and bands (node, band, n, top)."""
+    extra = "" if method == "uniform" else " JOIN v_degree e ON e.node = u.nbr JOIN (SELECT type, 1.0::DOUBLE / count(*) AS tw FROM (SELECT src AS node, src_type AS type FROM v_gedges UNION SELECT dst, dst_type FROM v_gedges) GROUP BY 1) y ON y.type = u.t"
+    return f"""weighted AS MATERIALIZED (SELECT u.node, u.nbr, ({_WEIGHT[method]})::DOUBLE AS w, count(*) OVER (PARTITION BY u.node) AS degree FROM {und} u{extra}),
+    few AS (SELECT node, nbr FROM weighted WHERE degree <= {width}),
+    slots AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY node, band ORDER BY nbr) - 1 AS rank FROM (SELECT node, nbr, w, floor(ln(w) / ln(2.0::DOUBLE))::INT AS band FROM weighted WHERE degree > {width})),
+    bands AS MATERIALIZED (SELECT node, band, count(*) AS n, max(w) AS top FROM slots GROUP BY 1, 2)"""
+
+
+def _drawn(name, frontier, width, hop, seed=2020):
+    """SQL tables that end in ``name`` (root, node, nbr): what each (root, node) of ``frontier`` draws for itself."""
+
+    def part(start, n):
+        return f"((('0x' || substr(h, {start}, {n}))::BIGINT + 0.5::DOUBLE) / {16**n}::DOUBLE)"
+
+    out = [f"{name}_t0 AS (SELECT root, node, band, rank, nbr FROM {frontier} JOIN slots USING (node) WHERE false)"]
+    for i in range(_TURNS):
+        n = f"{name}_{{}}{i}".format
+        out.append(f"""{n('p')} AS MATERIALIZED (SELECT root, node, coalesce(got, 0) AS got FROM (SELECT root, node FROM {frontier} WHERE node IN (SELECT node FROM bands)) LEFT JOIN (SELECT root, node, count(*) AS got FROM {n('t')} GROUP BY 1, 2) USING (root, node) WHERE coalesce(got, 0) < {width}),
+        {n('l')} AS MATERIALIZED (SELECT *, max(hi) OVER (PARTITION BY root, node) AS total FROM (SELECT *, sum(n * top) OVER (PARTITION BY root, node ORDER BY band) AS hi FROM (SELECT p.root, p.node, b.band, b.n - coalesce(len(ranks), 0) AS n, b.top, coalesce(ranks, []) AS ranks
+          FROM {n('p')} p JOIN bands b USING (node) LEFT JOIN (SELECT root, node, band, list_sort(list(rank)) AS ranks FROM {n('t')} GROUP BY 1, 2, 3) t ON t.root = p.root AND t.node = p.node AND t.band = b.band))),
+        {n('d')} AS MATERIALIZED (SELECT root, node, j, md5(concat_ws('|', {seed}, {hop}, {i}, j, root, node)) AS h FROM {n('p')}, range({2 * width}) r(j)),
+        {n('b')} AS MATERIALIZED (SELECT root, node, j, h, arg_min(l, band) AS l FROM {n('d')} JOIN {n('l')} l USING (root, node) WHERE l.hi > {part(1, 10)} * l.total GROUP BY 1, 2, 3, 4),
+        {n('k')} AS MATERIALIZED (SELECT root, node, j, l.band AS band, floor({part(11, 13)} * l.n)::BIGINT AS k, l.ranks AS ranks, {part(24, 9)} * l.top AS y FROM {n('b')}),
+        {n('h')} AS (SELECT k.root, k.node, s.band, s.rank, s.nbr, min(j) AS j FROM (SELECT *, k + len(list_filter(ranks, lambda x, i: x - (i - 1) <= k)) AS rank FROM {n('k')}) k JOIN slots s ON s.node = k.node AND s.band = k.band AND s.rank = k.rank WHERE y < w GROUP BY 1, 2, 3, 4, 5),
+        {name}_t{i + 1} AS MATERIALIZED (SELECT * FROM {n('t')} UNION ALL SELECT root, node, band, rank, nbr FROM (SELECT h.*, row_number() OVER (PARTITION BY h.root, h.node ORDER BY j) + got AS place FROM {n('h')} h JOIN {n('p')} p ON p.root = h.root AND p.node = h.node) WHERE place <= {width})""")
+    out.append(f"{name} AS MATERIALIZED (SELECT root, node, nbr FROM {frontier} JOIN few USING (node) UNION ALL SELECT root, node, nbr FROM {name}_t{_TURNS})")
+    return ",\n".join(out)
+
 
 for _m in ("uniform", "dw", "dw0-ntw1", "dw1-ntw0"):
 
     @query(
         f"graph_sample_{_m.replace('-', '_')}",
         "GRF-05" if _m == "uniform" else "GRF-06",
-        f"""WITH h1 AS (SELECT DISTINCT root, nbr AS node FROM (SELECT root, {_ROOT_STREAM} AS stream FROM v_groot) r JOIN {_samples(_m, 1, 6)} s ON s.node = r.root AND s.stream = r.stream WHERE nbr <> root),
-        h2 AS (SELECT DISTINCT h.root, s.nbr AS node FROM (SELECT root, node, {_ROOT_STREAM} AS stream FROM h1) h JOIN {_samples(_m, 2, 6)} s ON s.node = h.node AND s.stream = h.stream)
+        f"""WITH {_lots(_m, 6)}, start AS (SELECT root, root AS node FROM v_groot), {_drawn('d1', 'start', 6, 1)},
+        h1 AS MATERIALIZED (SELECT DISTINCT root, nbr AS node FROM d1 WHERE nbr <> root), {_drawn('d2', 'h1', 6, 2)}, h2 AS (SELECT DISTINCT root, nbr AS node FROM d2)
         SELECT root, node, 1 AS hop FROM h1 UNION ALL SELECT root, node, 2 FROM h2 WHERE node <> root AND NOT EXISTS (SELECT 1 FROM h1 WHERE h1.root = h2.root AND h1.node = h2.node)""",
         "v_groot v_und v_degree v_gedges",
     )
@@ -149,10 +173,29 @@ for _m in ("uniform", "dw", "dw0-ntw1", "dw1-ntw0"):
         return graph.sample_context(_roots(spark, sf), _edges(spark, sf, True), 6, 2, _m)
 
 
-@query("graph_sample_budget", "GRF-07")
+_TS_MAX = 1_706_000_000
+
+
+def _layer(i):
+    """SQL tables of one layer of the budget sample, from all nodes picked before it."""
+    u = _HEX.format(key=f"concat_ws('|', 2020, {i}, nbr)", n=13)
+    return f"""f{i} AS (SELECT 'all' AS root, edge_type || chr(1) || node AS node FROM p{i - 1}, kinds WHERE layer = {i - 1}), {_drawn(f'd{i}', f'f{i}', 8, i)},
+    n{i} AS MATERIALIZED (SELECT nbr AS node, {i} AS layer FROM (SELECT nbr, sum(1.0::DOUBLE / degree) AS w FROM d{i} JOIN weighted USING (node, nbr) GROUP BY 1) LEFT JOIN born USING (nbr)
+      WHERE coalesce(ts, {_TS_MAX}) <= {_TS_MAX} AND nbr NOT IN (SELECT node FROM p{i - 1}) ORDER BY -ln(({u} + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / (w * w), nbr LIMIT 8),
+    p{i} AS (SELECT * FROM p{i - 1} UNION ALL SELECT * FROM n{i})"""
+
+
+@query(
+    "graph_sample_budget",
+    "GRF-07",
+    f"""WITH both_ways AS (SELECT src, dst, edge_type FROM v_gedges UNION ALL SELECT dst, src, 'rev_' || edge_type FROM v_gedges), kinds AS (SELECT DISTINCT edge_type FROM both_ways),
+    typed AS (SELECT DISTINCT edge_type || chr(1) || src AS node, dst AS nbr FROM both_ways), {_lots('uniform', 8, 'typed')}, born AS (SELECT src AS nbr, min(ts) AS ts FROM v_gedges GROUP BY 1),
+    p0 AS (SELECT root AS node, 0 AS layer FROM v_groot), {_layer(1)}, {_layer(2)} SELECT * FROM p2""",
+    "v_groot v_gedges",
+)
 def graph_sample_budget(spark, sf):
     e = _edges(spark, sf, True)
-    return graph.sample_budget(_roots(spark, sf), e, 1_706_000_000, 8, 2)
+    return graph.sample_budget(_roots(spark, sf), e, _TS_MAX, 8, 2)
 
 
 def _vectors(spark, sf):

@@ -42,6 +42,39 @@ def test_sampling_respects_width_and_never_revisits(spark, star, method):
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, graph.sample_context(roots, star, 4, 2, method).collect()))
 
 
+def test_every_root_draws_for_itself(spark):
+    hub = spark.range(3000).select(F.lit("hub").alias("node"), F.format_string("n%04d", "id").alias("nbr"), F.lit(1.0).alias("w"), F.lit(3000).cast("long").alias("degree"))
+    roots = spark.range(400).select(F.col("id").cast("string").alias("root"), F.lit("hub").alias("node"))
+    out = graph.draw(roots, graph.lots(hub, 6), 6, 1, 1)
+    assert {r["count"] for r in out.distinct().groupBy("root").count().collect()} == {6}
+    seen = out.select("nbr").distinct().count()
+    assert 1500 < seen < 1800  # 3000 * (1 - exp(-2400 / 3000)) = 1652
+
+
+def test_draws_follow_the_weights_without_replacement(spark):
+    from itertools import permutations
+
+    weights = {"a": 1.0, "b": 2.0, "c": 3.0, "d": 10.0}
+    chance = dict.fromkeys(weights, 0.0)
+    for x, y in permutations(weights, 2):
+        p = weights[x] / 16 * weights[y] / (16 - weights[x])
+        chance[x] += p
+        chance[y] += p
+    nbrs = spark.createDataFrame([("n", k, w, 4) for k, w in weights.items()], "node string, nbr string, w double, degree long")
+    roots = spark.range(6000).select(F.col("id").cast("string").alias("root"), F.lit("n").alias("node"))
+    got = {r.nbr: r["count"] / 6000 for r in graph.draw(roots, graph.lots(nbrs, 2), 2, 1, 1).groupBy("nbr").count().collect()}
+    assert all(abs(got[k] - chance[k]) < 0.025 for k in weights), (got, chance)
+
+
+def test_one_heavy_neighbour_does_not_hold_up_the_rest(spark):
+    rows = [("n", "heavy", 1e9, 9)] + [("n", f"l{i}", 1.0, 9) for i in range(8)] + [("m", "x", 1.0, 2), ("m", "y", 5.0, 2)]
+    nbrs = spark.createDataFrame(rows, "node string, nbr string, w double, degree long")
+    roots = spark.createDataFrame([(str(i), n) for i in range(50) for n in ("n", "m", "none")], "root string, node string")
+    out = graph.draw(roots, graph.lots(nbrs, 6), 6, 1, 1).collect()
+    assert sum(r.nbr == "heavy" for r in out) == 50 and sum(r.node == "n" for r in out) == 300 and sum(r.node == "m" for r in out) == 100
+    assert len(set(out)) == len(out)
+
+
 def test_budget_sample(spark, star):
     seeds = spark.createDataFrame([("tx:001",), ("tx:002",)], "node string")
     out = graph.sample_budget(seeds, star, 100, 5, 2).collect()
