@@ -100,6 +100,13 @@ def stream_velocity_state(spark, sf):
     return _tracked(p.run_to_files(p.track(_stream(spark, sf), GAP)))
 
 
+@query("stream_velocity_expiring", "STR-01", _TRACK_SQL, "v_tracked")
+def stream_velocity_expiring(spark, sf):
+    """The state leaves the store when a card has been idle for an hour of the store's clock."""
+    rows = spark.read.parquet(f"{sf}/events.parquet").count()
+    return _tracked(p.run_until_read(p.track(_stream(spark, sf), GAP, ttl_ms=3_600_000), rows))
+
+
 view(
     "v_stream_scored",
     "v_tracked",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from bisect import insort
 from collections import Counter, deque
 from collections.abc import Callable, Iterator
@@ -96,7 +97,7 @@ _STATE = T.StructType(
         T.StructField("count", T.LongType()),
         T.StructField("latitude", T.DoubleType()),
         T.StructField("longitude", T.DoubleType()),
-        T.StructField("seen", T.TimestampType()),
+        T.StructField("us", T.LongType()),
     ]
 )
 
@@ -117,13 +118,15 @@ class VelocityProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self.state.get() if self.state.exists() else None
-        for r in sorted(rows, key=lambda x: (x["event_time"], x["transaction_id"])):
-            fresh = held is None or (r["event_time"] - held[3]).total_seconds() > self.gap_seconds
+        for r in sorted(rows, key=lambda x: (x["us"], x["transaction_id"])):
+            row = r.asDict()
+            us = row.pop("us")
+            fresh = held is None or us - held[3] > self.gap_seconds * SECOND
             count = 1 if fresh else held[0] + 1
             lat, lon = (r["latitude"], r["longitude"]) if fresh else (held[1], held[2])
-            diff = 0 if fresh else int((r["event_time"] - held[3]).total_seconds())
-            held = (count, r["latitude"], r["longitude"], r["event_time"])
-            yield Row(**r.asDict(), velocity=count, last_latitude=lat, last_longitude=lon, time_diff_seconds=diff)
+            diff = 0 if fresh else int((us - held[3]) / SECOND)
+            held = (count, r["latitude"], r["longitude"], us)
+            yield Row(**row, velocity=count, last_latitude=lat, last_longitude=lon, time_diff_seconds=diff)
         if held is not None:
             self.state.update(held)
 
@@ -140,7 +143,7 @@ def track(events: DataFrame, gap_seconds: int = 60, ttl_ms: int | None = None) -
     use_rocksdb(events.sparkSession)
     mode = "ProcessingTime" if ttl_ms else "None"
     out = (
-        events.select(*EVENT.fieldNames())
+        events.select(*EVENT.fieldNames(), F.unix_micros("event_time").alias("us"))
         .groupBy("card_id")
         .transformWithState(VelocityProcessor(gap_seconds, ttl_ms), TRACKED, "Append", mode)
     )
@@ -192,27 +195,31 @@ COLLECTIVE = T.StructType(
 class CollectiveProcessor(StatefulProcessor):
     """Per (kind, key): cards and rows of the last hour, cards of the last day and ever, rows ever.
 
-    Kept are the rows of the last day, from which older rows go as newer ones come, the cards ever seen
-    and the number of rows; each is read once per batch. The counts are those of rows that arrived so far.
+    Kept are the rows of the last day, which are read once per batch, a map entry per card ever seen, of which
+    a batch looks up its own cards only, and the number of rows and cards. Older rows go as newer ones come; once the
+    watermark is a day past the newest, a timer drops what an idle key still holds. The counts are those of rows that arrived so far.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.recent = handle.getListState("recent", T.StructType([T.StructField("us", T.LongType()), T.StructField("card_id", T.StringType())]))
-        self.ever = handle.getListState("ever", T.StructType([T.StructField("card_id", T.StringType())]))
-        self.total = handle.getValueState("total", T.StructType([T.StructField("rows", T.LongType())]))
+        self.ever = handle.getMapState("ever", T.StructType([T.StructField("card_id", T.StringType())]), T.StructType([T.StructField("us", T.LongType())]))
+        self.total = handle.getValueState("total", T.StructType([T.StructField(c, T.LongType()) for c in ("rows", "cards", "timer_ms")]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = sorted((r[0], r[1]) for r in self.recent.get()) if self.recent.exists() else []
         newest = held[-1][0] if held else None
-        ever = {x[0] for x in self.ever.get()} if self.ever.exists() else set()
-        total = self.total.get()[0] if self.total.exists() else 0
-        fresh, day, hour = [], None, None
+        total, cards, timer = self.total.get() if self.total.exists() else (0, 0, None)
+        met = set()
+        day, hour = None, None
         for r in sorted(rows, key=lambda x: (x["us"], x["transaction_id"])):
             card, us = r["card_id"], r["us"]
             total += 1
-            if card not in ever:
-                ever.add(card)
-                fresh.append((card,))
+            if card not in met:
+                met.add(card)
+                if not self.ever.containsKey((card,)):
+                    self.ever.updateValue((card,), (us,))
+                    cards += 1
             if newest is not None and us < newest:  # late: counted among the rows up to its own time
                 insort(held, (us, card))
                 own = [x for x in held if us - DAY <= x[0] <= us]
@@ -224,11 +231,21 @@ class CollectiveProcessor(StatefulProcessor):
                 day.add(us, card, DAY)
                 hour.add(us, card, HOUR)
                 counts = len(hour.cards), len(day.cards), len(hour.rows)
-            yield Row(transaction_id=r["transaction_id"], kind=key[0], unique_60m=counts[0], unique_24h=counts[1], unique_total=len(ever), count_60m=counts[2], count_total=total)
-        self.recent.put(list(day.rows) if day else held)
-        if fresh:
-            self.ever.appendList(fresh)
-        self.total.update((total,))
+            yield Row(transaction_id=r["transaction_id"], kind=key[0], unique_60m=counts[0], unique_24h=counts[1], unique_total=cards, count_60m=counts[2], count_total=total)
+        kept = list(day.rows) if day else held
+        self.recent.put(kept)
+        idle = (kept[-1][0] + DAY) // 1000 + 1
+        if idle != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(idle)
+        self.total.update((total, cards, idle))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.recent.clear()
+        total, cards, _ = self.total.get()
+        self.total.update((total, cards, None))
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -251,11 +268,12 @@ class _Seen:
         self.cards[card] += 1
 
 
-def collective(events: DataFrame) -> DataFrame:
+def collective(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Collective counts of every row for its merchant, device, address, address prefix and cluster.
 
     ``events``: transaction_id, card_id, us, merchant_name, merchant_category, merchant_country, device_id,
-    ip_address. One row per row and kind; absent devices and addresses have none.
+    ip_address. One row per row and kind; absent devices and addresses have none. Rows more than ``late``
+    behind the newest time of an earlier batch are dropped.
     """
     use_rocksdb(events.sparkSession)
     c = F.col
@@ -272,8 +290,9 @@ def collective(events: DataFrame) -> DataFrame:
             one("cluster", F.concat_ws("|", "merchant_name", "merchant_category", "merchant_country")),
         )
     )
-    rows = events.select(F.explode(kinds).alias("k"), "transaction_id", "card_id", "us").select("k.kind", "k.key", "transaction_id", "card_id", "us")
-    return rows.groupBy("kind", "key").transformWithState(CollectiveProcessor(), COLLECTIVE, "Append", "None")
+    timed = events.withColumn("event_time", F.timestamp_micros("us")).withWatermark("event_time", late)
+    rows = timed.select(F.explode(kinds).alias("k"), "transaction_id", "card_id", "us", "event_time").select("k.kind", "k.key", "transaction_id", "card_id", "us", "event_time")
+    return rows.groupBy("kind", "key").transformWithState(CollectiveProcessor(), COLLECTIVE, "Append", "EventTime")
 
 
 def burst_score(unique_60m: Column, count_60m: Column) -> Column:
@@ -368,3 +387,33 @@ def merge_review_state(current: DataFrame, events: DataFrame) -> DataFrame:
     return current.select("transaction_id", "status", "seq").unionByName(new).groupBy("transaction_id").agg(
         F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq")
     )
+
+
+def run_until_read(stream: DataFrame, rows: int, seconds: float = 600) -> DataFrame:
+    """Run a stream whose clock goes on, as one with ``ttl_ms`` does, until it has read ``rows``; then read back what it wrote.
+
+    A ``TimeoutError`` tells that it has not read them in ``seconds``.
+    """
+    spark = stream.sparkSession
+    base = scratch(spark, "stream")
+
+    def write(df, batch_id):
+        df.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/ck").outputMode("append").trigger(processingTime="1 second").start()
+    end = time.monotonic() + seconds
+    read: dict[int, int] = {}
+    try:
+        while sum(read.values()) < rows:
+            if query.exception() is not None:
+                raise query.exception()
+            if time.monotonic() > end:
+                raise TimeoutError(f"{sum(read.values())} of {rows} rows read in {seconds} s")
+            time.sleep(0.2)
+            # a batch reports when it has been written
+            for r in query.recentProgress:
+                report = r if isinstance(r, dict) else json.loads(r.json)
+                read[report["batchId"]] = int(report["numInputRows"])
+    finally:
+        query.stop()
+    return spark.read.schema(stream.schema).option("basePath", f"{base}/out").parquet(f"{base}/out").drop("batch_id")

@@ -3,8 +3,10 @@
 import random
 
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from riskledger.operators.frames import DAY, HOUR
+from riskledger.streaming import pipeline as p
 from riskledger.streaming.pipeline import CollectiveProcessor
 
 
@@ -26,13 +28,35 @@ class Held:
     def update(self, value):
         self.rows = value
 
-    def appendList(self, rows):
-        self.rows = [*(self.rows or []), *rows]
+    def clear(self):
+        self.rows = None
+
+
+class HeldMap(dict):
+    """Map state in memory."""
+
+    def __init__(self):
+        self.asked = 0
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in self
+
+    updateValue = dict.__setitem__
 
 
 class Handle:
     def __init__(self):
-        self.states = {}
+        self.states, self.timers = {}, set()
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, HeldMap())
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.remove(ms)
 
     def getListState(self, name, *_):
         return self.states.setdefault(name, Held())
@@ -74,4 +98,51 @@ def test_batches_and_late_rows():
 def test_only_the_last_day_is_kept():
     batches = [[(f"{d}-{i}", f"c{d}-{i}", d * DAY + i) for i in range(50)] for d in range(1, 20, 2)]
     _, handle = run(batches)
-    assert len(handle.states["recent"].rows) == 50 and len(handle.states["ever"].rows) == 500 and handle.states["total"].rows == (500,)
+    idle = (19 * DAY + 49 + DAY) // 1000 + 1
+    assert len(handle.states["recent"].rows) == 50 and len(handle.states["ever"]) == 500 and handle.states["total"].rows == (500, 500, idle)
+    assert handle.timers == {idle}
+    assert handle.states["ever"].asked == 500  # a batch looks up its own cards alone
+
+
+def test_an_idle_key_keeps_no_rows():
+    handle, processor = Handle(), CollectiveProcessor()
+    processor.init(handle)
+    rows = [Row(transaction_id=f"t{i}", card_id=f"c{i % 3}", us=DAY + i) for i in range(9)]
+    list(processor.handleInputRows(("ip", "x"), iter(rows), None))
+    assert list(processor.handleExpiredTimer(("ip", "x"), None, None)) == [] and not handle.states["recent"].exists()
+    (again,) = processor.handleInputRows(("ip", "x"), iter([Row(transaction_id="u", card_id="c0", us=5 * DAY)]), None)
+    assert (again.unique_60m, again.unique_24h, again.unique_total, again.count_60m, again.count_total) == (1, 1, 3, 1, 10)
+
+
+def _events(spark, path, rows):
+    """One more file of parsed events: transaction, card, seconds."""
+    made = spark.createDataFrame([(t, c, float(s)) for t, c, s in rows], "transaction_id string, card_id string, s double")
+    cols = [F.col(f.name) if f.name in made.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in p.EVENT_ROW if f.name != "event_time"]
+    place = {"latitude": F.lit(1.0), "longitude": F.lit(2.0)}
+    made.select(*cols, F.timestamp_seconds("s").alias("event_time")).withColumns(place).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_idle_cards_leave_the_store(spark, tmp_path):
+    def velocity(ttl_ms):
+        path = str(tmp_path / f"ttl{ttl_ms}")
+        _events(spark, path, [("a1", "a", 0), ("b1", "b", 0)])
+        _events(spark, path, [("a2", "a", 10)])
+        stream = spark.readStream.schema(p.EVENT_ROW).option("maxFilesPerTrigger", 1).parquet(path)
+        return {r.transaction_id: r.velocity for r in p.run_until_read(p.track(stream, 60, ttl_ms), 3, 120).collect()}
+
+    assert velocity(3_600_000) == {"a1": 1, "b1": 1, "a2": 2}
+    assert velocity(1) == {"a1": 1, "b1": 1, "a2": 1}  # gone before the second file is read
+
+
+def test_collective_over_files_and_past_a_day(spark, tmp_path):
+    """Three files, the last one days later: timers fire between them, the counts are those of one pass."""
+    batches = [[(f"{b}-{i}", f"c{i % 4}", (10 + d) * DAY + i * 1_000_000) for i in range(12)] for b, d in enumerate((0, 0.1, 5))]
+    batches = [[(t, c, int(us)) for t, c, us in x] for x in batches]
+    path = str(tmp_path / "in")
+    schema = "transaction_id string, card_id string, us long, merchant_name string, merchant_category string, merchant_country string, device_id string, ip_address string"
+    for x in batches:
+        spark.createDataFrame([(t, c, us, "m", "k", "US", "", "") for t, c, us in x], schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = p.run_to_files(p.collective(stream)).where("kind = 'merchant'").collect()
+    cols = ("transaction_id", "unique_60m", "unique_24h", "unique_total", "count_60m", "count_total")
+    assert sorted(tuple(r[c] for c in cols) for r in got) == sorted(brute(batches))
