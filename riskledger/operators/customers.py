@@ -185,11 +185,14 @@ def unbilled_hours(entries: DataFrame, projects: DataFrame) -> DataFrame:
     )
 
 
-def project_list(projects: DataFrame, entries: DataFrame) -> DataFrame:
+def project_list(projects: DataFrame, entries: DataFrame, tags: DataFrame) -> DataFrame:
+    """Projects with time, value, users and number of tags; ``tags`` holds a row per project_id and tag."""
     per = entries.groupBy("project_id").agg(F.sum("duration").alias("total_duration"), F.countDistinct("assigned_id").alias("users"))
     amount = F.round(F.coalesce("rate", F.lit(0)) * F.col("total_duration") / 3600, 2).cast(D2)
+    tagged = tags.groupBy(F.col("project_id").alias("id")).agg(F.count("*").alias("tags"))
     return (
         projects.join(per, projects.id == per.project_id, "left")
-        .na.fill(0, ["total_duration", "users"])
-        .select("id", "name", "status", "total_duration", "users", amount.alias("total_amount"))
+        .join(tagged, "id", "left")
+        .na.fill(0, ["total_duration", "users", "tags"])
+        .select("id", "name", "status", "total_duration", "users", "tags", amount.alias("total_amount"))
     )

@@ -12,6 +12,23 @@ from ..functions import text as tx
 from .linkage import similar_names
 
 
+def institutions(rows: DataFrame, country: str, search: str | None = None, limit: int = 50, without_providers: tuple[str, ...] = (), without_ids: tuple[str, ...] = ()) -> DataFrame:
+    """Active institutions of a country: by fit to ``search``, then popularity, then id.
+
+    With a search, those whose name holds it (any case) or fits it above 0.3; without one, or with ``*``, all.
+    """
+    out = rows.where((F.col("status") == "active") & F.array_contains("countries", country))
+    if without_providers:
+        out = out.where(~F.col("provider").isin(*without_providers))
+    if without_ids:
+        out = out.where(~F.col("id").isin(*without_ids))
+    if not search or search == "*":
+        return out.withColumn("fit", F.lit(0.0)).orderBy(F.desc("popularity"), "id").limit(limit)
+    fits = out.withColumn("fit", tx.word_similarity(F.lit(search), F.col("name")))
+    held = F.contains(F.lower("name"), F.lit(search.lower()))
+    return fits.where(held | (F.col("fit") > 0.3)).orderBy(F.desc("fit"), F.desc("popularity"), "id").limit(limit)
+
+
 def has_key(rows: DataFrame, other: DataFrame, key: str, name: str) -> DataFrame:
     """Add a flag whether the row's key occurs in ``other``."""
     marks = other.select(key).distinct().withColumn(name, F.lit(True))

@@ -442,12 +442,14 @@ def time_unbilled(spark, sf):
 @query(
     "time_projects",
     "AGG-39",
-    f"""SELECT id, name, status, total_duration, users, total_amount FROM (SELECT p.id, p.name, p.status, sum(duration) AS total_duration, count(DISTINCT assigned_id) AS users, CAST({_H} AS DECIMAL(28,2)) AS total_amount
-    FROM v_project p JOIN v_time_entry e ON e.project_id = p.id GROUP BY p.id, p.name, p.status, p.rate)""",
+    f"""SELECT id, name, status, total_duration, users, coalesce(tags, 0) AS tags, total_amount FROM (SELECT p.id, p.name, p.status, sum(duration) AS total_duration, count(DISTINCT assigned_id) AS users, CAST({_H} AS DECIMAL(28,2)) AS total_amount
+    FROM v_project p JOIN v_time_entry e ON e.project_id = p.id GROUP BY p.id, p.name, p.status, p.rate) LEFT JOIN (SELECT project_id AS id, count(DISTINCT assigned_id % 11) AS tags FROM v_time_entry WHERE assigned_id % 13 = 0 GROUP BY 1) USING (id)""",
     "v_project v_time_entry",
 )
 def time_projects(spark, sf):
-    return cu.project_list(v.project(spark, sf), v.time_entry(spark, sf))
+    entries = v.time_entry(spark, sf)
+    tags = entries.where(F.col("assigned_id") % 13 == 0).select("project_id", (F.col("assigned_id") % 11).alias("tag_id")).distinct()
+    return cu.project_list(v.project(spark, sf), entries, tags)
 
 
 _LISTS = {

@@ -310,7 +310,34 @@ def forecast_recurrence_dates(spark, sf):
     return forecast.upcoming(_series(spark, sf), 6).select("id", "k", "date")
 
 
-@query("forecast_recurring_invoices", "AGG-24 FN-18")
+_ZONES = ("America/New_York", "Europe/Berlin", "Asia/Tokyo", "UTC")
+
+
+@query(
+    "forecast_recurrence_instants",
+    "FN-18",
+    f"""WITH s AS (SELECT *, timezone(zone, timezone('UTC', issue_date + to_hours(CAST(id % 24 AS INT)))) AS t FROM (SELECT *, {list(_ZONES)}[CAST(id % 4 + 1 AS INT)] AS zone FROM v_inv0 WHERE invoice_recurring_id IS NOT NULL)),
+    d AS (SELECT *, t::DATE AS d, t - date_trunc('day', t) AS tod, (id % 7 - dayofweek(t::DATE) + 7) % 7 AS ahead FROM s)
+    SELECT id, k, timezone('UTC', timezone(zone, CASE WHEN k = 0 THEN d WHEN id % 2 = 0 THEN last_day(date_trunc('month', d)::DATE + to_months(CAST(k AS INT))) ELSE CAST(d + CAST(CASE WHEN ahead = 0 THEN 7 ELSE ahead END + 7 * (k - 1) AS INT) AS DATE) END::DATE + tod)) AS at
+    FROM d, range(6) r(k) WHERE id % 3 <> 0 OR k < 3""",
+    "v_inv0",
+)
+def forecast_recurrence_instants(spark, sf):
+    """The series start at some hour of UTC and follow the calendar of their own zone."""
+    k = F.col("id")
+    start = F.timestamp_micros(F.unix_micros(F.col("start").cast("timestamp")) + (k % 24) * 3_600_000_000)
+    zone = F.element_at(F.array(*[F.lit(z) for z in _ZONES]), (k % 4 + 1).cast("int"))
+    return forecast.upcoming_at(_series(spark, sf).withColumn("start_at", start).withColumn("timezone", zone), 6).select("id", "k", "at")
+
+
+@query(
+    "forecast_recurring_invoices",
+    "AGG-24 FN-18",
+    """SELECT team_id, date_trunc('month', date)::DATE AS month, CAST(sum(amount) AS DECIMAL(28,2)) AS amount, count(*) AS invoices FROM (SELECT id, team_id, amount, CASE WHEN k = 0 THEN issue_date WHEN id % 2 = 0 THEN last_day(date_trunc('month', issue_date)::DATE + to_months(CAST(k AS INT)))
+      ELSE CAST(issue_date + CAST(CASE WHEN (id % 7 - dayofweek(issue_date) + 7) % 7 = 0 THEN 7 ELSE (id % 7 - dayofweek(issue_date) + 7) % 7 END + 7 * (k - 1) AS INT) AS DATE) END::DATE AS date FROM v_inv0, range(19) t(k) WHERE invoice_recurring_id IS NOT NULL AND (id % 3 <> 0 OR k < 3))
+    WHERE date >= DATE '1999-07-01' AND date < DATE '1999-10-01' GROUP BY 1, 2""",
+    "v_inv0",
+)
 def forecast_recurring_invoices(spark, sf):
     return forecast.recurring_invoice_projection(_series(spark, sf), "1999-06-15", 3)
 

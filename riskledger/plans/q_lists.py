@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import views as v
 from ..operators import linkage, lists, money
 from ..sources import tables as st
+from .q_linkage import grams, wsim
 from .registry import query
 from .views_sql import view
 
@@ -261,6 +262,35 @@ def list_popular_products(spark, sf):
     return by.orderBy(F.desc("usage"), F.desc("last_used"), "product_id").limit(20)
 
 
+_INST = """SELECT s_suppkey AS id, s_name || ' ' || n_name AS name, s_acctbal AS popularity FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  WHERE s_suppkey % 10 <> 0 AND s_suppkey % 3 <> 1 AND r_name = 'ASIA'"""
+
+
+def _institutions(spark, sf):
+    n = v.table(spark, sf, "nation").join(F.broadcast(v.table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # fixed tables
+    s, k = v.table(spark, sf, "supplier"), F.col("s_suppkey")
+    return s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        k.alias("id"), F.concat_ws(" ", "s_name", "n_name").alias("name"), F.array("n_name", "r_name").alias("countries"), F.col("s_acctbal").alias("popularity"),
+        F.concat(F.lit("p"), (k % 3).cast("string")).alias("provider"), F.when(k % 10 == 0, "removed").otherwise("active").alias("status"),
+    )
+
+
+@query("list_institutions", "SRT-10", f"{_INST} ORDER BY popularity DESC, id LIMIT 50")
+def list_institutions(spark, sf):
+    return lists.institutions(_institutions(spark, sf), "ASIA", without_providers=("p1",)).select("id", "name", "popularity")
+
+
+@query(
+    "list_institutions_search",
+    "SRT-10 FN-10",
+    f"""SELECT id, name, popularity, round(fit, 6) AS fit FROM (SELECT *, {wsim('a', 'b')} AS fit FROM (SELECT *, list_distinct({grams("'supplier japan'")}) AS a, {grams('name')} AS b FROM ({_INST})))
+    WHERE contains(lower(name), 'supplier japan') OR fit > 0.3 ORDER BY fit DESC, popularity DESC, id LIMIT 50""",
+)
+def list_institutions_search(spark, sf):
+    out = lists.institutions(_institutions(spark, sf), "ASIA", "Supplier Japan", without_providers=("p1",))
+    return out.select("id", "name", "popularity", F.round("fit", 6).alias("fit"))
+
+
 @query(
     "list_rows_with_tags",
     "JON-06",
@@ -383,6 +413,39 @@ def upsert_products(spark, sf):
     return st.upsert(old, new, ["id"], {"usage_count": F.col("t_usage_count") + 1, "price": F.col("n_price")})
 
 
+@query(
+    "upsert_rates",
+    "SRC-20",
+    """SELECT coalesce(a.base, b.base) AS base, coalesce(a.target, b.target) AS target, coalesce(b.r.rate, a.r.rate) AS rate, coalesce(b.r.at, a.r.at) AS updated_at
+    FROM (SELECT o_orderpriority AS base, CAST(o_custkey % 200 AS VARCHAR) AS target, max({'at': CAST(o_orderdate AS DATE), 'rate': o_totalprice}) AS r FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '1996-01-01' GROUP BY 1, 2) a
+    FULL JOIN (SELECT o_orderpriority AS base, CAST(o_custkey % 200 AS VARCHAR) AS target, max({'at': CAST(o_orderdate AS DATE), 'rate': o_totalprice}) AS r FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1996-01-01' GROUP BY 1, 2) b ON a.base = b.base AND a.target = b.target""",
+)
+def upsert_rates(spark, sf):
+    """The rates of the early orders put into an empty table, those of the later ones over them."""
+    day = F.to_date("o_orderdate")
+    feed = v.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("base"), (F.col("o_custkey") % 200).cast("string").alias("target"), F.col("o_totalprice").alias("rate"), day.alias("updated_at"))
+    early = F.col("updated_at") < F.lit("1996-01-01").cast("date")
+    return st.upsert_rates(st.upsert_rates(feed.limit(0), feed.where(early)), feed.where(~early))
+
+
+@query(
+    "upsert_suggestions",
+    "SRC-20",
+    """SELECT coalesce(a.i, b.i) AS inbox_id, coalesce(a.t, b.t) AS transaction_id, CASE WHEN b.i IS NULL OR a.r.status IN ('confirmed', 'declined') THEN a.r.score ELSE b.r.score END AS confidence,
+      CASE WHEN b.i IS NULL OR a.r.status IN ('confirmed', 'declined') THEN a.r.status ELSE b.r.status END AS status
+    FROM (SELECT l_partkey AS i, l_suppkey AS t, max({'at': l_orderkey * 10 + l_linenumber, 'score': l_discount, 'status': ['confirmed', 'declined', 'pending', 'expired'][CAST(l_orderkey % 4 + 1 AS INT)]}) AS r FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1, 2) a
+    FULL JOIN (SELECT l_partkey AS i, l_suppkey AS t, max({'at': l_orderkey * 10 + l_linenumber, 'score': l_discount, 'status': CASE WHEN l_orderkey % 2 = 0 THEN 'unmatched' ELSE 'pending' END}) AS r FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1, 2) b ON a.i = b.i AND a.t = b.t""",
+)
+def upsert_suggestions(spark, sf):
+    k = F.col("l_orderkey")
+    rows = v.table(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("inbox_id"), F.col("l_suppkey").alias("transaction_id"), F.col("l_discount").alias("confidence"), (k * 10 + F.col("l_linenumber")).alias("updated_at"), k
+    )
+    old = rows.where(k % 3 != 0).withColumn("status", F.element_at(F.array(*[F.lit(s) for s in ("confirmed", "declined", "pending", "expired")]), (k % 4 + 1).cast("int"))).drop("l_orderkey")
+    new = rows.where(k % 3 == 0).withColumn("status", F.when(k % 2 == 0, "unmatched")).drop("l_orderkey")
+    return st.upsert_suggestions(st.upsert_suggestions(old.limit(0), old), new).select("inbox_id", "transaction_id", "confidence", "status")
+
+
 @query(
     "fx_feed_flatten",
     "SRC-18",

@@ -165,6 +165,30 @@ def upsert(target: DataFrame, new: DataFrame, keys: list[str], update: dict[str,
     return t.join(n, keys, "full").select(*keys, *pick)
 
 
+def _newest(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """One row per key: the one with the greatest ``at``, of those the greatest row."""
+    values = [c for c in rows.columns if c not in (*keys, at)]
+    return rows.groupBy(*keys).agg(F.max(F.struct(at, *values)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in (at, *values)]).select(*rows.columns)
+
+
+def upsert_rates(target: DataFrame, new: DataFrame) -> DataFrame:
+    """New snapshot of (base, target, rate, updated_at): a fed pair takes its newest rate, others stay."""
+    keys = ["base", "target"]
+    return upsert(target, _newest(new, keys, "updated_at"), keys, {c: F.col(f"n_{c}") for c in ("rate", "updated_at")})
+
+
+def upsert_suggestions(target: DataFrame, new: DataFrame) -> DataFrame:
+    """New snapshot of match suggestions by (inbox_id, transaction_id).
+
+    A suggestion that a user confirmed or declined stays as it is; any other takes the newest scores. A new one without
+    a status is pending.
+    """
+    keys = ["inbox_id", "transaction_id"]
+    fresh = _newest(new, keys, "updated_at").withColumn("status", F.coalesce("status", F.lit("pending")))
+    decided = F.coalesce(F.col("t_status").isin("confirmed", "declined"), F.lit(False))
+    return upsert(target, fresh, keys, {c: F.when(decided, F.col(f"t_{c}")).otherwise(F.col(f"n_{c}")) for c in target.columns if c not in keys})
+
+
 def flatten_rates(feed: DataFrame) -> DataFrame:
     """(source, date, rates map) to one row per target currency, the source itself left out."""
     out = feed.select(F.col("source").alias("base"), F.explode("rates").alias("target", "rate"), F.col("date").alias("updated_at"))
