@@ -156,6 +156,56 @@ def risk_queue(spark, sf):
     )
 
 
+def _half_up(c, digits):
+    return f"CAST(CAST(CAST({c} AS VARCHAR) AS DECIMAL(38,18)) AS DECIMAL(28,{digits}))"
+
+
+# priority, message and evidence of every reason, as the rules state them
+_SAID = {
+    "CARD_TESTING_VELOCITY": (5, "card_small_tx_count_60m || ' small online transactions on this card within 60 minutes.'", "card_id card_small_tx_count_60m card_online_tx_count_60m amount"),
+    "MERCHANT_BURST": (8, "merchant_name || ' saw ' || merchant_unique_cards_60m || ' unique cards in a 60-minute window.'", "merchant_name merchant_unique_cards_60m merchant_tx_count_60m"),
+    "HIGH_RISK_CATEGORY_AMOUNT": (10, f"'High-value ' || replace(merchant_category, '_', ' ') || ' transaction for CAD ' || format('{{:,}}', CAST(floor({_half_up('amount', 2)}) AS BIGINT)) || right(CAST({_half_up('amount', 2)} AS VARCHAR), 3) || '.'", "merchant_category amount merchant_name"),
+    "REPEATED_HIGH_RISK_CARD_ACTIVITY": (12, "card_high_risk_tx_count_24h || ' high-risk category transactions on this card within 24 hours.'", "card_id card_high_risk_tx_count_24h same_card_same_device_count_24h"),
+    "SPLIT_PURCHASE_PATTERN": (15, "same_card_same_merchant_count_60m || ' same-card merchant transactions clustered within 60 minutes.'", "card_id merchant_name same_card_same_merchant_count_60m same_card_same_merchant_sum_60m"),
+    "NEAR_DUPLICATE_TRANSACTION": (18, "'Similar amount at the same merchant appeared on this card within 24 hours.'", "card_id merchant_name amount"),
+    "AMOUNT_SPIKE_FOR_CARD": (20, f"'Amount is ' || {_half_up('amount_ratio_to_card_median', 1)} || 'x this card''s median transaction.'", "amount card_median_amount amount_ratio_to_card_median robust_z_log_amount"),
+    "NEW_DEVICE_FOR_CARD": (25, "'First observed use of this device for the card.'", "card_id device_id"),
+    "NEW_IP_FOR_CARD": (28, "'First observed use of this IP address for the card.'", "card_id ip_address"),
+    "NEW_CATEGORY_FOR_CARD": (30, "'First observed ' || replace(merchant_category, '_', ' ') || ' transaction category for this card.'", "card_id merchant_category"),
+    "NEW_MERCHANT_FOR_CARD": (32, "'First observed merchant for this card.'", "card_id merchant_name"),
+    "COUNTRY_MISMATCH": (35, "'Merchant country differs from the cardholder country.'", "cardholder_country merchant_country"),
+    "UNUSUAL_COUNTRY_FOR_CARD": (38, "'Merchant country is unusual for this card''s history.'", "card_id merchant_country"),
+    "IP_PREFIX_BURST": (40, "'IP network ' || ip_prefix || ' touched ' || ip_prefix_unique_cards_60m || ' cards within 60 minutes.'", "ip_prefix ip_prefix_unique_cards_60m ip_prefix_tx_count_60m"),
+    "SHARED_DEVICE_ACROSS_CARDS": (42, "'Device used by ' || device_unique_cards_total || ' different cards.'", "device_id device_unique_cards_total"),
+    "SHARED_IP_ACROSS_CARDS": (44, "'IP address used by ' || ip_unique_cards_total || ' different cards.'", "ip_address ip_unique_cards_total"),
+    "RARE_MERCHANT_CATEGORY_COUNTRY": (48, "'Rare merchant/category/country combination in this dataset.'", "merchant_name merchant_category merchant_country merchant_category_country_cluster_count"),
+    "GRAPH_MODEL_SCORE": (50, f"'The graph model scored this transaction at ' || {_half_up('graph_score', 2)} || '.'", "graph_score pseudo_label pseudo_label_source"),
+    "ELEVATED_COMPOSITE_RISK": (80, "'Multiple weak anomaly signals combine into an elevated risk score.'", "risk_score model_consensus"),
+}
+
+
+def _said() -> str:
+    """SQL of one row per reason and piece of evidence."""
+
+    def pieces(names):
+        return "[" + ", ".join(f"{{'name': '{n if n != 'model_consensus' else 'model_consensus_score'}', 'value': coalesce(CAST({n} AS VARCHAR), '')}}" for n in names.split()) + "]"
+
+    cases = [(f"WHEN '{c}' THEN {prio}", f"WHEN '{c}' THEN {text}", f"WHEN '{c}' THEN {pieces(names)}") for c, (prio, text, names) in _SAID.items()]
+    priority, message, evidence = (f"CASE code {' '.join(x)} END" for x in zip(*cases))
+    return f"""SELECT transaction_id, code, severity, priority, message, e.name AS name, round(TRY_CAST(e.value AS DOUBLE), 4) AS number, CASE WHEN TRY_CAST(e.value AS DOUBLE) IS NULL THEN e.value END AS text
+    FROM (SELECT transaction_id, code, severity, {priority} AS priority, {message} AS message, unnest({evidence}) AS e
+      FROM (SELECT *, unnest(codes) AS code, unnest(severities) AS severity FROM v_scored))"""
+
+
+@query("risk_reasons", "FN-04", _said(), "v_scored")
+def risk_reasons(spark, sf):
+    """Every reason of every transaction with its message, a row per piece of evidence."""
+    r = scoring.build_reasons(scored(spark, sf), PARAMS).select("transaction_id", F.explode("reasons").alias("r"))
+    rows = r.select("transaction_id", "r.code", "r.severity", "r.priority", "r.message", F.explode("r.evidence").alias("name", "value"))
+    number = F.expr("try_cast(value AS DOUBLE)")
+    return rows.withColumn("number", F.round(number, 4)).withColumn("text", F.when(number.isNull(), F.col("value"))).drop("value")
+
+
 @query(
     "risk_thresholds",
     "SRT-02",
