@@ -10,7 +10,7 @@ from ..operators import explain, graph, models, ranks, scoring
 from ..session import checkpointed
 from .q_reports import rnd
 from .q_risk import PARAMS
-from .q_scoring import labeled
+from .q_scoring import _RISKY, labeled
 from .registry import query
 from .views_sql import view
 
@@ -206,9 +206,27 @@ def _vectors(spark, sf):
     return graph.context_vectors(tx.select("node"), e, feats)
 
 
-@query("graph_context_vectors", "GRF-08")
+_ALL = [f"f{i}" for i in range(graph.FEATURES)]
+_FEAT_ALL = _FEAT.replace(" FROM v_feat", f", 0.0::DOUBLE AS f8, CASE WHEN {_RISKY} THEN 1.0 ELSE 0.0 END AS f9, CASE WHEN shared_ip_with_other_cards THEN 1.0 ELSE 0.0 END AS f12 FROM v_feat")
+
+
+@query(
+    "graph_context_vectors",
+    "GRF-08",
+    f"""WITH {_lots('uniform', 6)}, start AS (SELECT 'tx:' || transaction_id AS root, 'tx:' || transaction_id AS node FROM v_feat), {_drawn('d1', 'start', 6, 1)},
+    h1 AS MATERIALIZED (SELECT DISTINCT root, nbr AS node FROM d1 WHERE nbr <> root), {_drawn('d2', 'h1', 6, 2)},
+    ctx AS (SELECT * FROM h1 UNION ALL SELECT DISTINCT root, nbr FROM d2 WHERE nbr <> root AND NOT EXISTS (SELECT 1 FROM h1 WHERE h1.root = d2.root AND h1.node = d2.nbr)),
+    tx AS (SELECT node, {', '.join(_ALL)} FROM ({_FEAT_ALL})), feats AS (SELECT * FROM tx UNION ALL SELECT dst, {', '.join(f'avg({c})' for c in _ALL)} FROM v_gedges JOIN tx ON src = tx.node GROUP BY dst),
+    mean AS (SELECT root AS node, count(*) AS n, {', '.join(f'avg({c}) AS c{c[1:]}' for c in _ALL)} FROM ctx JOIN feats USING (node) GROUP BY 1), deg AS (SELECT src AS node, count(DISTINCT dst) AS d FROM v_gedges GROUP BY 1),
+    scale AS (SELECT count(*) FILTER (WHERE type < 'transaction')::DOUBLE / greatest(1, count(*) - 1) AS s FROM (SELECT src_type AS type FROM v_gedges UNION SELECT dst_type FROM v_gedges))
+    SELECT tx.node, {', '.join(f"{rnd(f'tx.{c}', 6)} AS {c}" for c in _ALL)}, {', '.join(f"{rnd(f'coalesce(c{c[1:]}, 0)', 6)} AS c{c[1:]}" for c in _ALL)},
+      round(ln(coalesce(d, 0) + 1.0::DOUBLE), 6) AS log_degree, round(ln(coalesce(n, 0) + 1.0::DOUBLE), 6) AS log_context, round(s, 6) AS type_scale FROM tx LEFT JOIN mean USING (node) LEFT JOIN deg USING (node), scale""",
+    "v_und v_gedges v_feat",
+)
 def graph_context_vectors(spark, sf):
-    return _vectors(spark, sf)
+    out = _vectors(spark, sf)
+    rounded = [round_half_up(F.col(c), 6).alias(c) for c in out.columns if c[0] in "fc"]
+    return out.select("node", *rounded, *[F.round(c, 6).alias(c) for c in ("log_degree", "log_context", "type_scale")])
 
 
 def _model(spark, sf):
