@@ -300,26 +300,45 @@ def search_all(tables: dict[str, tuple[DataFrame, str, str]], q: str, per_table:
 
 
 def similar_vendors(txns: DataFrame, roots: DataFrame, limit: int = 200, floor: float = 0.6) -> DataFrame:
-    """For each root (id, team, name): rows of other ids whose name is equal or similar.
+    """For each root (id, team_id, name, merchant_name): rows of other ids of the same vendor.
 
-    Similarity is worked out between distinct names only; the rows join afterwards.
+    A row is looked at if the root's name or merchant fits the row's name or merchant, and scored by the best of the four
+    pairs, or 0.95 where the merchants are equal in any case. Similarity is worked out between distinct texts and
+    scores between distinct (name, merchant); the rows join afterwards. A missing field fits nothing.
     """
-    names = txns.select("team_id", F.col("merchant_name").alias("name")).distinct()
-    own = roots.select("team_id", F.col("merchant_name").alias("name")).distinct()
-    close = similar_names(own, names).select("team_id", F.col("needle").alias("mine"), F.col("text").alias("other"))
-    score = F.when(F.col("mine") == F.col("other"), 0.95).otherwise(F.round(tx.name_score(F.col("mine"), F.col("other")), 6))
-    pairs = close.withColumn("score", score).filter(F.col("score") >= floor)
-    r = roots.select(F.col("id").alias("root_id"), "team_id", F.col("merchant_name").alias("mine"))
-    hits = r.join(pairs, ["team_id", "mine"]).join(
-        _first_rows(txns, limit + 1).select("team_id", F.col("merchant_name").alias("other"), "id", "date"), ["team_id", "other"]
-    ).filter(F.col("id") != F.col("root_id"))
+    fields = ["name", "merchant_name"]
+    mine, others = (df.select("team_id", *fields).distinct() for df in (roots, txns))
+
+    def texts(df):
+        return df.withColumn("_text", F.explode(F.array(*fields))).where("_text IS NOT NULL")
+
+    def only_text(df):
+        return texts(df).select("team_id", F.col("_text").alias("name")).distinct()
+
+    close = similar_names(only_text(mine), only_text(others)).select("team_id", "needle", "text")
+    m = texts(mine).select("team_id", F.col("name").alias("m_name"), F.col("merchant_name").alias("m_merchant"), F.col("_text").alias("needle"))
+    o = texts(others).select("team_id", F.col("name").alias("o_name"), F.col("merchant_name").alias("o_merchant"), F.col("_text").alias("text"))
+    pairs = m.join(close, ["team_id", "needle"]).join(o, ["team_id", "text"]).select("team_id", "m_name", "m_merchant", "o_name", "o_merchant").distinct()
+    four = [
+        F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), tx.name_score(F.col(x), F.col(y))).otherwise(0.0)
+        for x in ("m_name", "m_merchant")
+        for y in ("o_name", "o_merchant")
+    ]
+    same = F.coalesce(F.lower("m_merchant") == F.lower("o_merchant"), F.lit(False))
+    pairs = pairs.withColumn("score", F.when(same, 0.95).otherwise(F.round(F.greatest(*four), 6))).filter(F.col("score") >= floor)
+    r = roots.select(F.col("id").alias("root_id"), "team_id", "name", "merchant_name")
+    met = [F.col("r.team_id") == F.col("p.team_id"), F.col("r.name").eqNullSafe(F.col("p.m_name")), F.col("r.merchant_name").eqNullSafe(F.col("p.m_merchant"))]
+    wanted = r.alias("r").join(pairs.alias("p"), reduce(lambda x, y: x & y, met)).select("root_id", "p.team_id", "o_name", "o_merchant", "score")
+    rows = _first_rows(txns, limit + 1).select("team_id", "name", "merchant_name", "id", "date")
+    met = [F.col("w.team_id") == F.col("t.team_id"), F.col("w.o_name").eqNullSafe(F.col("t.name")), F.col("w.o_merchant").eqNullSafe(F.col("t.merchant_name"))]
+    hits = wanted.alias("w").join(rows.alias("t"), reduce(lambda x, y: x & y, met)).select("root_id", "id", "date", "score").filter(F.col("id") != F.col("root_id"))
     rank = F.row_number().over(Window.partitionBy("root_id").orderBy(F.desc("score"), F.desc("date"), "id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= limit).select("root_id", "id", "score", "rank")
 
 
 def _first_rows(txns: DataFrame, n: int) -> DataFrame:
     """Newest ``n`` rows per vendor: no list can need more of one vendor."""
-    w = Window.partitionBy("team_id", "merchant_name").orderBy(F.desc("date"), "id")
+    w = Window.partitionBy("team_id", "name", "merchant_name").orderBy(F.desc("date"), "id")
     return txns.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 

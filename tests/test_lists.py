@@ -55,3 +55,15 @@ def test_instants_keep_the_local_time_of_day(spark):
         "biweekly": utc((2024, 3, 14, 22, 30), (2024, 3, 28, 22, 30)),
     }
     assert {f: [v[k] for k in sorted(v)] for f, v in got.items()} == want
+
+
+def test_similar_vendors_by_four_pairs_of_fields(spark):
+    rows = [
+        ("1", 1, "Acme Store 12", "Acme"), ("2", 1, "CARD PAYMENT 99", "ACME"), ("3", 1, "Acme Store 12", None), ("4", 1, "Globex", "Acme Store 12"),
+        ("5", 1, "Initech", "Initech"), ("6", 2, "Acme Store 12", "Acme"), ("7", 1, None, None),
+    ]
+    t = spark.createDataFrame([(*r, 5) for r in rows], "id string, team_id int, name string, merchant_name string, date int")
+    got = {r.id: r.score for r in lists.similar_vendors(t, t.where("id = '1'")).collect()}
+    assert set(got) == {"2", "3", "4"} and got["2"] == 0.95 and got["3"] == got["4"] >= 0.95
+    (best,) = lists.similar_vendors(t, t.where("id = '1'"), limit=1).collect()
+    assert best.rank == 1 and lists.similar_vendors(t, t.where("id IN ('5', '7')")).isEmpty()
