@@ -67,14 +67,16 @@ def upcoming_at(series: DataFrame, n: int = 12) -> DataFrame:
     """``upcoming`` for series with ``start_at`` (an instant) and ``timezone``: adds ``at``, the instant of every date.
 
     Days, month ends and weekdays are those of the series' timezone, and the local time of day of the start is kept over
-    changes of the clock; the weekday of a month and the last day of a month begin at local midnight after the first date.
+    changes of the clock; the first date is the start itself, and of a later local time that occurs twice the first counts. The weekday of a month and the last day of a month begin at local midnight after the first date.
     """
     local = F.from_utc_timestamp("start_at", F.col("timezone"))
     timed = series.withColumn("start", F.to_date(local)).withColumn("_tod", F.unix_micros(local) - F.unix_micros(F.to_date(local).cast("timestamp")))
     midnight = F.col("frequency").isin("monthly_weekday", "monthly_last_day") & (F.col("k") > 0)
     day = F.unix_micros(F.col("date").cast("timestamp"))
     at = F.timestamp_micros(day + F.when(midnight, 0).otherwise(F.col("_tod")))
-    return upcoming(timed, n).withColumn("at", F.to_utc_timestamp(at, F.col("timezone"))).drop("_tod")
+    # a local time that the clock passes twice does not tell which of the two the start was
+    instant = F.when(F.col("k") == 0, F.col("start_at")).otherwise(F.to_utc_timestamp(at, F.col("timezone")))
+    return upcoming(timed, n).withColumn("at", instant).drop("_tod")
 
 
 def series_completed(end_type: Column, end_date: Column, end_count: Column, generated: Column, next_at: Column) -> Column:

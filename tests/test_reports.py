@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskledger.functions import text as tx
-from riskledger.operators import money, reports
+from riskledger.operators import forecast, money, reports
 from riskledger.sources import tables
 
 SCHEMA = "id string, team_id int, date date, amount decimal(18,2), currency string, base_currency string, base_amount decimal(18,2), category_slug string, tax_rate decimal(10,2), tax_type string, recurring boolean, frequency string, name string, status string, internal boolean"
@@ -83,3 +83,14 @@ def test_date_text(spark, text, value):
 @pytest.mark.parametrize("a,b,score", [("Acme Inc", "ACME", 1.0), ("Café Noir", "Cafe Noir Ltd", 1.0), ("Blue Ocean", "Blue Sky", 0.6), ("GitHub", "Git Hub", 0.95), ("x", "y", 0.0)])
 def test_name_score(spark, a, b, score):
     assert spark.range(1).select(tx.name_score(F.lit(a), F.lit(b))).first()[0] == score
+
+
+def test_a_start_in_the_hour_that_occurs_twice_stays_itself(spark):
+    rows = [(i, f"1992-10-25 0{i}:30:00") for i in (4, 5, 6, 7)]  # 00:30, 01:30 twice and 02:30 in New York
+    s = spark.createDataFrame(rows, "id long, at0 string").select(
+        "id", F.col("at0").cast("timestamp").alias("start_at"), F.lit("America/New_York").alias("timezone"), F.lit("weekly").alias("frequency"), F.lit(0).alias("frequency_day"),
+        F.lit(None).cast("int").alias("frequency_week"), F.lit(None).cast("int").alias("frequency_interval"), F.lit("never").alias("end_type"), F.lit(None).cast("date").alias("end_date"),
+        F.lit(5).alias("end_count"), F.lit(0).alias("generated"),
+    )
+    out = forecast.upcoming_at(s, 2)
+    assert out.filter((F.col("k") == 0) & (F.col("at") != F.col("start_at"))).count() == 0 and out.count() == 8
