@@ -4,7 +4,8 @@ A document is its ids and one end id; only documents longer than a sequence are
 dealt at random into groups of bounded size, and each group is packed by itself: best fit
 decreasing, then a local search over the bins that are not full. It tries to empty the lightest
 bins: a piece moves to another bin, or is exchanged for one or two smaller pieces of another bin,
-whenever that makes the sum of squared fills larger; an emptied bin is gone.
+whenever that makes the sum of squared fills larger; an emptied bin is gone. All such exchanges are
+looked at, whatever the number of bins or of pieces in a bin.
 """
 
 from __future__ import annotations
@@ -105,12 +106,24 @@ class Search:
         for b in range(len(bins)):
             self._add(b)
 
-    def _parts(self, b: int) -> set[int]:
-        """Sizes that can leave bin ``b``: nothing, a piece, or two pieces."""
-        own = sorted({self.sizes[i] for i in self.bins[b]})
-        twice = [self.sizes[i] for i in self.bins[b]]
-        pairs = {x + y for k, x in enumerate(twice) for y in twice[k + 1 :]} if len(twice) <= 24 else set()
-        return {0, *own, *pairs}
+    def _parts(self, b: int) -> dict[int, list[int]]:
+        """Sizes that can leave bin ``b``, with pieces that make them up: nothing, a piece, or two pieces.
+
+        Pieces of one size are alike, and the sizes of a bin add up to a sequence at most, so it has few of them.
+        """
+        of: dict[int, list[int]] = defaultdict(list)
+        for i in self.bins[b]:
+            of[self.sizes[i]].append(i)
+        own = sorted(of)
+        parts: dict[int, list[int]] = {0: []}
+        for k, x in enumerate(own):
+            for y in own[k:]:
+                if x != y:
+                    parts.setdefault(x + y, [of[x][0], of[y][0]])
+                elif len(of[x]) > 1:
+                    parts.setdefault(2 * x, of[x][:2])
+        parts.update((x, of[x][:1]) for x in own)
+        return parts
 
     def _add(self, b: int) -> None:
         gap = self.length - self.fill[b]
@@ -129,21 +142,9 @@ class Search:
                 del self.reach[key]
                 del self.keys[bisect.bisect_left(self.keys, key)]
 
-    def _take(self, b: int, part: int) -> list[int]:
-        """Pieces of bin ``b`` with sizes that make up ``part``."""
-        own = self.bins[b]
-        for i in own:
-            if self.sizes[i] == part:
-                return [i]
-        for k, i in enumerate(own):
-            for j in own[k + 1 :]:
-                if self.sizes[i] + self.sizes[j] == part:
-                    return [i, j]
-        raise ValueError("no such part")
-
     def _exchange(self, a: int, outs: list[int], b: int, part: int) -> None:
         """Put pieces ``outs`` of bin ``a`` in bin ``b`` for the pieces that make up ``part``."""
-        back = self._take(b, part) if part else []
+        back = self._parts(b)[part]
         self._drop(a)
         self._drop(b)
         size = sum(self.sizes[i] for i in outs)
@@ -158,28 +159,26 @@ class Search:
         """One exchange that moves tokens from bin ``a`` to a bin that ends up fuller than ``a`` was.
 
         Best is the one that leaves the least gap. Squared fill grows: with d tokens moved it
-        changes by 2 d (fill(b) + d - fill(a)), which is above 0.
+        changes by 2 d (fill(b) + d - fill(a)), which is above 0. A key less the size is the gap left in
+        ``b``, so keys are looked at in their order, up to the gap of ``a`` or the best one found: none that counts is left out.
         """
-        best = None
-        own = [self.sizes[i] for i in self.bins[a]]
-        outs = [(s, [i]) for i, s in zip(self.bins[a], own, strict=True)]
-        if len(own) <= 24:
-            outs += [(own[x] + own[y], [self.bins[a][x], self.bins[a][y]]) for x in range(len(own)) for y in range(x + 1, len(own))]
-        for size, pieces in {s: p for s, p in outs}.items():
-            at = bisect.bisect_left(self.keys, size)
-            for key in self.keys[at : at + 4]:
-                for b, part in self.reach[key]:
-                    moved = size - part
-                    if b != a and moved > 0 and self.fill[b] + moved > self.fill[a]:
-                        gap = self.length - self.fill[b] - moved
-                        if best is None or (gap, -moved) < best[:2]:
-                            best = (gap, -moved, pieces, b, part)
-                        break
-            if best and best[0] == 0:
+        best, least = None, self.length - self.fill[a]
+        for size, pieces in self._parts(a).items():
+            if not pieces:
+                continue
+            for at in range(bisect.bisect_left(self.keys, size), len(self.keys)):
+                key = self.keys[at]
+                if key - size >= least:
+                    break
+                found = next(((b, part) for b, part in self.reach[key] if b != a and part < size), None)
+                if found:
+                    best, least = (pieces, *found), key - size
+                    break
+            if not least:
                 break
         if best is None:
             return False
-        self._exchange(a, best[2], best[3], best[4])
+        self._exchange(a, *best)
         return True
 
     def run(self) -> list[list[int]]:

@@ -134,3 +134,39 @@ def test_every_exchange_raises_the_squared_fill():
     search._exchange = watched
     search.run()
     assert all(x > 0 for x in fills)
+
+
+def test_exchanges_beyond_four_keys_and_24_pieces_are_found():
+    sizes = [5] + [1] * 30 + [2] * 29
+    search = packing.Search(sizes, [[0], list(range(1, 31)), list(range(31, 60))], 60)
+    assert 2 in search._parts(1) and 4 in search._parts(2)
+
+    def brute(s, a):
+        """Least gap of any exchange that counts."""
+        gaps = []
+        for size, out in s._parts(a).items():
+            for b in range(len(s.bins)):
+                if b != a and out and s.bins[b]:
+                    for part in s._parts(b):
+                        fill = s.fill[b] + size - part
+                        if size > part and fill <= s.length and fill > s.fill[a]:
+                            gaps.append(s.length - fill)
+        return min(gaps, default=None)
+
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        bins, sizes = [], []
+        for _ in range(6):
+            own = rng.integers(1, 9, rng.integers(1, 30)).tolist()
+            while sum(own) > 100:
+                own.pop()
+            bins.append(list(range(len(sizes), len(sizes) + len(own))))
+            sizes += own
+        s = packing.Search(sizes, bins, 100)
+        for a in range(6):
+            if a in s.own:
+                want, before = brute(s, a), list(s.fill)
+                assert s._improve(a) == (want is not None)
+                if want is not None:
+                    b = next(x for x in range(6) if x != a and s.fill[x] != before[x])
+                    assert s.length - s.fill[b] == want
