@@ -6,7 +6,7 @@ check (ranges, Luhn digits, number of digits); they are always kept. Every other
 gradient boosted trees over its format (lengths, digits, groups, checks) and its context (neighbouring
 characters and words).
 
-The trees are trained in each call, on at most about SAMPLE distinct proposals of either label: a base
+The trees are trained in each call, on all distinct proposals of either label: a base
 span is a positive, a proposal that touches no base span a negative, unless it is part of a longer match of a
 fixed pattern that failed its check and so may hide something. One proposal in HELD_OUT is kept
 out of training; on these each kind gets the least threshold at which so large a share of what it
@@ -51,7 +51,6 @@ NEEDS = ("@", r"[0-9]\.[0-9]", r"[0-9][\x20-]?[0-9]", r"[0-9][0-9().\x20-]+[0-9]
 CONTEXT = 24
 WORDS_NEAR = (r"mail|contact|write to|@", r"\bip\b|address|server|host", r"card|visa|credit|kredit|carte|tarjeta", r"tel|phone|fon|call|fax|mobil")
 
-SAMPLE = 20_000
 HELD_OUT = 5
 #: Thresholds are looked for from 0.5 on.
 PRECISION = 0.95
@@ -191,31 +190,25 @@ def _labelled(found: DataFrame) -> DataFrame:
     return features(spans).withColumn("mark", F.xxhash64("kind", "match", "before", "after"))
 
 
-def fit(labelled: DataFrame, folder: str, sample: int = SAMPLE):
+def fit(labelled: DataFrame, folder: str):
     """The trees, and the threshold of each kind; None without examples of both labels.
 
-    The sample is drawn by a hash from the distinct examples of each label, about ``sample`` of each.
+    Every distinct example counts. Examples alike in all features, label and side are one row that weighs their number.
     """
     spark = labelled.sparkSession
     distinct = labelled.where("not hidden").groupBy("label", "mark").agg(*[F.first(c).alias(c) for c in FEATURES])
-    distinct.write.parquet(f"{folder}/distinct")
-    distinct = spark.read.schema(distinct.schema).parquet(f"{folder}/distinct")
-    counts = {r["label"]: r["n"] for r in distinct.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(counts) < 2:
-        return None
-    drawn = F.pmod(F.xxhash64("mark", F.lit(SEED)), F.lit(1_000_000))
-    part = F.lit(False)
-    for label, n in counts.items():
-        part = part | ((F.col("label") == label) & (drawn < int(1_000_000 * min(1.0, sample / n)) + 1))
-    distinct.where(part).coalesce(1).sortWithinPartitions("mark", "label").write.parquet(f"{folder}/sample")
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(spark.read.schema(distinct.schema).parquet(f"{folder}/sample"))
     held = F.pmod(F.xxhash64("mark", F.lit(SEED + 1)), F.lit(HELD_OUT)) == 0
-    train = rows.where(~held)
+    alike = ["label", "held", *FEATURES]
+    examples = distinct.withColumn("held", held).groupBy(*alike).agg(F.count("*").cast("double").alias("weight")).sortWithinPartitions(*alike)
+    examples.write.parquet(f"{folder}/examples")
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(spark.read.schema(examples.schema).parquet(f"{folder}/examples"))
+    train = rows.where("not held")
     if train.select("label").distinct().count() < 2:
         return None
-    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED).fit(train)
-    scored = _scored(model, rows.where(held)).select("kind", "label", "score", F.explode(F.sequence(F.lit(50), F.lit(95), F.lit(5))).alias("t"))
-    taken = scored.where(F.col("score") * 100 >= F.col("t")).groupBy("kind", "t").agg(F.avg("label").alias("share"), F.sum("label").alias("hits"))
+    model = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED).fit(train)
+    scored = _scored(model, rows.where("held")).select("kind", "label", "weight", "score", F.explode(F.sequence(F.lit(50), F.lit(95), F.lit(5))).alias("t"))
+    hits = F.sum(F.col("label") * F.col("weight"))
+    taken = scored.where(F.col("score") * 100 >= F.col("t")).groupBy("kind", "t").agg((hits / F.sum("weight")).alias("share"), hits.alias("hits"))
     limits = taken.where((F.col("share") >= PRECISION) & (F.col("hits") >= ENOUGH)).groupBy("kind").agg(F.min("t").alias("t"))
     return model, {int(r["kind"]): r["t"] / 100 for r in limits.collect()}
 
@@ -224,9 +217,9 @@ def _scored(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("score", vector_to_array("probability")[1])
 
 
-def _added(labelled: DataFrame, folder: str, sample: int) -> DataFrame:
+def _added(labelled: DataFrame, folder: str) -> DataFrame:
     """key, kind, start, end, score of the proposals beyond the base spans that are selected."""
-    fitted = fit(labelled, folder, sample)
+    fitted = fit(labelled, folder)
     empty = labelled.where("false").select("key", "kind", "start", "end", F.lit(0.0).alias("score"))
     if fitted is None or not fitted[1]:
         return empty
@@ -256,7 +249,7 @@ def counts(column: str) -> list[Column]:
     return [of(k) for k in range(len(KINDS))]
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, base and added: arrays of (kind, start, end), by kind and start; kind is a place in KINDS.
 
     Places count code points, the end is exclusive. A null text is empty and has no spans. Repeated rows
@@ -272,7 +265,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     labelled = _labelled(found)
     labelled.write.parquet(f"{folder}/labelled")
     labelled = spark.read.schema(labelled.schema).parquet(f"{folder}/labelled")
-    added = _added(labelled, folder, sample).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
+    added = _added(labelled, folder).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
     place = "array<struct<kind:int,start:int,end:int>>"
     base = F.sort_array(F.transform(F.filter("spans", lambda s: s["base"]), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
     return found.select("key", "id", base.alias("base")).join(added, "key", "left").select("id", "base", F.coalesce("added", F.array().cast(place)).alias("added"))

@@ -149,3 +149,15 @@ def test_edge_rows(edge_docs, no_docs):
     got = sorted(((r.id, [(pii.KINDS[k], a, b) for k, a, b in r.base]) for r in pii.find(edge_docs).collect()), key=repr)
     assert got == sorted(((i, base(t)) for i, t in rows), key=repr)
     assert pii.find(no_docs).count() == 0
+
+
+def test_every_distinct_example_is_fitted(spark, tmp_path):
+    # 30,000 examples of a label, more than the fit once drew, and the label follows the size
+    rows = spark.range(60_000).withColumn("label", (F.col("id") % 2).cast("double"))
+    for c in pii.FEATURES:
+        rows = rows.withColumn(c, F.lit(0.0))
+    rows = rows.withColumns({"mark": F.xxhash64("id"), "size": F.col("label") * 10 + F.col("id") % 4, "hidden": F.lit(False)})
+    model, limits = pii.fit(rows, str(tmp_path))
+    seen = spark.read.parquet(f"{tmp_path}/examples")
+    assert seen.agg(F.sum("weight")).first()[0] == 60_000 and seen.count() <= 16
+    assert limits == {0: 0.5} and model.getNumTrees == pii.TREES
