@@ -61,6 +61,30 @@ def test_similar_names_lose_nothing(spark):
     assert got == {(a, b) for a in words for b in words if tx._best_run(a, b) > 0.3}
 
 
+@pytest.mark.parametrize("limit", [3, 12, 500])
+def test_best_candidates_equal_brute_force_by_levels(spark, sf, limit):
+    """Names of many likenesses: some items are done on a high level, some on a low one, some have too few similar names."""
+    words = F.array(*[F.lit(x) for x in ("", " shop", " of the north", " 0001", "zz top")])
+    other = F.when(F.col("_k") % 7 == 0, F.lit(None)).when(F.col("_k") % 5 == 4, F.lit("quite something else"))
+    inbox = v.inbox(spark, sf).orderBy("inbox_id").limit(70).withColumn("_k", F.col("inbox_id").cast("long"))
+    inbox = inbox.withColumn("display_name", F.when(F.col("_k") % 7 > 0, F.coalesce(other, F.concat(F.col("display_name"), F.element_at(words, (F.col("_k") % 5 + 1).cast("int")))))).drop("_k")
+    pay = v.payment(spark, sf).orderBy("transaction_id").limit(90)
+    rows = linkage.candidates(inbox, pay, limit=limit).collect()
+    got = {(r.inbox_id, r["rank"]): (r.transaction_id, r.name_similarity) for r in rows}
+    want = {}
+    for i in inbox.collect():
+        a, found = float(i.amount), []
+        for p in pay.collect():
+            days, b = (p.date - i.date).days, abs(float(p.amount))
+            if i.team_id != p.team_id or not -90 <= days <= (123 if i.type == "invoice" else 30):
+                continue
+            near = (i.currency == p.currency and abs(a - b) < max(1, a * 0.25)) or abs(abs(float(p.base_amount)) - float(i.base_amount)) < max(50, float(i.base_amount) * 0.15)
+            if near or tx._best_run(p.name, i.display_name) > 0.3:
+                found.append((-round(tx._best_run(i.display_name, p.name), 6), abs(b - a) / max(1.0, a), abs(days), p.transaction_id))
+        want |= {(i.inbox_id, k + 1): (f[3], -f[0]) for k, f in enumerate(sorted(found)[:limit])}
+    assert got == want and want
+
+
 @pytest.mark.parametrize(
     "days,kind,score",
     [(30, "invoice", 0.98), (60, "invoice", 0.96), (90, "invoice", 0.94), (15, "invoice", 0.95), (2, "invoice", 0.99), (-5, "invoice", 0.85), (-1, "expense", 0.99), (-5, "expense", 0.95), (0, "expense", 0.85), (45, "expense", 0.1)],
