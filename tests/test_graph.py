@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,16 @@ def test_every_root_draws_for_itself(spark):
     assert 1500 < seen < 1800  # 3000 * (1 - exp(-2400 / 3000)) = 1652
 
 
+def test_a_draw_is_shuffled_as_four_numbers(spark):
+    hub = spark.range(50).select(F.lit("hub").alias("node"), F.format_string("n%04d", "id").alias("nbr"), F.lit(1.0).alias("w"), F.lit(50).cast("long").alias("degree"))
+    state = spark.sql("SELECT 1L AS pair, 'r' AS root, 'hub' AS node, CAST(array() AS ARRAY<STRUCT<pos: BIGINT, nbr: STRING>>) AS taken")
+    out = graph._draw_round(state, graph.lots(hub, 6), 6, 1, 1, 0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Project \[pair#\d+L, j#\d+, \(\(.* AS pos#\d+L, .* AS y#\d+\]", plan)
+    row = out.first()
+    assert row.pair == 1 and len(row.taken) == 6 and len({t.pos for t in row.taken}) == 6
+
+
 def test_draws_follow_the_weights_without_replacement(spark):
     from itertools import permutations
 
