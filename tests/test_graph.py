@@ -55,7 +55,7 @@ def test_every_root_draws_for_itself(spark):
 
 def test_a_draw_is_shuffled_as_four_numbers(spark):
     hub = spark.range(50).select(F.lit("hub").alias("node"), F.format_string("n%04d", "id").alias("nbr"), F.lit(1.0).alias("w"), F.lit(50).cast("long").alias("degree"))
-    state = spark.sql("SELECT 1L AS pair, 'r' AS root, 'hub' AS node, CAST(array() AS ARRAY<STRUCT<pos: BIGINT, nbr: STRING>>) AS taken")
+    state = spark.createDataFrame([(1, "r", "hub", [])], "pair long, root string, node string, taken array<struct<pos: bigint, nbr: string>>")
     out = graph._draw_round(state, graph.lots(hub, 6), 6, 1, 1, 0)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Project \[pair#\d+L, j#\d+, \(\(.* AS pos#\d+L, .* AS y#\d+\]", plan)
