@@ -104,3 +104,22 @@ def test_assignment_is_greedy_by_score(spark):
 def test_word_similarity_is_asymmetric():
     assert tx._best_run("shop", "the shop online") == 1.0
     assert tx._best_run("the shop online", "shop") < 0.5
+
+
+def test_names_are_cut_into_tokens_once(spark, sf):
+    """Not once more for every pair and every mention of a score: no filter or join holds the work on names."""
+    from riskledger.plans.q_linkage import _true_pairs
+
+    best = linkage.best_matches(linkage.score_pairs(_true_pairs(spark, sf)), 0.6)
+    plan = best._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    cut = [x for x in plan if "regexp_replace" in x]
+    assert len(cut) == 2 and not any("confidence" in x or "Filter" in x or "Join" in x for x in cut)
+
+
+def test_scores_of_pairs_without_a_name(spark, sf):
+    from riskledger.plans.q_linkage import _true_pairs
+
+    pairs = _true_pairs(spark, sf).limit(4).withColumn("display_name", F.lit(None).cast("string"))
+    both = pairs.unionByName(_true_pairs(spark, sf).limit(4).withColumn("t_name", F.lit(None).cast("string")))
+    rows = linkage.score_pairs(both).collect()
+    assert len(rows) == 8 and {r.name_score for r in rows} == {0.0}
