@@ -1,3 +1,4 @@
+import random
 from itertools import product
 
 import pytest
@@ -106,6 +107,23 @@ def test_word_similarity_is_asymmetric():
     assert tx._best_run("the shop online", "shop") < 0.5
 
 
+def test_best_run_over_equals_best_run():
+    """Also where trigrams repeat. Names with the same places of shared trigrams share one search."""
+    rng = random.Random(3)
+
+    def name():
+        return " ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 3)))
+
+    for _ in range(2000):
+        a, b = name(), name()
+        best = tx._best_run(a, b)
+        assert [tx._best_run_over(a, b, x) for x in (0.0, 0.3, 0.6)] == [best if best > x else 0.0 for x in (0.0, 0.3, 0.6)]
+    before = tx._best_at.cache_info().misses
+    tx._best_run_over("customer 17", "customer 18", 0.3)
+    tx._best_run_over("customer 25", "customer 26", 0.3)
+    assert tx._best_at.cache_info().misses <= before + 1
+
+
 def test_names_are_cut_into_tokens_once(spark, sf):
     """Not once more for every pair and every mention of a score: no filter or join holds the work on names."""
     from riskledger.plans.q_linkage import _true_pairs
@@ -123,3 +141,17 @@ def test_scores_of_pairs_without_a_name(spark, sf):
     both = pairs.unionByName(_true_pairs(spark, sf).limit(4).withColumn("t_name", F.lit(None).cast("string")))
     rows = linkage.score_pairs(both).collect()
     assert len(rows) == 8 and {r.name_score for r in rows} == {0.0}
+
+
+def test_first_level_follows_the_pairs_of_names(spark, sf, monkeypatch):
+    """A level is skipped if the next one is cheap as well; whatever the first level, the rows are the same."""
+    names = spark.range(30).selectExpr("1 team_id", "concat('customer ', id) name")
+    assert linkage._levels_from(names, names, 0) == linkage.LEVELS
+    assert linkage._levels_from(names, names, 1_000_000) == (linkage.NAME_THRESHOLD,)
+    assert linkage._levels_from(names.limit(0), names, 10) == (linkage.NAME_THRESHOLD,)
+    inbox, pay = v.inbox(spark, sf).orderBy("inbox_id").limit(70), v.payment(spark, sf).orderBy("transaction_id").limit(90)
+    got = []
+    for most in (0, 1_000_000):
+        monkeypatch.setattr(linkage, "PAIRS", most)
+        got.append({(r.inbox_id, r["rank"], r.transaction_id, r.name_similarity) for r in linkage.candidates(inbox, pay, limit=5).collect()})
+    assert got[0] == got[1] and got[0]
