@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskledger.llm import workers
-from riskledger.llm.frames import carried, checkpointed
+from riskledger.llm.frames import carried, checkpointed, merged
 from riskledger.session import scratch
 
 RARE = 500
@@ -172,7 +172,7 @@ def _dealt(held: DataFrame, rare: int) -> DataFrame:
     """earlier, later of the documents that hold a line or run. ``held``: key, line, each pair once."""
     # stored, so that the join reads two plain shuffles and a very frequent line can be split
     shared = checkpointed(held.groupBy("line").agg(F.count("*").alias("n")).where("n > 1"))
-    held = held.join(shared, "line").withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / rare)))
+    held = merged(held, shared, "line").withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / rare)))
     # a part has about ``rare`` rows, whatever the line; dealt anew, since the join has dealt whole lines
     held = held.repartition("line", "part")
     first = held.withColumn("first", F.min("key").over(Window.partitionBy("line", "part")))
@@ -180,7 +180,7 @@ def _dealt(held: DataFrame, rare: int) -> DataFrame:
     heads = first.where((F.col("first") == F.col("key")) & (F.col("n") > rare)).select("line", "key")
     heads = checkpointed(heads)
     least = heads.groupBy("line").agg(F.min("key").alias("first"))
-    across = heads.join(least, "line").where("first <> key").select(F.col("first").alias("earlier"), F.col("key").alias("later"))
+    across = merged(heads, least, "line").where("first <> key").select(F.col("first").alias("earlier"), F.col("key").alias("later"))
     return inside.union(across).distinct()
 
 
@@ -208,7 +208,7 @@ def _aligned(table: DataFrame, both: DataFrame, least: int) -> DataFrame:
 
     first = table.select(F.col("key").alias("earlier"), F.col("lines").alias("a"))
     second = table.select(F.col("key").alias("later"), F.col("lines").alias("b"), "sizes")
-    both = both.join(first, "earlier").join(second, "later").select("later.id", "later.h", "a", "b", "sizes")
+    both = merged(merged(both, first, "earlier"), second, "later").select("later.id", "later.h", "a", "b", "sizes")
     kind = table.select("key.id").schema["id"].dataType.simpleString()
     return both.mapInPandas(align, f"id {kind}, h bigint, places array<int>")
 
@@ -228,22 +228,22 @@ def _rounds(table: DataFrame, runs: DataFrame, found: DataFrame, rare: int, leas
     def still(rows: DataFrame, found: DataFrame) -> DataFrame:
         gone = found.groupBy(F.struct("id", "h").alias("key")).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("gone"))
         left = F.array_except("left", F.coalesce("gone", F.array().cast("array<int>")))
-        return rows.join(gone, "key", "left").withColumn("left", left).where(F.size("left") > 0).drop("gone")
+        return merged(rows, gone, "key", "left").withColumn("left", left).where(F.size("left") > 0).drop("gone")
 
     found = stored(found)
     # copies of a text align alike: the earliest stands for them
     held = runs.groupBy("line", F.col("key.h").alias("h")).agg(F.min("key").alias("earlier"))
     heads = checkpointed(held.groupBy("line").agg(F.min("earlier").alias("head"), F.count("*").alias("n")).where("n > 1"))
     rows = runs.withColumn("left", F.sequence("first", "last")).select("key", "line", "left")
-    open_ = stored(still(rows.join(heads, "line").where("head < key").select("key", "line", "left", "n"), found))
+    open_ = stored(still(merged(rows, heads, "line").where("head < key").select("key", "line", "left", "n"), found))
     wanted = checkpointed(open_.select("line", "n").distinct())
     part = F.pmod(F.col("h"), F.ceil(F.col("n") / rare))
-    held = held.join(wanted, "line").withColumn("part", part).repartition("line", "part")
+    held = merged(held, wanted, "line").withColumn("part", part).repartition("line", "part")
     held = stored(held.withColumn("rank", F.row_number().over(Window.partitionBy("line", "part").orderBy("earlier"))).select("line", "part", "rank", "earlier"))
     low = 1
     while True:
         parts = open_.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / rare) - 1)))
-        asked = parts.join(held.where((F.col("rank") >= low) & (F.col("rank") < 2 * low)), ["line", "part"]).where("earlier < key and earlier.h <> key.h")
+        asked = merged(parts, held.where((F.col("rank") >= low) & (F.col("rank") < 2 * low)), ["line", "part"]).where("earlier < key and earlier.h <> key.h")
         asked = stored(asked.select("earlier", F.col("key").alias("later")).distinct())
         if asked.isEmpty():
             return found
@@ -265,7 +265,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     found = repeated_lines(docs, id_col, text_col, rare, least, whole).select("id", "h", "places")
     keyed = docs.select(F.col(id_col).alias("own"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"), carried(docs.drop(text_col)))
-    joined = keyed.join(found, F.col("own").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")), "left")
+    joined = merged(keyed, found, F.col("own").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("places", i)), "\n")
     text = F.when(F.col("places").isNull(), F.col("text")).otherwise(kept)

@@ -143,3 +143,17 @@ def test_blocks_that_the_earliest_holder_does_not_align(spark, rare):
 def test_whole_on_edge_rows(edge_docs, no_docs):
     assert sorted(str(r.doc_id) for r in lines.remove_lines(edge_docs, whole=True).collect()) == sorted(str(i) for i, _, _ in ROWS)
     assert lines.remove_lines(no_docs, whole=True).count() == 0
+
+
+def test_no_frame_goes_through_the_driver(spark, monkeypatch):
+    """Small frames too are joined by merge: a stored frame of many alike rows looks small at any size."""
+    plans = []
+    kept = lines.checkpointed
+    monkeypatch.setattr(lines, "checkpointed", lambda df: plans.append(df) or kept(df))
+    aligned = lines._aligned
+    monkeypatch.setattr(lines, "_aligned", lambda *a: (plans.append(aligned(*a)), plans[-1])[1])
+    rows = [(i, f"a line that all of them share, with characters\nown line {i} of some length\nanother line in pair {i // 2} of these") for i in range(12)]
+    plans.append(lines.remove_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), rare=4, whole=True))
+    texts = [df._jdf.queryExecution().executedPlan().toString() for df in plans]
+    assert not any("Broadcast" in t for t in texts) and sum("SortMergeJoin" in t for t in texts) == 3
+    assert plans[-1].agg({"n_removed_lines": "sum"}).first()[0] == 11 + 6
