@@ -39,6 +39,17 @@ def test_gift_card_is_flagged_and_exported(spark, csv, tmp_path):
     assert spark.read.json(str(tmp_path / "j/transactions")).count() == len(rows)
 
 
+def test_feature_steps_are_written_one_after_another(spark, csv):
+    """The frame joins stored columns: no step's windows and shuffles are left in its plan."""
+    txns = tables.normalize_transactions(tables.read_raw_transactions(spark, csv))
+    frame = risk.feature_frame(txns)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan and "Broadcast" not in plan
+    for name in ("own", "velocity", "near", "collective"):
+        assert f"features-{name}-" in plan
+    assert frame.count() == txns.count() == frame.select("transaction_id").distinct().count()
+
+
 def test_bad_files_are_reported(spark):
     rows = [("1", "2024-01-01T00:00:00", "-3"), ("1", "nope", "5"), ("2", "2024-01-01T00:00:00", None)]
     df = spark.createDataFrame([(*r, *["x"] * 8) for r in rows], ",".join(f"{c} string" for c in ("transaction_id", "timestamp", "amount", "card_id", *tables.TRANSACTION_COLUMNS[4:])))
