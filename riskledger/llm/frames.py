@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskledger.operators.components import connected
+from riskledger.operators.frames import merged
 from riskledger.session import checkpointed, scratch
 
 __all__ = ["carried", "checkpointed", "connected", "if_small", "merged", "scratch"]
@@ -20,15 +21,6 @@ def if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(kept) if kept.limit(FEW + 1).count() <= FEW else kept
 
 
-def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
-    """The join by two shuffles, for frames that grow with the input.
-
-    Spark guesses the size of a stored frame by its files and of an exploded one by what it is made from. Many rows
-    may look like few bytes, and a broadcast of them goes through the driver.
-    """
-    return left.join(right.hint("merge"), on, how)
-
-
 def carried(docs: DataFrame) -> Column:
     """All columns of ``docs`` as one, named row, so that no name of theirs meets a name of the operator."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")

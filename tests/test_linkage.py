@@ -55,6 +55,24 @@ def test_reverse_candidates_rank_by_name_amount_and_date(spark, sf):
     assert all(by[t, k] <= by[t, k - 1] for t, k in by if k > 1)
 
 
+def test_large_stored_frames_are_not_broadcast(spark, sf, monkeypatch):
+    """By row count, since many rows may lie in few bytes; the rows stay the same."""
+    from riskledger.plans.q_linkage import _waiting
+
+    inbox, pay = _waiting(spark, sf).orderBy("inbox_id").limit(80), v.payment(spark, sf).orderBy("transaction_id").limit(50)
+    found = {}
+    for many in (0, 10**6):
+        plans, kept = [], linkage.stored
+        with monkeypatch.context() as m:
+            m.setattr(linkage, "MANY", many)
+            m.setattr(linkage, "stored", lambda df, name, plans=plans, kept=kept: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or kept(df, name))
+            rows = linkage.reverse_candidates(pay, inbox, limit=3)
+            found[many] = {(r.transaction_id, r.inbox_id, r["rank"]) for r in rows.collect()}
+        best = [p for name, p in plans if name == "best"]
+        assert best and all(("Broadcast" in p) == (many > 0) for p in best)
+    assert found[0] == found[10**6] and found[0]
+
+
 def test_similar_names_lose_nothing(spark):
     words = ["alpha beta", "alfa betta gmbh", "gamma", "delta alpha", "beta", "omega corp", "alphabet", "co-op market"]
     df = spark.createDataFrame([(1, w) for w in words], "team_id int, name string")
